@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parapheur.llm import fusion
+from parapheur.llm import fusion, leakage, spans
 from parapheur.session import table
 
 
@@ -19,7 +19,37 @@ def p1_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.withColumn("rrf", F.round("rrf", 12))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leak_report(p6_found(spark, sf_dir), table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.SharedSpans(table(spark, sf_dir, "documents")).pairs()
+
+
+def p8_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.SharedSpans(table(spark, sf_dir, "documents")).stretches()
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.SharedSpans(table(spark, sf_dir, "documents")).shares()
+
+
+def p8_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.SharedSpans(table(spark, sf_dir, "documents")).clusters()
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_ranking": p1_ranking,
+    "p6_found": p6_found,
+    "p6_report": p6_report,
+    "p8_found": p8_found,
+    "p8_stretches": p8_stretches,
+    "p8_shares": p8_shares,
+    "p8_clusters": p8_clusters,
 }
