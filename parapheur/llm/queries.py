@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parapheur.llm import fusion, leakage, spans
+from parapheur.llm import canonical, fusion, leakage, spans
 from parapheur.session import table
 
 
@@ -19,6 +19,26 @@ def p1_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.withColumn("rrf", F.round("rrf", 12))
 
 
+#: The tables that hold free text: name, key, text column.
+TEXTS = (("generated_documents", "row_no", "content"), ("ocr_pages", "page_row_id", "raw_text"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = []
+    for name, key, text in TEXTS:
+        forms = canonical.canonical_form(table(spark, sf_dir, name), key, text)
+        parts.append(canonical.look_alike_pairs(forms, key, text).select(F.lit(name).alias("tab"), "id_a", "id_b"))
+    return parts[0].unionByName(parts[1])
+
+
+def p2_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = []
+    for name, key, text in TEXTS:
+        forms = canonical.canonical_form(table(spark, sf_dir, name), key, text)
+        parts.append(forms.select(F.lit(name).alias("tab"), F.col(key).alias("row_id"), "canonical"))
+    return parts[0].unionByName(parts[1])
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -46,6 +66,8 @@ def p8_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_ranking": p1_ranking,
+    "p2_found": p2_found,
+    "p2_canonical": p2_canonical,
     "p6_found": p6_found,
     "p6_report": p6_report,
     "p8_found": p8_found,
