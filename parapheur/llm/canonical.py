@@ -7,7 +7,7 @@ corpus vocabulary. Because equal-looking texts must come out equal even when no
 without such evidence goes to the one script all its letters can be written in (Latin first if both can). A token
 written wholly in look-alikes of another script is repaired only if the vocabulary has the Latin word.
 
-The vocabulary is all tokens of the table; it stays distributed. Only candidate spellings that occur as clean tokens are
+The vocabulary is all tokens of the table but those that could be a disguise themselves; it stays distributed. Only candidate spellings that occur as clean tokens are
 joined back, and only to the texts that hold a foreign letter.
 
 Defined results for odd input:
@@ -122,6 +122,8 @@ def _tokens(texts: DataFrame) -> DataFrame:
                     if token not in tried:
                         tried.add(token)
                         want.update(s for s, _ in spellings(token))
+                    if any(_SCRIPTS["Latin"].search(s) for s, _ in spellings(token)):
+                        have.discard(token)  # may be a disguise itself, so it is no evidence
             if len(have) > 200_000:
                 yield rows()
                 have, want, tried = set(), set(), set()
