@@ -48,14 +48,19 @@ _HYPHEN = re.compile("[­‐‑]+")
 _TOKEN = regex.compile(r"[\p{L}\p{M}]+")
 _FOREIGN_TOKEN = regex.compile(r"[\p{L}\p{M}]*[\p{Script=Greek}\p{Script=Cyrillic}][\p{L}\p{M}]*")
 _SCRIPTS = {s: regex.compile(rf"\p{{Script={s}}}") for s in ("Latin", "Cyrillic", "Greek")}
+# Everything that fold() could change or that could be a foreign letter lies outside these characters.
+_ODD = re.compile("[^\\x00-\\x0c\\x0e-\\x84\\x86-\\x9f\\xa1-\\xac\\xae-\\u02ff\\u2013\\u2014\\u2018-\\u201e\\u2026\\u20ac]")
+_PLAIN_TOKEN = re.compile(r"[^\W\d_]+")
+#: Java pattern of the same.
+ODD = "[^\\x00-\\x0c\\x0e-\\x84\\x86-\\x9f\\xa1-\\xac\\xae-\\u02ff\\u2013\\u2014\\u2018-\\u201e\\u2026\\u20ac]"
 #: Java pattern of texts that hold a letter of a script with look-alikes.
 FOREIGN = "[\\u0370-\\u03ff\\u0400-\\u052f]"
 
 
 def fold(text: str) -> str:
     """Everything but look-alike letters of other scripts, which need the vocabulary."""
-    if text.isascii():
-        return _BREAK.sub("\n", text) if "\r" in text else text
+    if not _ODD.search(text):
+        return text
     text = _BREAK.sub("\n", text)
     text = _INVISIBLE.sub("", text)
     text = _BLANK.sub(" ", text)
@@ -116,6 +121,9 @@ def _tokens(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
+                if not _ODD.search(text):
+                    have.update(_PLAIN_TOKEN.findall(text))
+                    continue
                 text = fold(text)
                 have.update(_TOKEN.findall(text))
                 for token in _FOREIGN_TOKEN.findall(text):
@@ -174,7 +182,9 @@ def canonical_form(df: DataFrame, key: str, text: str) -> DataFrame:
             forms = [canonical(t, set(a or ())) for t, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(forms, pa.string())], names=["_id", "_text", "canonical"])
 
-    easy = rows.where(~foreign).mapInArrow(plain, out)
+    odd = F.coalesce(F.col("_text").rlike(ODD), F.lit(False))
+    same = rows.where(~odd).select("_id", "_text", F.col("_text").alias("canonical"))
+    easy = same.unionByName(rows.where(odd & ~foreign).mapInArrow(plain, out))
     hard = strange.join(known, "_id", "left").select("_id", "_text", "_attested").mapInArrow(repaired, out)
     return easy.unionByName(hard).select(F.col("_id").alias(key), F.col("_text").alias(text), "canonical")
 
@@ -186,8 +196,9 @@ def look_alike_pairs(forms: DataFrame, key: str, text: str) -> DataFrame:
     pairs asked for.
     """
     rows = forms.where(f"`{text}` <> ''").select(F.col(key).alias("id"), F.md5(F.col("canonical").cast("binary")).alias("form"), F.xxhash64(text).alias("own"))
+    rows = written(rows, "forms")  # read twice
     mixed = rows.groupBy("form").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("form")
-    rows = written(rows.join(mixed, "form"), "forms")
+    rows = rows.join(mixed, "form")
     other = rows.select(F.col("id").alias("id_b"), "form", F.col("own").alias("other"))
     return rows.withColumnRenamed("id", "id_a").join(other, "form").where("id_a < id_b AND own <> other").select("id_a", "id_b").distinct()
 
