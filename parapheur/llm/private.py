@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parapheur.llm.canonical import TO_LATIN
+from parapheur.llm.scan import tolerant
 from parapheur.session import written
 
 KINDS = ("email", "phone", "id_number", "address", "person")
@@ -115,6 +116,13 @@ _ID_LABEL = (
 _ID = re.compile(
     r"\b" + _ID_LABEL.replace("[èe]", "[èe]") + r"(?:[\s:,]|sous|le|la|num[ée]ro|n[°ºo]\.?)*?\s*(?P<v>[A-Z]{2}[ \n]?\d{7}|\d(?:[ .\n-]?\d){7,20})(?!\d)", re.IGNORECASE
 )
+# A number in one of the forms of such numbers, whose label before it was misread.
+_ID_FORM = re.compile(r"(?<![\w/+.,-])(?:\d{18}|\d{3}[ \n]\d{4}[ \n]\d{5}[ \n]\d{6}|\d{12}|\d\d[ \n]\d{4}[ \n]\d{4}[ \n]\d\d|\d{9}|\d{3}[ \n]\d{3}[ \n]\d{3}|[A-Z]{2}[ \n]?\d{7})(?![\d/]|[.,-]\d)")
+_ID_BEFORE = regex.compile(
+    r"(?:identifiant national|identification nationale|passeport|carte d'identité|pièce d'identité|sécurité sociale|assurance sociale){e<=2}"
+    r"(?:[\s:,]|sous|le|la|num.{1,2}ro|n[°ºo]\.?)*$",
+    regex.IGNORECASE | regex.BESTMATCH,
+)
 _STREET = (
     r"(?:rue|avenue|av\.|boulevard|bd\.?|boul\.|chemin|ch\.|impasse|imp\.|place|pl\.|all[ée]e|all\.|quai|route|rte\.?|cours|square|"
     r"passage|ruelle|sentier|esplanade|cit[ée]|r[ée]sidence|r[ée]s\.|lotissement|lot\.|villa|faubourg|fbg|traverse|mont[ée]e|voie|hameau|quartier)"
@@ -232,9 +240,9 @@ _WORD = r"(?:[^\W\d_](?:[^\W\d_]|['’](?=\w)|[-¬][ \t]*\n?(?=[^\W\d_]))*)"
 _GIVEN = r"(?:[A-ZÀ-Ý]" + _S + r"\.(?:-?[A-ZÀ-Ý]\.)?|(?=[A-ZÀ-Ý])" + _WORD + r")"
 _FULL = r"(?P<n>" + _GIVEN + _S1 + r"(?=[A-ZÀ-Ý])" + _WORD + r"(?:[ ](?=[A-ZÀ-Ý])" + _WORD + r")?)"
 _TITLED = re.compile(
-    r"(?<![\w'’])(?P<t>Monsieur|Madame|Mademoiselle|M\.|Mr\.?|Mme\.?|Mlle\.?|Dr\.?|Docteur|Ma[îi]tre|Me|Pr\.?|Professeur)" + _S1 + _FULL, re.MULTILINE
+    r"(?<![\w'’])(?P<t>" + "|".join(map(tolerant, ("Monsieur", "Madame", "Mademoiselle", "Docteur", "Professeur"))) + r"|M\.|Mr\.?|" + tolerant("Mme") + r"\.?|" + tolerant("Mlle") + r"\.?|Dr\.?|Ma[îi]tre|Me|Pr\.?)" + _S1 + _FULL, re.MULTILINE
 )
-_CUED = re.compile(r"(?<![\w'’])(?:soussign[ée]e?|Joindre|contacter|nomm[ée]e?)" + _S1 + _FULL)
+_CUED = re.compile(r"(?<![\w'’])(?:" + "|".join(map(tolerant, ("soussigné", "soussignée", "Joindre", "contacter", "nommé", "nommée"))) + r")" + _S1 + _FULL)
 # Common French and Maghrebi given names, women's then men's.
 WOMEN = (
     "Aïcha Alice Amel Amina Amira Anne Asma Assia Aurélie Camille Caroline Catherine Céline Chantal Charlotte Chloé Christine Claire Claude Dalila Djamila Élise "
@@ -297,6 +305,10 @@ def find(text: str | None) -> list[Piece]:
         found += [(m.start(), m.end(), "email", "") for m in _EMAIL.finditer(plain)]
     found += [(m.start(), m.end(), "phone", "") for m in _PHONE.finditer(plain)]
     found += [(m.start("v"), m.end("v"), "id_number", "") for m in _ID.finditer(plain)]
+    strict = {f[0] for f in found}
+    for m in _ID_FORM.finditer(plain):
+        if m.start() not in strict and _ID_BEFORE.search(" ".join(plain[max(0, m.start() - 60) : m.start()].split()).replace("’", "'")):
+            found.append((m.start(), m.end(), "id_number", ""))
     for m in _ADDRESS.finditer(plain):
         if m[0][0].isdigit() or m[0][0].isupper():
             found.append((m.start(), _address_end(plain, m.end()), "address", ""))
