@@ -20,6 +20,7 @@ Defined results for odd input:
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -51,10 +52,6 @@ _SCRIPTS = {s: regex.compile(rf"\p{{Script={s}}}") for s in ("Latin", "Cyrillic"
 # Everything that fold() could change or that could be a foreign letter lies outside these characters.
 _ODD = re.compile("[^\\x00-\\x0c\\x0e-\\x84\\x86-\\x9f\\xa1-\\xac\\xae-\\u02ff\\u2013\\u2014\\u2018-\\u201e\\u2026\\u20ac]")
 _PLAIN_TOKEN = re.compile(r"[^\W\d_]+")
-#: Java pattern of the same.
-ODD = "[^\\x00-\\x0c\\x0e-\\x84\\x86-\\x9f\\xa1-\\xac\\xae-\\u02ff\\u2013\\u2014\\u2018-\\u201e\\u2026\\u20ac]"
-#: Java pattern of texts that hold a letter of a script with look-alikes.
-FOREIGN = "[\\u0370-\\u03ff\\u0400-\\u052f]"
 
 
 def fold(text: str) -> str:
@@ -105,50 +102,80 @@ def canonical(text: str, attested: frozenset[str] | set[str] = frozenset()) -> s
     return text
 
 
-def _tokens(texts: DataFrame) -> DataFrame:
-    """(token, wanted): tokens of the corpus, each once a batch; wanted ones are spellings a foreign token may stand for."""
+def _digest(text: str) -> str:
+    return hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _own(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _scan(rows: DataFrame, digest: bool) -> DataFrame:
+    """One scan of (_id, _text) that gives two kinds of rows.
+
+    A text: (_id, own, canonical), or (_id, own, text) where a foreign letter waits for the vocabulary. A token (each once a
+    partition, or more often where a partition has very many): (token, wanted), wanted being spellings that a foreign token
+    may stand for. A token that may be a disguise itself is no evidence and left out.
+    """
+    kind = rows.schema["_id"].dataType.simpleString()
+    names = ["_id", "own", "canonical", "text", "token", "wanted"]
+    types = [None, pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have: set[str] = set()
         want: set[str] = set()
         tried: set[str] = set()
+        id_type = None
 
-        def rows():
-            tokens, flags = list(have), [False] * len(have)
-            tokens += want
-            flags += [True] * len(want)
-            return pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(flags, pa.bool_())], names=["token", "wanted"])
+        def tokens() -> pa.RecordBatch:
+            n = len(have) + len(want)
+            empty = [pa.nulls(n, id_type), *(pa.nulls(n, t) for t in types[1:4])]
+            return pa.RecordBatch.from_arrays([*empty, pa.array([*have, *want], pa.string()), pa.array([False] * len(have) + [True] * len(want), pa.bool_())], names=names)
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            id_type = batch.column(0).type
+            own, form, held = [], [], []
+            for text in batch.column(1).to_pylist():
+                own.append(None if text is None else _own(text))
+                held.append(None)
+                if not text:
+                    form.append(text if not digest or text is None else _digest(text))
+                    continue
                 if not _ODD.search(text):
                     have.update(_PLAIN_TOKEN.findall(text))
+                    form.append(_digest(text) if digest else text)
+                    continue
+                plain = fold(text)
+                have.update(_TOKEN.findall(plain))
+                foreign = _FOREIGN_TOKEN.findall(plain)
+                if not foreign:
+                    form.append(_digest(plain) if digest else plain)
                     continue
-                text = fold(text)
-                have.update(_TOKEN.findall(text))
-                for token in _FOREIGN_TOKEN.findall(text):
+                form.append(None)
+                held[-1] = text
+                for token in foreign:
+                    options = spellings(token)
                     if token not in tried:
                         tried.add(token)
-                        want.update(s for s, _ in spellings(token))
-                    if any(_SCRIPTS["Latin"].search(s) for s, _ in spellings(token)):
-                        have.discard(token)  # may be a disguise itself, so it is no evidence
-            if len(have) > 200_000:
-                yield rows()
+                        want.update(s for s, _ in options)
+                    if any(_SCRIPTS["Latin"].search(s) for s, _ in options):
+                        have.discard(token)
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(own, pa.int64()), pa.array(form, pa.string()), pa.array(held, pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, pa.bool_())], names=names
+            )
+            if len(have) > 500_000:
+                yield tokens()
                 have, want, tried = set(), set(), set()
-        yield rows()
-
-    return texts.mapInArrow(run, "token STRING, wanted BOOLEAN")
-
+        if id_type is not None:
+            yield tokens()
 
-def attested_spellings(texts: DataFrame) -> DataFrame:
-    """(token): candidate spellings that occur as tokens somewhere in ``texts`` (one string column)."""
-    seen = _tokens(texts).groupBy("token").agg(F.bool_or("wanted").alias("wanted"), F.bool_and("wanted").alias("only"))
-    return seen.where("wanted AND NOT only").select("token")
+    return rows.mapInArrow(run, f"_id {kind}, own BIGINT, canonical STRING, text STRING, token STRING, wanted BOOLEAN")
 
 
-def _wishes(rows: DataFrame) -> DataFrame:
+def _wishes(held: DataFrame) -> DataFrame:
     """(_id, token): spellings wanted by each text with a foreign letter."""
-    kind = rows.schema["_id"].dataType.simpleString()
+    kind = held.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,47 +186,41 @@ def _wishes(rows: DataFrame) -> DataFrame:
                 tokens += mine
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(tokens, pa.string())], names=["_id", "token"])
 
-    return rows.select("_id", "_text").mapInArrow(run, f"_id {kind}, token STRING")
+    return held.select("_id", "text").mapInArrow(run, f"_id {kind}, token STRING")
 
 
-def canonical_form(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, text, canonical) of every row; the key must be unique where it is not null."""
-    rows = df.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
-    kind = rows.schema["_id"].dataType.simpleString()
-    foreign = F.coalesce(F.col("_text").rlike(FOREIGN), F.lit(False))
-    strange = rows.where(foreign)
-    attested = attested_spellings(rows.where("_text <> ''").select("_text"))
-    known = _wishes(strange).join(attested, "token").groupBy("_id").agg(F.collect_set("token").alias("_attested"))  # bounded by the text
-    out = f"_id {kind}, _text STRING, canonical STRING"
-
-    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            forms = [None if t is None else canonical(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(forms, pa.string())], names=["_id", "_text", "canonical"])
+def _forms(df: DataFrame, key: str, text: str, digest: bool) -> DataFrame:
+    """(_id, own, canonical): every row's form, or its digest; ``own`` is a digest of the text as stored."""
+    scan = written(_scan(df.select(F.col(key).alias("_id"), F.col(text).alias("_text")), digest), "scan")
+    seen = scan.where("token IS NOT NULL").groupBy("token").agg(F.bool_or("wanted").alias("wanted"), F.bool_and("wanted").alias("only"))
+    attested = seen.where("wanted AND NOT only").select("token")
+    held = scan.where("text IS NOT NULL").select("_id", "own", "text")
+    known = _wishes(held).join(attested, "token").groupBy("_id").agg(F.collect_set("token").alias("attested"))  # bounded by the text
 
     def repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            forms = [canonical(t, set(a or ())) for t, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(forms, pa.string())], names=["_id", "_text", "canonical"])
+            forms = [canonical(t, set(a or ())) for t, a in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([_digest(f) for f in forms] if digest else forms, pa.string())], names=["_id", "own", "canonical"])
 
-    odd = F.coalesce(F.col("_text").rlike(ODD), F.lit(False))
-    same = rows.where(~odd).select("_id", "_text", F.col("_text").alias("canonical"))
-    easy = same.unionByName(rows.where(odd & ~foreign).mapInArrow(plain, out))
-    hard = strange.join(known, "_id", "left").select("_id", "_text", "_attested").mapInArrow(repaired, out)
-    return easy.unionByName(hard).select(F.col("_id").alias(key), F.col("_text").alias(text), "canonical")
+    kind = scan.schema["_id"].dataType.simpleString()
+    hard = held.join(known, held["_id"].eqNullSafe(known["_id"]), "left").select(held["_id"], "own", "text", "attested")
+    easy = scan.where("token IS NULL AND text IS NULL").select("_id", "own", "canonical")
+    return easy.unionByName(hard.mapInArrow(repaired, f"_id {kind}, own BIGINT, canonical STRING"))
 
 
-def look_alike_pairs(forms: DataFrame, key: str, text: str) -> DataFrame:
-    """(id_a, id_b) of rows of a canonical table whose texts look the same but differ; equal texts make no pair.
+def canonical_form(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, canonical) of every row; the key must be unique where it is not null."""
+    return _forms(df, key, text, digest=False).select(F.col("_id").alias(key), "canonical")
+
+
+def look_alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(id_a, id_b) of rows whose texts look the same but differ; equal texts make no pair.
 
     Only digests are shuffled, and only groups with two different texts are joined with themselves: what comes out is the
     pairs asked for.
     """
-    rows = forms.where(f"`{text}` <> ''").select(F.col(key).alias("id"), F.md5(F.col("canonical").cast("binary")).alias("form"), F.xxhash64(text).alias("own"))
-    rows = written(rows, "forms")  # read twice
-    mixed = rows.groupBy("form").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("form")
-    rows = rows.join(mixed, "form")
-    other = rows.select(F.col("id").alias("id_b"), "form", F.col("own").alias("other"))
-    return rows.withColumnRenamed("id", "id_a").join(other, "form").where("id_a < id_b AND own <> other").select("id_a", "id_b").distinct()
-
-
+    rows = written(_forms(df.where(F.col(text) != ""), key, text, digest=True).select(F.col("_id").alias("id"), "own", "canonical"), "forms")
+    mixed = rows.groupBy("canonical").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("canonical")
+    rows = rows.join(mixed, "canonical")
+    other = rows.select(F.col("id").alias("id_b"), "canonical", F.col("own").alias("other"))
+    return rows.withColumnRenamed("id", "id_a").join(other, "canonical").where("id_a < id_b AND own <> other").select("id_a", "id_b").distinct()
