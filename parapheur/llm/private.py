@@ -328,3 +328,174 @@ def find(text: str | None) -> list[Piece]:
         a, b = (start, end) if place is None else (place[start], place[end - 1] + 1)
         out.append(Piece(kind, a, b, plain[start:end], title))
     return out
+
+
+def pieces(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, kind, start_pos, end_pos, found, title) of every piece; one scan, no shuffle."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at: list[int] = []
+            rows: list[Piece] = []
+            for i, value in enumerate(batch.column(1).to_pylist()):
+                got = find(value)
+                rows += got
+                at += [i] * len(got)
+            if rows:
+                kinds, starts, ends, found, titles = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(at, pa.int64())), pa.array(kinds), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(found), pa.array(titles)],
+                    names=["_key", "kind", "start_pos", "end_pos", "found", "title"],
+                )
+
+    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where("_text <> ''")
+    return rows.mapInArrow(run, f"_key {kind}, kind STRING, start_pos INT, end_pos INT, found STRING, title STRING").withColumnRenamed("_key", key)
+
+
+def _bare(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c))
+
+
+def normal_form(kind: str, found: str) -> str:
+    """What all mentions of one entity have in common."""
+    bare = _bare(found)
+    if kind == "email":
+        bare = re.sub(r"\s*[\[(]\s*(?:at|arobase)\s*[\])]\s*", "@", bare)
+        bare = re.sub(r"\s*[\[(]\s*(?:dot|point)\s*[\])]\s*|\s+(?:point|dot)\s+", ".", bare)
+        return re.sub(r"\s", "", bare)
+    if kind == "phone":
+        digits = re.sub(r"\D", "", re.sub(r"\(0\)", "", bare))
+        return "0" + digits[-9:] if len(digits) > 10 else digits
+    if kind == "id_number":
+        return re.sub(r"[^a-z0-9]", "", bare)
+    words = re.findall(r"[^\W_]+", bare)
+    return " ".join(sorted(words) if kind == "person" else words)
+
+
+def gender_of(title: str, found: str) -> str:
+    bare = _bare(title)
+    if bare[:2] in ("ma", "mm", "ml"):
+        return "f"
+    if bare[:2] in ("mo", "m.", "mr"):
+        return "m"
+    for word in re.findall(r"[^\W\d_]+", found.casefold()):
+        if word in _WOMEN_SET:
+            return "f"
+        if word in _MEN_SET:
+            return "m"
+    return "n"
+
+
+_WOMEN_SET = frozenset(n.casefold() for n in WOMEN)
+_MEN_SET = frozenset(n.casefold() for n in MEN)
+_ONSETS, _NUCLEI, _CODAS = "b c d f g l m n p r s t v".split(), "a e i o u ai ou".split(), "l n r s t nd rd".split()
+
+
+def _number(secret: bytes, *parts: str) -> int:
+    return int.from_bytes(hmac.new(secret, "\x1f".join(parts).encode(), hashlib.sha256).digest(), "big")
+
+
+def _spoken(n: int, syllables: int) -> str:
+    out = []
+    for _ in range(syllables):
+        n, a = divmod(n, len(_ONSETS))
+        n, b = divmod(n, len(_NUCLEI))
+        out.append(_ONSETS[a] + _NUCLEI[b])
+    return "".join(out) + _CODAS[n % len(_CODAS)]
+
+
+def core(secret: bytes, kind: str, normal: str, gender: str, attempt: int) -> str:
+    """The keyed part of a surrogate, before it takes a mention's format. Formats keep it whole, so different cores differ."""
+    n = _number(secret, kind, normal, str(attempt))
+    if kind == "person":
+        names = WOMEN if gender == "f" or gender == "n" and n % 2 else MEN
+        given = names[(n >> 1) % len(names)]
+        return f"{given} {_spoken(n >> 16, 4).capitalize()}"
+    if kind == "email":
+        return f"{_spoken(n, 3)}.{_spoken(n >> 40, 3)}@example.org"
+    if kind == "address":
+        return f"{1 + n % 299} rue {_spoken(n >> 16, 4).capitalize()}"
+    return "".join(str((n >> (4 * i)) % 10) for i in range(24))
+
+
+def formatted(kind: str, found: str, core_text: str) -> str:
+    """A core in the format of one mention: letter case, order and initial of a name, digit grouping of a number."""
+    if kind == "person":
+        given, surname = core_text.split(" ", 1)
+        words = found.split()
+        if re.fullmatch(r"\w\.(?:-?\w\.)?", words[0]):
+            return f"{given[0]}. {surname.upper() if words[-1].isupper() else surname}"
+        upper = [len(w) > 1 and w.isupper() for w in words]
+        if upper[0] and not upper[-1]:
+            return f"{surname.upper()} {given}"
+        return f"{given} {surname.upper()}" if upper[-1] and not upper[0] else f"{given.upper()} {surname.upper()}" if all(upper) else f"{given} {surname}"
+    if kind == "email":
+        return core_text.upper() if found.upper() == found and found.lower() != found else core_text
+    if kind == "address":
+        return core_text
+    digits, out = iter(core_text), []
+    skip = re.match(r"(?:\+|00)33|\(?0", found) if kind == "phone" else None
+    for i, c in enumerate(found):
+        out.append(c if skip and i < skip.end() else next(digits, "0") if c.isdigit() else "X" if c.isalpha() else " " if c == "\n" else c)
+    return "".join(out)
+
+
+def surrogates(found: DataFrame, secret: str, rounds: int = 12) -> DataFrame:
+    """(kind, normal, core) of every entity in ``found`` (kind, normal, gender); no two entities of a kind share a core.
+
+    Cores are drawn for all entities at once; where several drew the same, the least keeps it and the others draw again.
+    """
+    key = secret.encode()
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, normals, genders, attempts = (batch.column(i).to_pylist() for i in range(4))
+            cores = [core(key, *x) for x in zip(kinds, normals, genders, attempts)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cores, pa.string())], names=["kind", "normal", "gender", "attempt", "core"])
+
+    schema = "kind STRING, normal STRING, gender STRING, attempt INT, core STRING"
+    entities = found.groupBy("kind", "normal").agg(F.min("gender").alias("gender")).withColumn("attempt", F.lit(0))
+    settled: DataFrame | None = None
+    for _ in range(rounds):
+        drawn = entities.select("kind", "normal", "gender", "attempt").mapInArrow(draw, schema).withColumn("first", F.lit(1))
+        if settled is not None:
+            drawn = drawn.unionByName(settled.withColumn("first", F.lit(0)))
+        place = F.row_number().over(Window.partitionBy("kind", "core").orderBy("first", "normal"))
+        drawn = written(drawn.withColumn("place", place), "surrogates")
+        settled = drawn.where("place = 1").drop("first", "place")
+        entities = drawn.where("place > 1").withColumn("attempt", F.col("attempt") + 1)
+        if entities.isEmpty():
+            return settled.select("kind", "normal", "core")
+    raise RuntimeError("surrogates still collide; the space of names is too small for this corpus")
+
+
+def pseudonymised(df: DataFrame, key: str, text: str, secret: str) -> DataFrame:
+    """(key, safe_text, n_replaced): every text with ``[KIND surrogate]`` in place of each piece and all else unchanged."""
+    kind = df.schema[key].dataType.simpleString()
+    describe = "_key {0}, kind STRING, start_pos INT, end_pos INT, found STRING, normal STRING, gender STRING".format(kind)
+
+    def normals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, found, titles = (batch.column(i).to_pylist() for i in (1, 4, 5))
+            normal = [normal_form(k, f) for k, f in zip(kinds, found)]
+            gender = [gender_of(t or "", f) if k == "person" else "n" for k, f, t in zip(kinds, found, titles)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(normal, pa.string()), pa.array(gender, pa.string())], names=["_key", "kind", "start_pos", "end_pos", "found", "normal", "gender"])
+
+    found = written(pieces(df, key, text).mapInArrow(normals, describe), "pieces")
+    cores = surrogates(found.select("kind", "normal", "gender"), secret)
+    edits = found.join(cores, ["kind", "normal"]).groupBy("_key").agg(F.collect_list(F.struct("start_pos", "end_pos", "kind", "found", "core")).alias("edits"))  # bounded by the text
+    rows = df.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, counts = [], []
+            for value, changes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                for c in sorted({(c["start_pos"], c["end_pos"], c["kind"], c["found"], c["core"]) for c in changes or ()}, reverse=True):
+                    value = f"{value[: c[0]]}[{c[2].upper()} {formatted(*c[2:])}]{value[c[1] :]}"
+                out.append(value)
+                counts.append(len(changes or ()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(counts, pa.int32())], names=["_id", "safe_text", "n_replaced"])
+
+    joined = rows.join(edits, rows["_id"].eqNullSafe(edits["_key"]), "left").select("_id", "_text", "edits")
+    return joined.mapInArrow(apply, f"_id {kind}, safe_text STRING, n_replaced INT").withColumnRenamed("_id", key)

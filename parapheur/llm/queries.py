@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parapheur.llm import canonical, fusion, leakage, spans
+from parapheur.llm import canonical, fusion, leakage, private, spans
 from parapheur.session import table
 
 
@@ -21,13 +23,14 @@ def p1_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The tables that hold free text: name, key, text column.
 TEXTS = (("generated_documents", "row_no", "content"), ("ocr_pages", "page_row_id", "raw_text"))
+#: Key of the surrogates; a deployment sets its own and keeps it apart from the data.
+SECRET = os.environ.get("PARAPHEUR_SECRET", "example key")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for name, key, text in TEXTS:
-        forms = canonical.canonical_form(table(spark, sf_dir, name), key, text)
-        parts.append(canonical.look_alike_pairs(forms, key, text).select(F.lit(name).alias("tab"), "id_a", "id_b"))
+        parts.append(canonical.look_alike_pairs(table(spark, sf_dir, name), key, text).select(F.lit(name).alias("tab"), "id_a", "id_b"))
     return parts[0].unionByName(parts[1])
 
 
@@ -39,6 +42,16 @@ def p2_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [private.pieces(table(spark, sf_dir, name), key, text).select(F.lit(name).alias("tab"), F.col(key).alias("row_id"), "kind", "start_pos") for name, key, text in TEXTS]
+    return parts[0].unionByName(parts[1])
+
+
+def p4_pseudonymised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [private.pseudonymised(table(spark, sf_dir, name), key, text, SECRET).select(F.lit(name).alias("tab"), F.col(key).alias("row_id"), "safe_text", "n_replaced") for name, key, text in TEXTS]
+    return parts[0].unionByName(parts[1])
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -68,6 +81,8 @@ QUERIES = {
     "p1_ranking": p1_ranking,
     "p2_found": p2_found,
     "p2_canonical": p2_canonical,
+    "p4_found": p4_found,
+    "p4_pseudonymised": p4_pseudonymised,
     "p6_found": p6_found,
     "p6_report": p6_report,
     "p8_found": p8_found,
