@@ -17,6 +17,7 @@ Defined results for odd input:
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import re
@@ -38,58 +39,89 @@ KINDS = ("email", "phone", "id_number", "address", "person")
 _SPECIAL = regex.compile(r"[\p{Cf}\p{M}\p{Script=Greek}\p{Script=Cyrillic}！-￮ﬀ-ﬆ  - 　‐‑\r]")
 
 
+_LINE_CUT = re.compile(r"[-¬][ \t]*\n")
 _CUT_WORD = re.compile(r"(?<=[^\W\d_])[-¬][ \t]*\n[ \t]*(?=[a-zà-öø-ÿ])|(?<=[A-ZÀ-Ý]{2})[-¬][ \t]*\n[ \t]*(?=[A-ZÀ-Ý]{2})")
 
 
-def folded(text: str) -> tuple[str, list[int] | None]:
+class Cuts:
+    """Positions in a text from which some pieces were cut out: index i of what is left stood at ``self[i]``."""
+
+    def __init__(self, ends: list[int], shifts: list[int]):
+        self.ends, self.shifts = ends, shifts
+
+    def __getitem__(self, i: int) -> int:
+        k = bisect.bisect_right(self.ends, i)
+        return i + (self.shifts[k - 1] if k else 0)
+
+
+def folded(text: str) -> tuple[str, list[int] | Cuts | None]:
     """The text with ordinary characters and whole words, and each character's position as stored (None: unchanged)."""
-    place: list[int] | None = None
+    place: list[int] | Cuts | None = None
     if not text.isascii() and _SPECIAL.search(text):
         text, place = _ordinary(text)
-    if _CUT_WORD.search(text):
+    cuts = [m.span() for m in _CUT_WORD.finditer(text)] if _LINE_CUT.search(text) else []
+    if cuts:
         parts: list[str] = []
-        where: list[int] = []
-        last = 0
-        for m in _CUT_WORD.finditer(text):
-            parts.append(text[last : m.start()])
-            where += range(last, m.start())
-            last = m.end()
+        ends: list[int] = []
+        shifts: list[int] = []
+        last = gone = 0
+        for lo, hi in cuts:
+            parts.append(text[last:lo])
+            ends.append(lo - gone)
+            gone += hi - lo
+            shifts.append(gone)
+            last = hi
         parts.append(text[last:])
-        where += range(last, len(text) + 1)
-        text = "".join(parts)
-        place = where if place is None else [place[i] for i in where]
+        whole = Cuts(ends, shifts)
+        new = "".join(parts)
+        place = whole if place is None else [place[whole[i]] for i in range(len(new) + 1)]
+        text = new
     return text, place
 
 
+_SPECIAL_RUN = regex.compile(r"(?s)(?:.\p{M}+|" + _SPECIAL.pattern + r")+")
+
+
 def _ordinary(text: str) -> tuple[str, list[int]]:
-    out: list[str] = []
+    parts: list[str] = []
     place: list[int] = []
-    for i, c in enumerate(text):
-        if c in TO_LATIN:
-            plain = TO_LATIN[c]
-        elif c < "\u00a0" and c != "\r":
-            plain = c
-        else:
-            category = unicodedata.category(c)
-            if category == "Cf" and not (c == "\u00ad" and text[i + 1 : i + 2] in ("", "\n")) or c == "\r":
-                continue
-            if category == "Mn" and out:
-                joined = unicodedata.normalize("NFC", out[-1] + c)
-                if len(joined) == 1:
-                    out[-1] = joined
-                    continue
-            if category == "Zs":
-                plain = " "
-            elif c in "\u00ad\u2010\u2011":
-                plain = "-"
-            elif "\uff01" <= c <= "\uffee" or "\ufb00" <= c <= "\ufb06":
-                plain = unicodedata.normalize("NFKC", c)
-            else:
-                plain = c
-        out += plain
-        place += [i] * len(plain)
-    place.append(len(text))
-    return "".join(out), place
+    last = 0
+    for m in _SPECIAL_RUN.finditer(text):
+        parts.append(text[last : m.start()])
+        place += range(last, m.start())
+        for i in range(m.start(), m.end()):
+            plain = _plain_character(text, i, parts)
+            parts += plain
+            place += [i] * len(plain)
+        last = m.end()
+    parts.append(text[last:])
+    place += range(last, len(text) + 1)
+    return "".join(parts), place
+
+
+def _plain_character(text: str, i: int, before: list[str]) -> str:
+    c = text[i]
+    if c in TO_LATIN:
+        return TO_LATIN[c]
+    if c == "\r":
+        return ""
+    if c < "\u00a0":
+        return c
+    category = unicodedata.category(c)
+    if category == "Cf":
+        return "-" if c == "\u00ad" and text[i + 1 : i + 2] in ("", "\n") else ""
+    if category == "Mn" and before and before[-1]:
+        joined = unicodedata.normalize("NFC", before[-1][-1] + c)
+        if len(joined) == 1:
+            before[-1] = before[-1][:-1] + joined
+            return ""
+    if category == "Zs":
+        return " "
+    if c in "\u2010\u2011":
+        return "-"
+    if "\uff01" <= c <= "\uffee" or "\ufb00" <= c <= "\ufb06":
+        return unicodedata.normalize("NFKC", c)
+    return c
 
 
 # Blanks between the parts of one piece; a line may break there, also after a hyphen that cuts a word.
@@ -101,7 +133,7 @@ _DOT = r"(?:\n?\.\n?|" + _S + r"[\[(]" + _S + r"(?:dot|point)" + _S + r"[\])]" +
 _EMAIL = re.compile(
     r"(?<![\w.+%-])[^\W_](?:[\w.+%-]|(?<=[-.+_])\n(?=\w)){0,80}" + _AT + r"[\w-]+(?:" + _DOT + r"[\w-]+)+(?<=[^\W\d_]{2})(?![\w@])", re.IGNORECASE
 )
-_SPELLED_AT = re.compile(r"[\[(]\s*(?:at|arobase)", re.IGNORECASE)
+_AT_SIGN = re.compile(r"@\n?\w[\w-]*\n?\.|[\[(]\s*(?:[aA][tT]|arobase|AROBASE)\s*[\])]")
 _PHONE = re.compile(
     r"(?<![\w/+.,-])(?:"
     r"(?:\+|00)33[ .\n-]?(?:\(0\))?[ .\n-]?[1-9](?:[ .\n-]?\d){8}"
@@ -301,8 +333,12 @@ def find(text: str | None) -> list[Piece]:
         return []
     plain, place = folded(text)
     found: list[tuple[int, int, str, str]] = []
-    if "@" in plain or _SPELLED_AT.search(plain):
-        found += [(m.start(), m.end(), "email", "") for m in _EMAIL.finditer(plain)]
+    for sign in _AT_SIGN.finditer(plain):
+        m = _EMAIL.search(plain, max(0, sign.start() - 120), sign.end() + 160)
+        while m and m.end() <= sign.start():
+            m = _EMAIL.search(plain, m.end(), sign.end() + 160)
+        if m and m.start() < sign.start():
+            found.append((m.start(), m.end(), "email", ""))
     found += [(m.start(), m.end(), "phone", "") for m in _PHONE.finditer(plain)]
     found += [(m.start("v"), m.end("v"), "id_number", "") for m in _ID.finditer(plain)]
     strict = {f[0] for f in found}
