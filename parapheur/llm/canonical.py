@@ -50,13 +50,13 @@ _TOKEN = regex.compile(r"[\p{L}\p{M}]+")
 _FOREIGN_TOKEN = regex.compile(r"[\p{L}\p{M}]*[\p{Script=Greek}\p{Script=Cyrillic}][\p{L}\p{M}]*")
 _SCRIPTS = {s: regex.compile(rf"\p{{Script={s}}}") for s in ("Latin", "Cyrillic", "Greek")}
 # Everything that fold() could change or that could be a foreign letter lies outside these characters.
-_ODD = re.compile("[^\\x00-\\x0c\\x0e-\\x84\\x86-\\x9f\\xa1-\\xac\\xae-\\u02ff\\u2013\\u2014\\u2018-\\u201e\\u2026\\u20ac]")
+ODD = re.compile("[^\\x00-\\x0c\\x0e-\\x84\\x86-\\x9f\\xa1-\\xac\\xae-\\u02ff\\u2013\\u2014\\u2018-\\u201e\\u2026\\u20ac]")
 _PLAIN_TOKEN = re.compile(r"[^\W\d_]+")
 
 
 def fold(text: str) -> str:
     """Everything but look-alike letters of other scripts, which need the vocabulary."""
-    if not _ODD.search(text):
+    if not ODD.search(text):
         return text
     text = _BREAK.sub("\n", text)
     text = _INVISIBLE.sub("", text)
@@ -141,7 +141,7 @@ def _scan(rows: DataFrame, digest: bool) -> DataFrame:
                 if not text:
                     form.append(text if not digest or text is None else _digest(text))
                     continue
-                if not _ODD.search(text):
+                if not ODD.search(text):
                     have.update(_PLAIN_TOKEN.findall(text))
                     form.append(_digest(text) if digest else text)
                     continue

@@ -30,13 +30,13 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parapheur.llm.canonical import TO_LATIN
+from parapheur.llm.canonical import ODD, TO_LATIN
 from parapheur.llm.scan import tolerant
 from parapheur.session import written
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 
-_SPECIAL = regex.compile(r"[\p{Cf}\p{M}\p{Script=Greek}\p{Script=Cyrillic}！-￮ﬀ-ﬆ  - 　‐‑\r]")
+_SPECIAL_RUN = re.compile(ODD.pattern + "+")
 
 
 _LINE_CUT = re.compile(r"[-¬][ \t]*\n")
@@ -57,7 +57,7 @@ class Cuts:
 def folded(text: str) -> tuple[str, list[int] | Cuts | None]:
     """The text with ordinary characters and whole words, and each character's position as stored (None: unchanged)."""
     place: list[int] | Cuts | None = None
-    if not text.isascii() and _SPECIAL.search(text):
+    if not text.isascii() and ODD.search(text):
         text, place = _ordinary(text)
     cuts = [m.span() for m in _CUT_WORD.finditer(text)] if _LINE_CUT.search(text) else []
     if cuts:
@@ -79,7 +79,6 @@ def folded(text: str) -> tuple[str, list[int] | Cuts | None]:
     return text, place
 
 
-_SPECIAL_RUN = regex.compile(r"(?s)(?:.\p{M}+|" + _SPECIAL.pattern + r")+")
 
 
 def _ordinary(text: str) -> tuple[str, list[int]]:
@@ -146,13 +145,13 @@ _ID_LABEL = (
     r"(?:carte|pi[èe]ce)" + _S1 + r"(?:nationale" + _S1 + r")?d['’]" + _S + r"identit[ée]|s[ée]curit[ée]" + _S1 + r"sociale|assurance" + _S1 + r"sociale)"
 )
 _ID = re.compile(
-    r"\b" + _ID_LABEL.replace("[èe]", "[èe]") + r"(?:[\s:,]|sous|le|la|num[ée]ro|n[°ºo]\.?)*?\s*(?P<v>[A-Z]{2}[ \n]?\d{7}|\d(?:[ .\n-]?\d){7,20})(?!\d)", re.IGNORECASE
+    r"\b" + _ID_LABEL + r"(?:[\s:,]|sous|le|la|num[ée]ro|n[°ºo]\.?)*?\s*(?P<v>[A-Z]{2}[ \n]?\d{7}|\d(?:[ .\n-]?\d){7,20})(?!\d)", re.IGNORECASE
 )
 # A number in one of the forms of such numbers, whose label before it was misread.
 _ID_FORM = re.compile(r"(?<![\w/+.,-])(?:\d{18}|\d{3}[ \n]\d{4}[ \n]\d{5}[ \n]\d{6}|\d{12}|\d\d[ \n]\d{4}[ \n]\d{4}[ \n]\d\d|\d{9}|\d{3}[ \n]\d{3}[ \n]\d{3}|[A-Z]{2}[ \n]?\d{7})(?![\d/]|[.,-]\d)")
 _ID_BEFORE = regex.compile(
     r"(?:identifiant national|identification nationale|passeport|carte d'identité|pièce d'identité|sécurité sociale|assurance sociale){e<=2}"
-    r"(?:[\s:,]|sous|le|la|num.{1,2}ro|n[°ºo]\.?)*$",
+    r"(?:[\s:,]|" + tolerant("sous") + r"|le|la|" + tolerant("numéro") + r"|n[°ºo]\.?)*$",
     regex.IGNORECASE | regex.BESTMATCH,
 )
 _STREET = (
@@ -162,7 +161,7 @@ _STREET = (
 _ADDRESS = re.compile(
     r"(?<![\w°/,.-])(?:"
     r"\d{1,4}(?:" + _S1 + r"(?:bis|ter|quater))?[ \t]*,?" + _S + _STREET + r"(?=[ \n])(?:" + _S1 + r"(?!au\b|puis\b|a\b|est\b)[^\s,;().]+){1,5}"
-    r"|" + _STREET.replace("(?:rue", "(?:Rue", 1) + r"(?=[ \n])(?:" + _S1 + r"(?!n[°º])[^\s,;().]+){1,5}?" + _S + r",?" + _S + r"(?:n[°º]" + _S + r"\d{1,4}|B[âa]t(?:\.|iment)" + _S + r"\w+)"
+    r"|" + _STREET + r"(?=[ \n])(?:" + _S1 + r"(?!n[°º])[^\s,;().]+){1,5}?" + _S + r",?" + _S + r"(?:n[°º]" + _S + r"\d{1,4}|B[âa]t(?:\.|iment)" + _S + r"\w+)"
     r")",
     re.IGNORECASE,
 )
@@ -170,104 +169,7 @@ _ADDRESS_TAIL = re.compile(
     r"(?:" + _S + r",?" + _S + r"(?:B[âa]t(?:\.|iment)" + _S + r"\w+|n[°º]" + _S + r"\d{1,4}|[Aa]pp?t\.?" + _S + r"\d+|porte" + _S + r"\d+))*"
     r"(?:" + _S + r"(?:,|-|–)?" + _S + r"(?:\d{5}" + _S1 + r")?(?=[A-ZÀ-Ý])[\w'’]+(?:-" + _S + r"[\w'’]+)*)?"
 )
-_ADDRESS_CUE = re.compile(r"(?:demeur\w+|domicili?\w*|r[ée]sid\w+|habit\w+|envoy[ée]\w*|adresse\w*|sis\w*)[\s:]*(?:au|à|a|:)?[\s:]*$", re.IGNORECASE)
 
-_WORD = re.compile(r"(?<=[^\W\d_])[-¬][ \t]*\n[ \t]*(?=[a-zà-öø-ÿ])|(?<=[A-ZÀ-Ý]{2})[-¬][ \t]*\n[ \t]*(?=[A-ZÀ-Ý]{2})")
-
-
-def folded(text: str) -> tuple[str, list[int] | None]:
-    """The text with ordinary characters and whole words, and each character's position as stored (None: unchanged)."""
-    place: list[int] | None = None
-    if not text.isascii() and _SPECIAL.search(text):
-        text, place = _ordinary(text)
-    if _CUT_WORD.search(text):
-        parts: list[str] = []
-        where: list[int] = []
-        last = 0
-        for m in _CUT_WORD.finditer(text):
-            parts.append(text[last : m.start()])
-            where += range(last, m.start())
-            last = m.end()
-        parts.append(text[last:])
-        where += range(last, len(text) + 1)
-        text = "".join(parts)
-        place = where if place is None else [place[i] for i in where]
-    return text, place
-
-
-def _ordinary(text: str) -> tuple[str, list[int]]:
-    out: list[str] = []
-    place: list[int] = []
-    for i, c in enumerate(text):
-        if c in TO_LATIN:
-            plain = TO_LATIN[c]
-        elif c < "\u00a0" and c != "\r":
-            plain = c
-        else:
-            category = unicodedata.category(c)
-            if category == "Cf" and not (c == "\u00ad" and text[i + 1 : i + 2] in ("", "\n")) or c == "\r":
-                continue
-            if category == "Mn" and out:
-                joined = unicodedata.normalize("NFC", out[-1] + c)
-                if len(joined) == 1:
-                    out[-1] = joined
-                    continue
-            if category == "Zs":
-                plain = " "
-            elif c in "\u00ad\u2010\u2011":
-                plain = "-"
-            elif "\uff01" <= c <= "\uffee" or "\ufb00" <= c <= "\ufb06":
-                plain = unicodedata.normalize("NFKC", c)
-            else:
-                plain = c
-        out += plain
-        place += [i] * len(plain)
-    place.append(len(text))
-    return "".join(out), place
-
-
-# Blanks between the parts of one piece; a line may break there, also after a hyphen that cuts a word.
-_S = r"[ \t]*\n?[ \t]*"
-_S1 = r"(?:[ \t]+\n?[ \t]*|\n[ \t]*)"
-_CUT = r"(?:[-¬][ \t]*\n)?"
-
-_AT = r"(?:" + _S + r"[\[(]" + _S + r"(?:at|arobase)" + _S + r"[\])]" + _S + r"|\n?@\n?)"
-_DOT = r"(?:\n?\.\n?|" + _S + r"[\[(]" + _S + r"(?:dot|point)" + _S + r"[\])]" + _S + r"|" + _S1 + r"(?:point|dot)" + _S1 + r")"
-_EMAIL = re.compile(
-    r"(?<![\w.+%-])[^\W_](?:[\w.+%-]|(?<=[-.+_])\n(?=\w)){0,80}" + _AT + r"[\w-]+(?:" + _DOT + r"[\w-]+)+(?<=[^\W\d_]{2})(?![\w@])", re.IGNORECASE
-)
-_PHONE = re.compile(
-    r"(?<![\w/+.,-])(?:"
-    r"(?:\+|00)33[ .\n-]?(?:\(0\))?[ .\n-]?[1-9](?:[ .\n-]?\d){8}"
-    r"|0[1-9](?:[ .\n-]?\d\d){4}"
-    r"|\(0\d{2,3}\)[ .\n-]?\d\d(?:[ .\n-]?\d\d){2,3}"
-    r")(?![\d/]|[.,-]\d)"
-)
-_ID_LABEL = (
-    r"(?:identifiant" + _S1 + r"national|num[ée]ro" + _S1 + r"d['’]" + _S + r"identification" + _S1 + r"nationale|identification" + _S1 + r"nationale|NIN|NIR|passeport|CNI|NSS|"
-    r"(?:carte|pi[èe]ce)" + _S1 + r"(?:nationale" + _S1 + r")?d['’]" + _S + r"identit[ée]|s[ée]curit[ée]" + _S1 + r"sociale|assurance" + _S1 + r"sociale)"
-)
-_ID = re.compile(
-    r"\b" + _ID_LABEL.replace("[èe]", "[èe]") + r"(?:[\s:,]|sous|le|la|num[ée]ro|n[°ºo]\.?)*?\s*(?P<v>[A-Z]{2}[ \n]?\d{7}|\d(?:[ .\n-]?\d){7,20})(?!\d)", re.IGNORECASE
-)
-_STREET = (
-    r"(?:rue|avenue|av\.|boulevard|bd\.?|boul\.|chemin|ch\.|impasse|imp\.|place|pl\.|all[ée]e|all\.|quai|route|rte\.?|cours|square|"
-    r"passage|ruelle|sentier|esplanade|cit[ée]|r[ée]sidence|r[ée]s\.|lotissement|lot\.|villa|faubourg|fbg|traverse|mont[ée]e|voie|hameau|quartier)"
-)
-_ADDRESS = re.compile(
-    r"(?<![\w°/,.-])(?:"
-    r"\d{1,4}(?:" + _S1 + r"(?:bis|ter|quater))?[ \t]*,?" + _S + _STREET + r"(?=[ \n])(?:" + _S1 + r"(?!au\b|puis\b|a\b|est\b)[^\s,;().]+){1,5}"
-    r"|" + _STREET.replace("(?:rue", "(?:Rue", 1) + r"(?=[ \n])(?:" + _S1 + r"(?!n[°º])[^\s,;().]+){1,5}?" + _S + r",?" + _S + r"(?:n[°º]" + _S + r"\d{1,4}|B[âa]t(?:\.|iment)" + _S + r"\w+)"
-    r")",
-    re.IGNORECASE,
-)
-_ADDRESS_TAIL = re.compile(
-    r"(?:" + _S + r",?" + _S + r"(?:B[âa]t(?:\.|iment)" + _S + r"\w+|n[°º]" + _S + r"\d{1,4}|[Aa]pp?t\.?" + _S + r"\d+|porte" + _S + r"\d+))*"
-    r"(?:" + _S + r"(?:,|-|–)?" + _S + r"(?:\d{5}" + _S1 + r")?(?=[A-ZÀ-Ý])[\w'’]+(?:-" + _S + r"[\w'’]+)*)?"
-)
-_ADDRESS_CUE = re.compile(r"(?:demeur\w+|domicili?\w*|r[ée]sid\w+|habit\w+|envoy[ée]\w*|adresse\w*|sis\w*)[\s:]*(?:au|à|a|:)?[\s:]*$", re.IGNORECASE)
-
-_NAME = r"[A-ZÀ-ÖØ-Ý](?:[\w'’]|" + _CUT + r"(?=\w)|-(?=\w))*(?<![-'’¬])"
 _WORD = r"(?:[^\W\d_](?:[^\W\d_]|['’](?=\w)|[-¬][ \t]*\n?(?=[^\W\d_]))*)"
 _GIVEN = r"(?:[A-ZÀ-Ý]" + _S + r"\.(?:-?[A-ZÀ-Ý]\.)?|(?=[A-ZÀ-Ý])" + _WORD + r")"
 _FULL = r"(?P<n>" + _GIVEN + _S1 + r"(?=[A-ZÀ-Ý])" + _WORD + r"(?:[ ](?=[A-ZÀ-Ý])" + _WORD + r")?)"
@@ -351,8 +253,10 @@ def find(text: str | None) -> list[Piece]:
     for m in _TITLED.finditer(plain):
         if not _NO_NAME.match(m["n"]):
             found.append((m.start("n"), m.end("n"), "person", m["t"]))
-    for pattern in (_CUED, _SIGNED):
-        found += [(m.start("n"), m.end("n"), "person", "") for m in pattern.finditer(plain) if not _NO_NAME.match(m["n"])]
+    found += [(m.start("n"), m.end("n"), "person", "") for m in _CUED.finditer(plain) if not _NO_NAME.match(m["n"])]
+    for m in _SIGNED.finditer(plain):
+        if not _NO_NAME.match(m["n"]) and (len(m["n"].split()) == 2 or _known_name(m["n"])):
+            found.append((m.start("n"), m.end("n"), "person", ""))
     found += [(m.start("n"), m.end("n"), "person", "") for m in _ALONE.finditer(plain) if _known_name(m["n"]) and not _NO_NAME.match(m["n"])]
     found.sort(key=lambda f: (f[0], -f[1]))
     out: list[Piece] = []
