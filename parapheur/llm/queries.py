@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parapheur.llm import canonical, fusion, leakage, private, spans
+from parapheur.llm import canonical, fusion, leakage, private, scanned, spans
 from parapheur.session import table
 
 
@@ -52,6 +52,15 @@ def p4_pseudonymised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def _scanned_pages(spark: SparkSession, sf_dir: str) -> scanned.ScannedPages:
+    letters = table(spark, sf_dir, "generated_documents").select("content")
+    return scanned.ScannedPages(table(spark, sf_dir, "ocr_pages"), letters)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scanned_pages(spark, sf_dir).found()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -83,6 +92,7 @@ QUERIES = {
     "p2_canonical": p2_canonical,
     "p4_found": p4_found,
     "p4_pseudonymised": p4_pseudonymised,
+    "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_report": p6_report,
     "p8_found": p8_found,
