@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parapheur.llm import canonical, fusion, leakage, private, scanned, spans
+from parapheur.llm import canonical, fusion, leakage, mixing, private, scanned, spans
 from parapheur.session import table
 
 
@@ -61,6 +61,22 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scanned_pages(spark, sf_dir).found()
 
 
+def p5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scanned_pages(spark, sf_dir).repaired()
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> mixing.Mixture:
+    return mixing.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir).selection()
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir).shares()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -93,6 +109,9 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_pseudonymised": p4_pseudonymised,
     "p5_found": p5_found,
+    "p5_paragraphs": p5_paragraphs,
+    "p7_selection": p7_selection,
+    "p7_shares": p7_shares,
     "p6_found": p6_found,
     "p6_report": p6_report,
     "p8_found": p8_found,
