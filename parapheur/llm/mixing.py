@@ -7,7 +7,7 @@ are taken once more is decided by the cube method: inclusion probabilities move
 constraints (number of documents, number of tokens), a few documents at a time, until all but a few are 0 or 1.
 
 The flight runs in blocks of at most about ``BLOCK`` documents, hot sources being cut into as many as they need; what is left
-undecided in the blocks (two documents each at most) flies again in blocks, until a handful of a source remains for landing.
+undecided in the blocks (``LANDING`` documents each at most) flies again in blocks, until a handful of a source remains for landing.
 
 Defined results for odd input:
 * null, empty and token-less texts have no size and are never chosen; null sources and sources without a target are left out;
@@ -39,6 +39,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Documents whose flight one task holds at a time.
 BLOCK = 20_000
+#: Documents of a source that are left for landing, all ways of which are tried.
+LANDING = 12
 #: A text is encoded in pieces of at most about so many characters, cut before a blank.
 PIECE = 100_000
 
@@ -78,11 +80,14 @@ def token_counts(df: DataFrame, text: str, keep: list[str], path: str) -> DataFr
     return df.where(F.col(text) != "").select(*keep, text).mapInArrow(run, f"{fields}, n_tokens BIGINT")
 
 
-def flight(p: np.ndarray, sizes: np.ndarray, random: np.random.Generator) -> np.ndarray:
-    """Fast flight phase: p with all but two entries at most moved to 0 or 1, keeping the sums of p and of p * size."""
+def flight(p: np.ndarray, sizes: np.ndarray, random: np.random.Generator, keep: int = 0) -> np.ndarray:
+    """Fast flight phase: p with all but two entries at most moved to 0 or 1, keeping the sums of p and of p * size.
+
+    ``keep`` more entries stay as they are, so that landing can choose among them.
+    """
     p = p.copy()
-    order = np.argsort(-sizes * (1 + 0.5 * random.random(len(p))), kind="stable")  # large ones first, so small ones are left for landing
-    open_ = [i for i in order if 1e-9 < p[i] < 1 - 1e-9]
+    open_ = [i for i in random.permutation(len(p)) if 1e-9 < p[i] < 1 - 1e-9]
+    open_ = open_[: max(0, len(open_) - keep)]
     hand, rest = open_[:3], iter(open_[3:])
     while len(hand) == 3:
         a, b, c = sizes[hand[0]], sizes[hand[1]], sizes[hand[2]]
@@ -103,14 +108,16 @@ def flight(p: np.ndarray, sizes: np.ndarray, random: np.random.Generator) -> np.
 
 
 def landing(p: np.ndarray, sizes: np.ndarray, random: np.random.Generator) -> np.ndarray:
-    """The few open entries set to 0 or 1 so that the token total is kept as nearly as can be."""
+    """The few open entries set to 0 or 1 so that the token total, and then the number, is kept as nearly as can be."""
     p = p.copy()
     open_ = [i for i in range(len(p)) if 0 < p[i] < 1]
     if not open_:
         return p
-    goal = float((p[open_] * sizes[open_]).sum())
-    choices = [[(k >> j) & 1 for j in range(len(open_))] for k in range(1 << len(open_))]
-    p[open_] = min(choices, key=lambda c: (abs(sum(x * sizes[i] for x, i in zip(c, open_)) - goal), random.random()))
+    choices = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
+    missed = np.abs(choices @ sizes[open_] - (p[open_] * sizes[open_]).sum())
+    count = np.abs(choices.sum(axis=1) - p[open_].sum())
+    cost = missed + 0.02 * sizes[open_].mean() * count
+    p[open_] = choices[np.lexsort((random.random(len(cost)), cost))[0]]
     return p
 
 
@@ -169,7 +176,7 @@ class Mixture:
             rows = rows.sort_values(["n_tokens", "_id"], kind="stable", ignore_index=True)
             random = np.random.default_rng(_seed(seed, *map(str, key)))
             p, sizes = rows["p"].to_numpy(float), rows["n_tokens"].to_numpy(float)
-            p = flight(p, sizes, random)
+            p = flight(p, sizes, random, keep=LANDING - 2)
             return rows.assign(p=landing(p, sizes, random) if last else p)
 
         schema = units.select("_id", "source", "n_tokens", "sure", "p", "_block").schema
