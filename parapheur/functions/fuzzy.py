@@ -6,6 +6,7 @@ windows cut off at either end included. Texts of equal length are tried both way
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
@@ -27,28 +28,38 @@ def _common_subsequence(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-def partial_ratio(a: str, b: str) -> float:
-    """Similarity from 0 to 1 of the shorter text with its best place in the longer one."""
+def partial_ratio(a: str, b: str, floor: float = 0.0) -> float:
+    """Similarity from 0 to 1 of the shorter text with its best place in the longer one; 0 may stand for one below ``floor``."""
     if not a or not b:
         return 0.0
     if len(a) > len(b):
         a, b = b, a
     if a in b:
         return 1.0
-    best = _windows(a, b)
-    return max(best, _windows(b, a)) if len(a) == len(b) else best
+    best = _windows(a, b, floor)
+    return max(best, _windows(b, a, max(best, floor))) if len(a) == len(b) else best
 
 
-def _windows(a: str, b: str) -> float:
-    best, n, letters = 0.0, len(a), set(a)
+def _windows(a: str, b: str, floor: float) -> float:
+    """Every window is first bounded by the letters it shares with ``a``, kept up to date from one window to the next."""
+    best, n, need = 0.0, len(a), Counter(a)
+    have: Counter[str] = Counter()
+    shared = lo = hi = 0
     spans = [(0, i) for i in range(1, n)] + [(i, i + n) for i in range(len(b) - n + 1)] + [(i, len(b)) for i in range(len(b) - n + 1, len(b))]
-    for lo, hi in spans:
-        # a window that ends in a character foreign to a is never better than the one without it
-        if b[hi - 1] not in letters and lo == 0 or b[lo] not in letters and hi == len(b):
-            continue
-        if 2 * min(n, hi - lo) <= best * (n + hi - lo):
-            continue
-        best = max(best, 2 * _common_subsequence(a, b[lo:hi]) / (n + hi - lo))
+    for new_lo, new_hi in spans:
+        while hi < new_hi:
+            c = b[hi]
+            have[c] += 1
+            shared += have[c] <= need[c]
+            hi += 1
+        while lo < new_lo:
+            c = b[lo]
+            shared -= have[c] <= need[c]
+            have[c] -= 1
+            lo += 1
+        bound = 2 * shared / (n + hi - lo)
+        if bound > best and bound >= floor:
+            best = max(best, 2 * _common_subsequence(a, b[lo:hi]) / (n + hi - lo))
     return best
 
 
@@ -57,9 +68,11 @@ def similarity(left: str | None, right: str | None) -> float:
     return partial_ratio(left, right) if left and right else 0.0
 
 
-def best_label_line(lines: Column, aliases: Sequence[str], window: int) -> Column:
+def best_label_line(lines: Column, aliases: Sequence[str], window: int, floor: float = 0.0) -> Column:
     """STRUCT<idx INT, score DOUBLE> of the line among the first ``window`` that is most like one of the aliases; the first of equals.
 
+    Scores below ``floor`` need not be exact: the caller does not use them.
+
     A line that contains an alias scores 1, and no later one can be better: such pages never reach the Python worker's search.
     """
     names = list(dict.fromkeys(a.strip().lower() for a in aliases))
@@ -73,7 +86,7 @@ def best_label_line(lines: Column, aliases: Sequence[str], window: int) -> Colum
                 low = (line or "").strip().lower()
                 if not low:
                     continue
-                mine = 1.0 if any(a in low for a in names) else max(partial_ratio(low, a) for a in names)
+                mine = 1.0 if any(a in low for a in names) else max(partial_ratio(low, a, max(floor, best)) for a in names)
                 if mine > best:
                     place, best = i, mine
                     if best == 1.0:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parapheur.functions.text import norm, ref_norm, words
+from parapheur.functions.text import let, norm, ref_norm, words
 
 #: From this token F1 on a field counts as right.
 FIELD_ACCURACY_F1 = 0.65
@@ -15,21 +15,38 @@ def _applicable(gold: Column, value: Column) -> Column:
     return F.when(norm(F.coalesce(gold, F.lit(""))) != "", value)
 
 
+def _numbered(array: Column) -> Column:
+    """Each word with which occurrence of it this is, so that a set of them stands for the multiset of words."""
+    name = lambda all_: F.transform(all_, lambda w, i: F.concat(w, F.lit("\u0001"), (i + 1 - F.array_position(all_, w)).cast("string")))
+    return let(F.array_sort(array), name)
+
+
 def common_tokens(a: Column, b: Column) -> Column:
     """Size of the multiset intersection of two word arrays."""
-    shared = F.array_intersect(a, b)
-    count = lambda array, word: F.size(F.filter(array, lambda x: x == word))
-    return F.aggregate(shared, F.lit(0), lambda total, w: total + F.least(count(a, w), count(b, w)))
+    return F.size(F.array_intersect(_numbered(a), _numbered(b)))
+
+
+def _compared(predicted: Column, gold: Column, body) -> Column:
+    """``body`` of the words of both sides, each split once; null without gold."""
+    side = lambda c: words(norm(F.coalesce(c, F.lit(""))))
+    return let(side(gold), lambda g: F.when(F.size(g) > 0, let(side(predicted), lambda p: body(p, g))))
+
+
+def _scores(p: Column, g: Column) -> Column:
+    def of(common: Column) -> Column:
+        share = lambda n: F.when(n > 0, common / n).otherwise(0.0)
+        return F.struct(share(F.size(p)).alias("prec"), share(F.size(g)).alias("recall"), F.when(common > 0, 2 * common / (F.size(p) + F.size(g))).otherwise(0.0).alias("f1"))
+
+    return let(common_tokens(p, g).cast("double"), of)
+
+
+def _iou(p: Column, g: Column) -> Column:
+    return F.size(F.array_intersect(p, g)) / F.size(F.array_union(p, g))
 
 
 def token_scores(predicted: Column, gold: Column) -> Column:
     """STRUCT<prec, recall, f1> by multiset overlap of words; null without gold, zeros without a prediction."""
-    p, g = words(norm(F.coalesce(predicted, F.lit("")))), words(norm(F.coalesce(gold, F.lit(""))))
-    common = common_tokens(p, g).cast("double")
-    prec = F.when(F.size(p) > 0, common / F.size(p)).otherwise(0.0)
-    recall = F.when(F.size(g) > 0, common / F.size(g)).otherwise(0.0)
-    f1 = F.when(common > 0, 2 * common / (F.size(p) + F.size(g))).otherwise(0.0)
-    return _applicable(gold, F.struct(prec.alias("prec"), recall.alias("recall"), f1.alias("f1")))
+    return _compared(predicted, gold, _scores)
 
 
 def exact_match(predicted: Column, gold: Column, field: Column) -> Column:
@@ -45,9 +62,7 @@ def field_accuracy(f1: Column, threshold: float = FIELD_ACCURACY_F1) -> Column:
 
 def token_iou(predicted: Column, gold: Column) -> Column:
     """Jaccard similarity of the word sets."""
-    p, g = words(norm(F.coalesce(predicted, F.lit("")))), words(norm(F.coalesce(gold, F.lit(""))))
-    union = F.size(F.array_union(p, g))
-    return _applicable(gold, F.when(union > 0, F.size(F.array_intersect(p, g)) / union).otherwise(0.0))
+    return _compared(predicted, gold, _iou)
 
 
 def character_error_rate(hypothesis: Column, reference: Column) -> Column:
@@ -59,36 +74,39 @@ def character_error_rate(hypothesis: Column, reference: Column) -> Column:
 def _coded(array: Column, dictionary: Column) -> Column:
     """A word array as a string with one character a distinct word, so that edits of words are edits of characters."""
     def code(w: Column) -> Column:
-        # private planes: 0x4E00.. holds 20,902 words, 0x10000.. is not reachable by chr of one UTF-16 unit
-        return F.decode(F.unhex(F.lpad(F.hex(F.array_position(dictionary, w) + 0x4DFF), 4, "0")), F.lit("UTF-16BE"))
+        return F.decode(F.unhex(F.lpad(F.hex(F.array_position(dictionary, w) + 0x4DFF), 4, "0")), "UTF-16BE")
 
     return F.array_join(F.transform(array, code), "")
 
 
 def word_error_rate(hypothesis: Column, reference: Column) -> Column:
     """Word edit distance by number of reference words, at most 1. For up to 35,000 distinct words a pair."""
-    h, r = words(F.coalesce(hypothesis, F.lit(""))), words(F.coalesce(reference, F.lit("")))
-    dictionary = F.array_union(h, r)
-    distance = F.levenshtein(_coded(h, dictionary), _coded(r, dictionary))
-    return F.when(F.size(r) == 0, F.when(F.size(h) == 0, 0.0).otherwise(1.0)).otherwise(F.least(distance / F.size(r), F.lit(1.0)))
+    def rate(h: Column, r: Column) -> Column:
+        distance = let(F.array_union(h, r), lambda d: F.levenshtein(_coded(h, d), _coded(r, d)))
+        return F.when(F.size(r) == 0, F.when(F.size(h) == 0, 0.0).otherwise(1.0)).otherwise(F.least(distance / F.size(r), F.lit(1.0)))
+
+    side = lambda c: words(F.coalesce(c, F.lit("")))
+    return let(side(hypothesis), lambda h: let(side(reference), lambda r: rate(h, r)))
 
 
 def text_accuracy(cer: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - cer)
 
 
-def metric_pack(predicted: Column, gold: Column, field: Column) -> list[Column]:
-    """The six metrics of a value against its gold, as columns."""
-    scores = token_scores(predicted, gold)
-    f1 = scores["f1"]
-    return [
-        scores["prec"].alias("prec"),
-        scores["recall"].alias("recall"),
-        f1.alias("f1"),
-        exact_match(predicted, gold, field).alias("exact_match"),
-        field_accuracy(f1).alias("field_accuracy"),
-        token_iou(predicted, gold).alias("iou"),
-    ]
+def metric_pack(predicted: Column, gold: Column, field: Column) -> Column:
+    """The six metrics of a value against its gold, as one struct; ``F.inline(F.array(...))`` makes columns of it."""
+    both = _compared(predicted, gold, lambda p, g: F.struct(_scores(p, g).alias("scores"), _iou(p, g).alias("iou")))
+    return let(
+        both,
+        lambda x: F.struct(
+            x["scores"]["prec"].alias("prec"),
+            x["scores"]["recall"].alias("recall"),
+            x["scores"]["f1"].alias("f1"),
+            exact_match(predicted, gold, field).alias("exact_match"),
+            field_accuracy(x["scores"]["f1"]).alias("field_accuracy"),
+            x["iou"].alias("iou"),
+        ),
+    )
 
 
 def normalised_confidence(value: Column) -> Column:

@@ -417,7 +417,7 @@ def candidates(df: DataFrame, text: str, confidence: str, keys: list[str], field
     found = []
     if fuzzy:
         for f in chosen:
-            pages = pages.withColumn(f"_best_{f.name}", best_label_line(F.col("_filled"), f.aliases, f.window))
+            pages = pages.withColumn(f"_best_{f.name}", best_label_line(F.col("_filled"), f.aliases, f.window, f.at_least))
     conf, page = F.col("_conf"), page_columns()
     for f in chosen:
         rules = [f.regex(page), f.heuristic(page)]
