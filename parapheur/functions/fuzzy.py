@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,25 +42,21 @@ def partial_ratio(a: str, b: str, floor: float = 0.0) -> float:
 
 
 def _windows(a: str, b: str, floor: float) -> float:
-    """Every window is first bounded by the letters it shares with ``a``, kept up to date from one window to the next."""
-    best, n, need = 0.0, len(a), Counter(a)
-    have: Counter[str] = Counter()
-    shared = lo = hi = 0
-    spans = [(0, i) for i in range(1, n)] + [(i, i + n) for i in range(len(b) - n + 1)] + [(i, len(b)) for i in range(len(b) - n + 1, len(b))]
-    for new_lo, new_hi in spans:
-        while hi < new_hi:
-            c = b[hi]
-            have[c] += 1
-            shared += have[c] <= need[c]
-            hi += 1
-        while lo < new_lo:
-            c = b[lo]
-            shared -= have[c] <= need[c]
-            have[c] -= 1
-            lo += 1
-        bound = 2 * shared / (n + hi - lo)
-        if bound > best and bound >= floor:
-            best = max(best, 2 * _common_subsequence(a, b[lo:hi]) / (n + hi - lo))
+    """Windows are first bounded by the letters they share with ``a``, all at once; the most promising are measured first."""
+    n, m = len(a), len(b)
+    need = Counter(a)
+    letters = np.array([ord(c) for c in need], np.uint32)
+    seen = np.zeros((len(letters), m + 1), np.int32)
+    np.cumsum(np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32) == letters[:, None], axis=1, out=seen[:, 1:])
+    lo = np.concatenate([np.zeros(n - 1, np.int64), np.arange(m)])
+    hi = np.concatenate([np.arange(1, n), np.minimum(np.arange(m) + n, m)])
+    shared = np.minimum(seen[:, hi] - seen[:, lo], np.array(list(need.values()))[:, None]).sum(axis=0)
+    bound = 2 * shared / (n + hi - lo)
+    best = 0.0
+    for k in np.argsort(-bound, kind="stable") if bound.max() >= floor else ():
+        if bound[k] <= best or bound[k] < floor:
+            break
+        best = max(best, 2 * _common_subsequence(a, b[lo[k] : hi[k]]) / (n + int(hi[k] - lo[k])))
     return best
 
 

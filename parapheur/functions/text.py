@@ -99,6 +99,11 @@ def word_count(column: Column) -> Column:
     return F.size(words(column))
 
 
+def to_int(column: Column) -> Column:
+    """A number in ASCII or full-width digits; null for anything else."""
+    return F.translate(column, "０１２３４５６７８９", "0123456789").try_cast("int")
+
+
 def strip_html(column: Column) -> Column:
     return F.regexp_replace(column, "<[^>]+>", "")
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from parapheur.functions import text as t
 from parapheur.functions.fuzzy import best_label_line
 from parapheur.functions.metrics import normalised_confidence
+from parapheur.session import spread
 
 
 class Page(NamedTuple):
@@ -250,7 +251,7 @@ def _pieces(count: Column) -> Column:
 
 def _spelled(token: Column) -> Column:
     names = F.create_map(*[x for k, v in _NUMBERS.items() for x in (F.lit(k), F.lit(v))])
-    return t.let(token, lambda x: F.when(x.rlike(r"\A\d+\z"), x.try_cast("int")).otherwise(F.try_element_at(names, F.lower(x))))
+    return t.let(token, lambda x: F.when(x.rlike(t.U + r"\A\d+\z"), t.to_int(x)).otherwise(F.try_element_at(names, F.lower(x))))
 
 
 def attachments_regex(p: Page) -> Column:
@@ -263,12 +264,12 @@ def attachments_heuristic(p: Page) -> Column:
 
     def labelled(line: Column, below: Column) -> Column:
         own = t.strip(F.regexp_replace(line, t.I + r"\A" + label, ""))
-        count = lambda v: _pieces(t.first_group(v, r"\b(\d{1,2})\b").cast("int"))
+        count = lambda v: _pieces(t.to_int(t.first_group(v, r"\b(\d{1,2})\b")))
         short = lambda v: F.when(v != "", F.coalesce(count(v), F.when(t.word_count(v) <= 4, v)))
         return F.when(t.starts(line, label), t.let(t.let(own, lambda o: F.when(o != "", o).otherwise(below)), short))
 
     low = F.lower(p.text)
-    anywhere = t.first_group(p.text, r"\b(\d{1,2})\s*pi[eè]ce?s?\s+jointe?s?\b").cast("int")
+    anywhere = t.to_int(t.first_group(p.text, r"\b(\d{1,2})\s*pi[eè]ce?s?\s+jointe?s?\b"))
     spelled = _spelled(t.first_group(p.text, r"\b(deux|trois|quatre)\s+pi[eè]ce?s?\s+jointe?s?\b"))
     enclosed = _spelled(t.first_group(low, r"ci[\-\s]?joint(?:e|es)?(?:\s+\w+){0,4}\s+" + _NUMBER + r"\s+" + _COUNTED))
     reverse = _spelled(t.first_group(low, _NUMBER + r"\s+" + _COUNTED + r"(?:\s+\w+){0,6}\s+ci[\-\s]?joint(?:e|es)?"))
@@ -413,7 +414,7 @@ def _candidate(field: Field, rank: int, value: Column, confidence: Column) -> Co
 def candidates(df: DataFrame, text: str, confidence: str, keys: list[str], fields: tuple[str, ...] | None = None, fuzzy: bool = True, mode: str = "compat") -> DataFrame:
     """One row a page, field and strategy that found a value: keys, field, strategy, value, scores, reason, strategy_rank."""
     chosen = [f for f in FIELDS if fields is None or f.name in fields]
-    pages = with_page_columns(df, text, mode).select(*keys, normalised_confidence(F.col(confidence)).alias("_conf"), "_text", "_lines", "_filled")
+    pages = with_page_columns(spread(df.select(*dict.fromkeys([*keys, text, confidence]))), text, mode).select(*keys, normalised_confidence(F.col(confidence)).alias("_conf"), "_text", "_lines", "_filled")
     found = []
     if fuzzy:
         for f in chosen:
