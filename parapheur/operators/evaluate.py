@@ -156,4 +156,4 @@ def todo(files: DataFrame, done: DataFrame, name: str) -> DataFrame:
 
 def printed(column: Column) -> Column:
     """Four places, or n/a."""
-    return F.coalesce(F.format_string("%.4f", column), F.lit("n/a"))
+    return F.when(column.isNotNull(), F.format_string("%.4f", column)).otherwise("n/a")

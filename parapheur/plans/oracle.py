@@ -1,3 +1,256 @@
-"""SQL that DuckDB runs beside the core queries."""
+"""SQL that DuckDB runs beside the core queries: the same semantics, written again in another dialect.
 
-ORACLE: dict[str, str] = {}
+DuckDB's patterns know only ASCII blanks, digits and word ends, so these classes are spelled out.
+"""
+
+from __future__ import annotations
+
+from parapheur.functions import text as t
+from parapheur.operators.evaluate import GOLD_COLUMNS, METRICS
+
+WS = r"[\s\p{Z}\x{85}\x{0B}]"
+WORD = r"\p{L}\p{M}\p{N}_\x{200C}\x{200D}"
+
+
+def _q(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _re(pattern: str) -> str:
+    """A pattern with Unicode blanks and digits, as a literal."""
+    out, i, inside = [], 0, False
+    while i < len(pattern):
+        two = pattern[i : i + 2]
+        if two == r"\s":
+            out.append(WS[1:-1] if inside else WS)
+            i += 2
+        elif two == r"\d":
+            out.append(r"\p{Nd}")
+            i += 2
+        elif two == r"\w":
+            out.append(WORD if inside else f"[{WORD}]")
+            i += 2
+        elif pattern[i] == "\\":
+            out.append(two)
+            i += 2
+        else:
+            inside = pattern[i] == "[" or inside and pattern[i] != "]"
+            out.append(pattern[i])
+            i += 1
+    return _q("".join(out))
+
+
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, {_re(r'^\s+|\s+$')}, '', 'g')"
+
+
+def squeeze(x: str) -> str:
+    return f"regexp_replace({strip(x)}, {_re(r'\s+')}, ' ', 'g')"
+
+
+def norm(x: str) -> str:
+    return squeeze(f"lower({x})")
+
+
+def has(x: str, pattern: str, flags: str = "i") -> str:
+    return f"regexp_matches({x}, {_re(pattern)}{f', {_q(flags)}' if flags else ''})"
+
+
+def group(x: str, pattern: str, n: int = 1, flags: str = "i") -> str:
+    return f"nullif(regexp_extract({x}, {_re(pattern)}, {n}{f', {_q(flags)}' if flags else ''}), '')"
+
+
+def repaired(x: str) -> str:
+    out = f"regexp_replace({strip(f"replace({x}, '’', '''')")}, '[|¦]+', ':', 'g')"
+    for pattern, label in t.LABEL_REPAIRS["compat"]:
+        out = f"regexp_replace({out}, {_re(pattern)}, {_q(label)}, 'i')"
+    return f"regexp_replace({out}, {_re(r'\s{2,}')}, ' ', 'g')"
+
+
+PLAIN = "regexp_replace(raw_text, '<[^>]+>', '', 'g')"
+PAGES = f"""
+    WITH n AS (SELECT page_row_id, doc_id, list_transform(string_split({PLAIN}, chr(10)), lambda x: {repaired('x')}) AS norm FROM ocr_pages WHERE raw_text IS NOT NULL),
+    p AS (SELECT page_row_id, doc_id, array_to_string(norm, chr(10)) AS text, list_transform(norm, lambda x: {strip('x')}) AS lines,
+                 list_filter(list_transform(norm, lambda x: {strip('x')}), lambda x: x <> '') AS filled FROM n)
+"""
+
+
+def noise(x: str) -> str:
+    ratio = rf"length(regexp_replace({x}, '[^\p{{L}}]', '', 'g')) / greatest(length({x}), 1) < 0.4"
+    tests = [has(x, "[+%]|N8X|oloX|米", ""), has(x, r"[\x{0600}-\x{06FF}]", ""), has(x, t.URL), has(x, t.SYMBOLS_FIRST, ""), has(x, t.FOOTER), ratio, f"length({x}) < 3"]
+    return "(" + " OR ".join(tests) + ")"
+
+
+def reference(x: str) -> str:
+    return f"({has(x, t.REF_CODE, '')} OR {has(x, r'^/?REF\s*:?$')})"
+
+
+def keyword(x: str) -> str:
+    return has(x, f"^{t.KEYWORD}")
+
+
+def labelled(lines: str, label: str, bad: str) -> str:
+    values = f"list_transform({lines}, lambda x: {strip(group('x', '^' + label + '(.+)'))})"
+    return f"list_filter({values}, lambda v: v IS NOT NULL AND v <> '' AND NOT {bad})[1]"
+
+
+def value_query(expression: str) -> str:
+    return f"{PAGES} SELECT page_row_id, value FROM (SELECT page_row_id, {expression} AS value FROM p) WHERE value IS NOT NULL"
+
+
+def _subtype() -> str:
+    cases = []
+    for name, cues in t.SUBTYPES:
+        either = cues.replace(r"\b", "")  # every cue stands between word ends
+        cases.append(f"WHEN {has('lower(raw_text)', f'(?:^|[^{WORD}])(?:{either})(?:$|[^{WORD}])', '')} THEN '{name}'")
+    return "CASE WHEN raw_text IS NULL THEN NULL " + " ".join(cases) + " ELSE 'autre' END"
+
+
+DATED = rf"(?:^|[^{WORD}])({t.DATE})(?:$|[^{WORD}])"
+ADDRESSEE = r"(?:A|À)\s*(?:l['’]attention\s+(?:de|du|des)|:)\s*"
+REF_BODY = r"(?:Réf|REF)\s*:\s*(" + t.REF_CODE + r"(?:\s+du\s+[\d/]+)?)"
+CODES = "regexp_extract({0}, " + _re(t.REF_CODE) + ", 0)"
+
+STRATEGY = """CASE regexp_replace(lower(strategy), '[\\s_]+', '', 'g') WHEN 'regex' THEN 'Regex' WHEN 'heuristic' THEN 'Heuristic'
+              WHEN 'rapidfuzzy' THEN 'RapidFuzzy' WHEN 'sequencefallback' THEN 'Sequence Fallback' ELSE strategy END"""
+RANK = f"CASE {STRATEGY} WHEN 'Regex' THEN 0 WHEN 'Heuristic' THEN 1 WHEN 'RapidFuzzy' THEN 2 ELSE 3 END"
+KEY = r"nullif(regexp_extract(filename, 'doc_\d+'), '')"
+GOLD = f"g AS (SELECT {KEY} AS doc_id, * FROM generated_documents WHERE {KEY} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {KEY} ORDER BY row_no DESC) = 1)"
+GOLD_FIELDS = "gf AS (" + " UNION ALL ".join(f"SELECT doc_id, '{f}' AS field_name, CASE WHEN {strip(c)} <> '' THEN {c} END AS gold FROM g" for f, c in GOLD_COLUMNS.items()) + ")"
+LAST_PAGE = "l AS (SELECT * FROM ocr_pages WHERE doc_id IS NOT NULL AND page IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY page_row_id DESC) = 1)"
+
+
+def tokens(x: str) -> str:
+    return f"list_filter(string_split({norm(f"coalesce({x}, '')")}, ' '), lambda w: w <> '')"
+
+
+def ref_norm(x: str) -> str:
+    return f"regexp_replace(regexp_replace({norm(x)}, {_re(r'[-\s]+')}, '/', 'g'), '^/+|/+$', '', 'g')"
+
+
+SCORED = f"""
+    t AS (SELECT *, {tokens('predicted')} AS p, {tokens('gold')} AS q FROM j),
+    c AS (SELECT *, coalesce(list_sum(list_transform(list_intersect(p, q), lambda w: least(len(list_filter(p, lambda x: x = w)), len(list_filter(q, lambda x: x = w))))), 0)::DOUBLE AS common,
+                 len(list_intersect(p, q)) / nullif(len(list_distinct(list_concat(p, q))), 0) AS jac FROM t),
+    s AS (SELECT *, CASE WHEN len(q) > 0 THEN CASE WHEN len(p) > 0 THEN common / len(p) ELSE 0 END END AS prec,
+                 CASE WHEN len(q) > 0 THEN common / len(q) END AS recall,
+                 CASE WHEN len(q) > 0 THEN CASE WHEN common > 0 THEN 2 * common / (len(p) + len(q)) ELSE 0 END END AS f1,
+                 CASE WHEN len(q) > 0 THEN (CASE WHEN contains(lower(field_name), 'ref') THEN {ref_norm("coalesce(predicted, '')")} = {ref_norm("coalesce(gold, '')")}
+                      ELSE {norm("coalesce(predicted, '')")} = {norm("coalesce(gold, '')")} END)::INT::DOUBLE END AS exact_match,
+                 CASE WHEN len(q) > 0 THEN coalesce(jac, 0) END AS iou FROM c),
+    m AS (SELECT *, CASE WHEN f1 IS NOT NULL THEN (f1 >= 0.65)::INT::DOUBLE END AS field_accuracy FROM s)
+"""
+ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in METRICS)
+MEANS = ", ".join(f"round(avg({c}), 6) AS {c}" for c in METRICS)
+
+
+def _matrix(metric: str) -> str:
+    cell = lambda s: f"avg({metric}) FILTER (WHERE s = '{s}')"
+    return f"""
+    WITH r AS (SELECT field_name, {STRATEGY} AS s, {metric} FROM kie_approaches WHERE {metric} IS NOT NULL AND field_name IS NOT NULL),
+    w AS (SELECT coalesce(field_name, 'Overall') AS field_name, {cell('Regex')} AS a, {cell('Heuristic')} AS b, {cell('RapidFuzzy')} AS c
+          FROM r WHERE s IN ('Regex', 'Heuristic', 'RapidFuzzy') GROUP BY ROLLUP (field_name))
+    SELECT field_name, round(a, 6) AS "Regex", round(b, 6) AS "Heuristic", round(c, 6) AS "RapidFuzzy",
+           CASE WHEN coalesce(a, b, c) IS NULL THEN 'n/a' WHEN a = greatest(a, b, c) THEN 'Regex' WHEN b = greatest(a, b, c) THEN 'Heuristic' ELSE 'RapidFuzzy' END AS best
+    FROM w"""
+
+
+def _stats(columns: tuple[str, ...], key: str = "") -> str:
+    k = f"{key}, " if key else ""
+    long = " UNION ALL ".join(f"SELECT {k}'{c}' AS metric, {c} AS v FROM kie_approaches" for c in columns)
+    return f"""SELECT {k}metric, round(avg(v), 6) AS mean, round(min(v), 6) AS "min", round(max(v), 6) AS "max", round(stddev_pop(v), 6) AS std
+               FROM ({long}) WHERE v IS NOT NULL GROUP BY {k}metric"""
+
+
+AREA = "greatest(x.bbox[3] - x.bbox[1], 0)::BIGINT * greatest(x.bbox[4] - x.bbox[2], 0)"
+INTERVAL = "CASE " + " ".join(f"WHEN {{0}} BETWEEN {90 * i} AND {90 * i + 100} THEN {i}" for i in range(4)) + " END"
+
+ORACLE: dict[str, str] = {
+    "t1_strip_html": f"SELECT page_row_id, {PLAIN} AS plain FROM ocr_pages",
+    "t2_normalised_lines": f"{PAGES} SELECT page_row_id, i - 1 AS line_no, norm[i] AS line FROM (SELECT page_row_id, norm, unnest(generate_series(1, len(norm))) AS i FROM n)",
+    "t4_normal_forms": f"SELECT row_no, {norm('objet')} AS objet_norm, {ref_norm('ref_code')} AS ref_norm, CASE WHEN content IS NOT NULL THEN len(list_filter(regexp_split_to_array(content, {_re(r'\s+')}), lambda w: w <> '')) END AS n_words FROM generated_documents",
+    "f1_line_classes": f"{PAGES} SELECT page_row_id, i - 1 AS line_no, {noise('line')} AS noise, {reference('line')} AS reference, {keyword('line')} AS keyword FROM (SELECT page_row_id, unnest(lines) AS line, unnest(generate_series(1, len(lines))) AS i FROM p)",
+    "x10_subtype": f"SELECT page_row_id, {_subtype()} AS doc_subtype FROM ocr_pages",
+    "x1_sender_regex": value_query(labelled("filled[1:12]", r"(?:De|Source|Exp[eé]diteur)\s*:\s*", noise("v"))),
+    "x2_receiver_regex": value_query(labelled("filled[1:15]", ADDRESSEE, noise("v"))),
+    "x3_reference_regex": value_query(
+        f"coalesce({strip(group('text', REF_BODY))}, list_filter(list_transform(string_split(text, chr(10))[1:25], lambda x: CASE WHEN {has('x', r'^(?:Réf|REF)\s*:')} THEN {strip(f"regexp_replace(x, {_re(r'^(?:Réf|REF)\s*:\s*')}, '', 'i')")} END), lambda v: v IS NOT NULL AND v <> '')[1])"
+    ),
+    "x8_reference_in_body": value_query(strip(group("text", REF_BODY))),
+    "x4_date_regex": value_query(f"coalesce({group('text', DATED)}, {group('text', r'Alger\s*:?,?\s*(?:le\s*)?\n\s*(' + t.DATE + ')')})"),
+    "x5_subject_regex": value_query(f"nullif({strip(group('text', r'Objet\s*:\s*([^\n]+?)(?:\n|$)'))}, '')"),
+    "x6_attachments_regex": value_query(f"nullif({strip(group('text', r'(?:P\.?\s*J\.?\s*:?\s*|Pi[eè]ces?\s+jointes?\s*:?\s*)([^\n]+?)(?:\n|$)'))}, '')"),
+    "x1_sender_heuristic": value_query(
+        f"""coalesce({labelled('filled[1:12]', r'De\s*:\s*', f"({noise('v')} OR {reference('v')})")},
+            list_filter(filled[1:coalesce(list_position(list_transform(filled[1:8], lambda x: {reference('x')} OR {keyword('x')}), true) - 1, 8)], lambda x: NOT {noise('x')})[1],
+            list_filter(filled[1:14], lambda x: NOT {noise('x')} AND NOT {reference('x')} AND {has('x', f'(?:^|[^{WORD}])(?:Service|Département|Direction)(?:$|[^{WORD}])')})[1])"""
+    ),
+    "a1_page_text": f"SELECT page_row_id, {strip(f"regexp_replace(array_to_string(list_filter(string_split(raw_text, chr(10)), lambda x: {strip('x')} <> ''), chr(10)), '<[^>]+>', '', 'g')")} AS text FROM ocr_pages",
+    "a2_document_confidence": """SELECT doc_id, count(*) AS n_pages, round(coalesce(avg(least(greatest(CASE WHEN coalesce(confidence, 0) > 1 THEN confidence / 100 ELSE coalesce(confidence, 0) END, 0), 1)), 0), 6) AS confidence
+                                 FROM ocr_pages WHERE doc_id IS NOT NULL GROUP BY doc_id""",
+    "a3_document_text": f"WITH {LAST_PAGE} SELECT doc_id, md5(coalesce(string_agg(raw_text, chr(10) ORDER BY page), '')) AS text_md5, max(page) AS last_page FROM l GROUP BY doc_id",
+    "m9_confidence": "SELECT page_row_id, round(least(greatest(CASE WHEN coalesce(confidence, 0) > 1 THEN confidence / 100 ELSE coalesce(confidence, 0) END, 0), 1), 9) AS share FROM ocr_pages",
+    "a6_filled_share": """
+        WITH x AS (SELECT page_row_id, unnest(tables) AS x FROM ocr_pages),
+        c AS (SELECT page_row_id, x.table_index AS table_index, flatten(list_filter(x.data, lambda r: r IS NOT NULL)) AS cells, x.data AS data FROM x)
+        SELECT page_row_id, table_index, CASE WHEN len(cells) > 0 THEN round(len(list_filter(cells, lambda v: length(trim(coalesce(v, ''))) > 0)) / len(cells), 2) ELSE 0 END AS filled,
+               coalesce(len(data), 0) AS n_rows, coalesce(len(data[1]), 0) AS n_columns FROM c""",
+    "f6_large_tables": f"SELECT page_row_id, x.table_index AS table_index, round(({AREA}) / (2480 * 3508), 6) AS page_share, ({AREA}) / (2480 * 3508) <= 0.3 AS kept FROM (SELECT page_row_id, unnest(tables) AS x FROM ocr_pages)",
+    "j5_stamps_outside_tables": """
+        SELECT page_row_id, s.x AS x, s.y AS y, s.radius AS radius FROM (SELECT page_row_id, coalesce(table_bboxes, []) AS boxes, unnest(stamp_regions) AS s FROM ocr_pages)
+        WHERE len(list_filter(boxes, lambda b: s.x BETWEEN b[1] - 8 AND b[3] + 8 AND s.y BETWEEN b[2] - 8 AND b[4] + 8)) = 0""",
+    "j6_grid_cells": f"SELECT l_orderkey, l_linenumber, {INTERVAL.format('l_suppkey % 400')} AS r, {INTERVAL.format('l_partkey % 400')} AS c FROM lineitem",
+    "a19_tables_per_document": f"WITH {LAST_PAGE} SELECT doc_id, sum(coalesce(len(tables), 0)) AS tables_detected, sum(coalesce(len(stamp_regions), 0)) AS stamps_detected FROM l GROUP BY doc_id",
+    "s3_gold_letters": f"WITH {GOLD} SELECT doc_id, row_no, ref_code FROM g",
+    "j2_gold_fields": f"WITH {GOLD}, {GOLD_FIELDS} SELECT doc_id, field_name, gold FROM gf",
+    "op_p9_full_text": "SELECT row_no, md5(array_to_string(list_filter(["
+    + ", ".join(strip(c) for c in ("source", "destination", "date_text", "ref_code", "objet", "pj", "content", "copie"))
+    + "], lambda x: x IS NOT NULL AND x <> ''), ' ')) AS text_md5 FROM generated_documents",
+    "j1_pages_with_letters": f"WITH {GOLD} SELECT o.page_row_id, o.doc_id, g.row_no AS letter FROM ocr_pages o LEFT JOIN g ON o.doc_id = g.doc_id",
+    "j4_letters_without_pages": f"WITH {GOLD} SELECT doc_id FROM g WHERE doc_id NOT IN (SELECT doc_id FROM ocr_pages WHERE doc_id IS NOT NULL)",
+    "w9_batches": "SELECT filename, row_number() OVER (ORDER BY filename) AS place, (row_number() OVER (ORDER BY filename) - 1) // 20 + 1 AS batch FROM (SELECT DISTINCT filename FROM generated_documents WHERE filename IS NOT NULL)",
+    "e1_processed_documents": "SELECT doc_id FROM ocr_pages WHERE doc_id IS NOT NULL UNION SELECT document_id FROM kie_documents WHERE document_id IS NOT NULL",
+    "m8_scored_candidates": f"""WITH {GOLD}, {GOLD_FIELDS},
+        j AS (SELECT a.row_id, a.doc_id, a.field_name, a.strategy, a.predicted, gf.gold
+              FROM (SELECT row_id, {KEY.replace('filename', 'document')} AS doc_id, field_name, {STRATEGY} AS strategy, cand_value AS predicted FROM kie_approaches) a
+              LEFT JOIN gf ON a.doc_id = gf.doc_id AND a.field_name = gf.field_name), {SCORED}
+        SELECT row_id, doc_id, field_name, strategy, {ROUNDED} FROM m""",
+    "m2_subject_errors": f"""{PAGES}, {GOLD},
+        f AS (SELECT page_row_id, doc_id, regexp_replace(lower(nullif({strip(group('text', r'Objet\s*:\s*([^\n]+?)(?:\n|$)'))}, '')), '[^a-z0-9 ]', '', 'g') AS h FROM p),
+        j AS (SELECT f.page_row_id, f.h, regexp_replace(lower(coalesce(g.objet, '')), '[^a-z0-9 ]', '', 'g') AS r FROM f JOIN g ON f.doc_id = g.doc_id WHERE f.h IS NOT NULL),
+        e AS (SELECT *, levenshtein(h, r) AS d, CASE WHEN r = '' THEN CASE WHEN h = '' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END ELSE least(levenshtein(h, r) / length(r), 1.0::DOUBLE) END AS cer FROM j)
+        SELECT page_row_id, d AS edit_distance, round(cer, 6) AS cer, round(greatest(0, 1 - cer), 6) AS accuracy FROM e""",
+    "a8_metric_stats": _stats(METRICS),
+    "a9_run_stats": _stats(("f1", "exact_match"), "run_id"),
+    "a10_field_means": f"""
+        WITH f AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{f}')" for i, f in enumerate(GOLD_COLUMNS))}) v(field_order, field_name)),
+        a AS (SELECT field_name, {MEANS}, count(f1) AS n FROM kie_approaches GROUP BY field_name)
+        SELECT f.field_order, f.field_name, {', '.join(METRICS)}, coalesce(n, 0) AS n FROM f LEFT JOIN a USING (field_name)""",
+    "a14_macro_average": f"SELECT {MEANS}, count(f1) AS n_fields FROM (SELECT field_name, {', '.join(f'avg({c}) AS {c}' for c in METRICS)} FROM kie_approaches GROUP BY field_name)",
+    "a15_macro_by_strategy": f"SELECT strategy, {MEANS}, count(f1) AS n_fields FROM (SELECT {STRATEGY} AS strategy, field_name, {', '.join(f'avg({c}) AS {c}' for c in METRICS)} FROM kie_approaches GROUP BY 1, 2) GROUP BY strategy",
+    "a16_running_means": """
+        WITH s AS (SELECT evaluated_at::DATE AS day, field_name, sum(f1) AS s, count(f1) AS n FROM kie_approaches GROUP BY 1, 2),
+        e AS (SELECT day, field_name FROM (SELECT DISTINCT day FROM s) CROSS JOIN (SELECT DISTINCT field_name FROM s)),
+        m AS (SELECT e.day, sum(coalesce(s.s, 0)) OVER w / nullif(sum(coalesce(s.n, 0)) OVER w, 0) AS mean FROM e LEFT JOIN s ON e.day = s.day AND e.field_name = s.field_name
+              WINDOW w AS (PARTITION BY e.field_name ORDER BY e.day ROWS UNBOUNDED PRECEDING))
+        SELECT day, round(avg(mean), 6) AS running_mean FROM m GROUP BY day""",
+    "a20_heatmap": f"""SELECT field_name, {', '.join(f"round(avg(exact_match) FILTER (WHERE s = '{s}'), 6) AS \"{s}\"" for s in ('Regex', 'Heuristic', 'RapidFuzzy'))}
+                       FROM (SELECT field_name, {STRATEGY} AS s, exact_match FROM kie_approaches) WHERE s IN ('Regex', 'Heuristic', 'RapidFuzzy') GROUP BY field_name""",
+    "w10_ranked_candidates": f"""
+        SELECT row_id, row_number() OVER (PARTITION BY run_id, document, field_name ORDER BY ensemble_score DESC NULLS LAST, strategy_score DESC NULLS LAST, length(cand_value) DESC, {RANK}, row_id) AS place
+        FROM kie_approaches WHERE {strip('cand_value')} <> ''""",
+    "w10_winners": f"""
+        SELECT run_id, document, field_name, {STRATEGY} AS selected_strategy, cand_value AS selected, ensemble_score AS selected_score FROM kie_approaches WHERE {strip('cand_value')} <> ''
+        QUALIFY row_number() OVER (PARTITION BY run_id, document, field_name ORDER BY ensemble_score DESC NULLS LAST, strategy_score DESC NULLS LAST, length(cand_value) DESC, {RANK}, row_id) = 1""",
+    "op_p8_report_values": "SELECT row_id, substr(cand_value, 1, 120) AS short_value, coalesce(printf('%.4f', f1), 'n/a') AS f1_text FROM kie_approaches",
+    "op_p7_table_extent": """
+        SELECT page_row_id, coalesce(list_min(list_transform(table_bboxes, lambda b: b[1])), 0) AS x1, coalesce(list_min(list_transform(table_bboxes, lambda b: b[2])), 0) AS y1,
+               coalesce(list_max(list_transform(table_bboxes, lambda b: b[3])), 0) AS x2, coalesce(list_max(list_transform(table_bboxes, lambda b: b[4])), 0) AS y2 FROM ocr_pages""",
+    "x4_dates_by_field": f"""{PAGES}, {GOLD}, {GOLD_FIELDS},
+        f AS (SELECT page_row_id, doc_id, 'Date' AS field_name, coalesce({group('text', DATED)}, {group('text', r'Alger\s*:?,?\s*(?:le\s*)?\n\s*(' + t.DATE + ')')}) AS predicted FROM p
+              UNION ALL SELECT page_row_id, doc_id, 'Ref', coalesce({strip(group('text', REF_BODY))}, list_filter(list_transform(string_split(text, chr(10))[1:25], lambda x: CASE WHEN {has('x', r'^(?:Réf|REF)\s*:')} THEN {strip(f"regexp_replace(x, {_re(r'^(?:Réf|REF)\s*:\s*')}, '', 'i')")} END), lambda v: v IS NOT NULL AND v <> '')[1]) FROM p
+              UNION ALL SELECT page_row_id, doc_id, unnest(['Date', 'Ref']), NULL FROM ocr_pages WHERE raw_text IS NULL),
+        j AS (SELECT f.field_name, f.predicted, gf.gold FROM f JOIN gf ON f.doc_id = gf.doc_id AND f.field_name = gf.field_name), {SCORED}
+        SELECT field_name, {MEANS}, count(f1) AS n FROM m GROUP BY field_name""",
+    **{f"a12_matrix_{metric}": _matrix(metric) for metric in METRICS},
+}
