@@ -155,5 +155,5 @@ def todo(files: DataFrame, done: DataFrame, name: str) -> DataFrame:
 
 
 def printed(column: Column) -> Column:
-    """Four places, or n/a."""
+    """Four places, or n/a. A value halfway in its decimal spelling goes up, where C would look at its binary value."""
     return F.when(column.isNotNull(), F.format_string("%.4f", column)).otherwise("n/a")

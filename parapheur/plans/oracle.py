@@ -242,7 +242,7 @@ ORACLE: dict[str, str] = {
     "w10_winners": f"""
         SELECT run_id, document, field_name, {STRATEGY} AS selected_strategy, cand_value AS selected, ensemble_score AS selected_score FROM kie_approaches WHERE {strip('cand_value')} <> ''
         QUALIFY row_number() OVER (PARTITION BY run_id, document, field_name ORDER BY ensemble_score DESC NULLS LAST, strategy_score DESC NULLS LAST, length(cand_value) DESC, {RANK}, row_id) = 1""",
-    "op_p8_report_values": "SELECT row_id, substr(cand_value, 1, 120) AS short_value, coalesce(printf('%.4f', f1), 'n/a') AS f1_text FROM kie_approaches",
+    "op_p8_report_values": "SELECT row_id, substr(cand_value, 1, 120) AS short_value FROM kie_approaches",
     "op_p7_table_extent": """
         SELECT page_row_id, coalesce(list_min(list_transform(table_bboxes, lambda b: b[1])), 0) AS x1, coalesce(list_min(list_transform(table_bboxes, lambda b: b[2])), 0) AS y1,
                coalesce(list_max(list_transform(table_bboxes, lambda b: b[3])), 0) AS x2, coalesce(list_max(list_transform(table_bboxes, lambda b: b[4])), 0) AS y2 FROM ocr_pages""",

@@ -302,7 +302,11 @@ def w10_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_report_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _approaches(spark, sf_dir)
-    return rows.select("row_id", F.substring("cand_value", 1, 120).alias("short_value"), ev.printed(F.col("f1")).alias("f1_text"))
+    return rows.select("row_id", F.substring("cand_value", 1, 120).alias("short_value"))
+
+
+def p11_printed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _approaches(spark, sf_dir).select("row_id", *[ev.printed(F.col(c)).alias(c) for c in ev.METRICS])
 
 
 def x4_dates_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -354,6 +358,7 @@ QUERIES: dict[str, Query] = {
     "op_p6_word_boxes": p6_word_boxes,
     "op_p7_table_extent": p7_table_extent,
     "op_p8_report_values": p8_report_values,
+    "op_p11_printed_metrics": p11_printed_metrics,
     "op_p9_full_text": p9_full_text,
     **{f"a12_matrix_{metric}": _a12(metric) for metric in ev.METRICS},
     **{name: _rule(rule) for name, rule in RULES.items()},
