@@ -20,7 +20,7 @@ GOLD_HEADER = {"filename": "filename", "Source": "source", "Destination": "desti
 def document_files(spark: SparkSession, folder: str, suffixes: Iterable[str] = SUFFIXES, limit: int | None = None) -> DataFrame:
     """(path, doc_id, suffix, length, content) of the document files below a folder; ``limit`` takes the first in order of path.
 
-    The content column is read only by those who use it.
+    Empty files are left out. The content column is read only by those who use it.
     """
     either = "{" + ",".join(x for s in suffixes for x in (s, s.upper())) + "}"
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{either}").option("recursiveFileLookup", "true").load(folder)

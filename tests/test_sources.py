@@ -8,7 +8,7 @@ from parapheur.streaming import ingest
 
 
 def test_files_to_pages_with_a_backend_that_fails_on_one(spark, tmp_path):
-    for name, text in (("doc_001_x.pdf", "De : A\nObjet : B\fpage deux"), ("doc_002_y.PNG", ""), ("notes.txt", "no"), ("doc_003_z.jpg", "bad")):
+    for name, text in (("doc_001_x.pdf", "De : A\nObjet : B\fpage deux"), ("doc_002_y.PNG", " "), ("notes.txt", "no"), ("doc_003_z.jpg", "bad")):
         (tmp_path / name).write_text(text, encoding="utf-8")
 
     class Fails(recognition.PlainTextBackend):
@@ -22,7 +22,7 @@ def test_files_to_pages_with_a_backend_that_fails_on_one(spark, tmp_path):
     lines = recognition.recognised_lines(found, Fails())
     assert lines.where("error IS NOT NULL").first().doc_id == "doc_003"
     pages = {(r.doc_id, r.page): r.raw_text for r in pages_from_lines(lines.where("error IS NULL")).collect()}
-    assert pages == {("doc_001", 1): "De : A\nObjet : B", ("doc_001", 2): "page deux", ("doc_002", 1): ""}
+    assert pages == {("doc_001", 1): "De : A\nObjet : B", ("doc_001", 2): "page deux", ("doc_002", 1): ""}  # blank lines are no text
 
 
 def test_gold_csv_and_missing_results(spark, tmp_path):
