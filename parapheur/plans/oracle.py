@@ -109,7 +109,87 @@ def _subtype() -> str:
 DATED = rf"(?:^|[^{WORD}])({t.DATE})(?:$|[^{WORD}])"
 ADDRESSEE = r"(?:A|À)\s*(?:l['’]attention\s+(?:de|du|des)|:)\s*"
 REF_BODY = r"(?:Réf|REF)\s*:\s*(" + t.REF_CODE + r"(?:\s+du\s+[\d/]+)?)"
-CODES = "regexp_extract({0}, " + _re(t.REF_CODE) + ", 0)"
+
+BEFORE, AFTER = f"(?:^|[^{WORD}])", f"(?:$|[^{WORD}])"
+COUNT, THINGS = r"(\d{1,2}|un|une|deux|trois|quatre)", r"(?:pi[eè]ces?|dossiers?|documents?|fichiers?)"
+SALUTATION = r"(?:^|\n)Monsieur\s*,\s*\n"
+
+
+def integer(x: str) -> str:
+    return f"TRY_CAST(translate({x}, '０１２３４５６７８９', '0123456789') AS INT)"
+
+
+def spelled(x: str) -> str:
+    return f"coalesce({integer(x)}, CASE lower({x}) WHEN 'un' THEN 1 WHEN 'une' THEN 1 WHEN 'deux' THEN 2 WHEN 'trois' THEN 3 WHEN 'quatre' THEN 4 END)"
+
+
+def pieces(n: str) -> str:
+    return f"(lpad(CAST({n} AS VARCHAR), 2, '0') || CASE WHEN {n} = 1 THEN ' pièce jointe' ELSE ' pièces jointes' END)"
+
+
+def from_match(pattern: str) -> str:
+    """Text from the first match on; the line starts that the pattern names are those of any line."""
+    return f"nullif(regexp_extract(text, {_re('(?s)(?:' + pattern + ').*')}, 0, 'i'), '')"
+
+
+def first_code(lines: str) -> str:
+    codes = f"list_transform({lines}, lambda x: nullif(regexp_extract(x, {_re(t.REF_CODE)}, 0), ''))"
+    return squeeze(f"list_filter({codes}, lambda v: v IS NOT NULL)[1]")
+
+
+PIECE_LABEL = r"^(?:P\.?\s*J\.?|Pi[eè]ces?\s+jointes?)\s*:?\s*"
+_OWN = strip(f"regexp_replace(lines[i], {_re(PIECE_LABEL)}, '', 'i')")
+_VALUE = f"CASE WHEN {_OWN} <> '' THEN {_OWN} ELSE coalesce(lines[i + 1], '') END"
+LABELLED_PIECES = f"""CASE WHEN {has('lines[i]', PIECE_LABEL)} THEN coalesce({pieces(integer(group(f'({_VALUE})', BEFORE + r'(\d{1,2})' + AFTER)))},
+    CASE WHEN ({_VALUE}) <> '' AND len(list_filter(regexp_split_to_array({_VALUE}, {_re(r'\s+')}), lambda w: w <> '')) <= 4 THEN {_VALUE} END) END"""
+_SPELLED = strip(f"regexp_replace({group('text', r'Alger\s*,?\s*le\s*([.\-_\s]{0,20})\n?\s*([A-Za-z0-9][^\n]{3,}?)(?:\n|$)', 2)}, {_re(r'^[.\-_\s]+')}, '')")
+SPELLED_DATE = f"""CASE WHEN length(replace({_SPELLED}, ' ', '')) >= 4 AND NOT {has(_SPELLED, rf'^[^{WORD}]+$')} AND NOT {has(_SPELLED, r'^(?:Messieurs?|Mesdames?|Monsieur)\s+')} THEN {_SPELLED} END"""
+
+
+
+def tidy(x: str) -> str:
+    bare = f"regexp_replace({strip(x)}, '^(?:[^{WORD}]|_)+', '')"
+    return strip(f"regexp_replace({bare}, {_re(r'^A\s*:\s*')}, 'À: ', 'i')")
+
+
+def can_receive(x: str) -> str:
+    return f"({x} IS NOT NULL AND length({x}) > 5 AND NOT ({noise(x)} OR {reference(x)} OR {keyword(x)}))"
+
+
+def valid(x: str) -> str:
+    """The value if it can name a receiver; computed once, as the only element of a list."""
+    return f"list_filter([{x}], lambda v: {can_receive('v')})[1]"
+
+
+def at(lines: str, pattern: str) -> str:
+    return f"coalesce(list_position(list_transform({lines}, lambda x: {has('x', pattern)}), true), 0)"
+
+
+def regexp_named() -> str:
+    return f"regexp_matches(array_to_string(lines, chr(10)), {_re(NAMED)}, 'i')"
+
+
+NAMED = r"(?m)^\s*[AÀ]\s*(?:l['’]attention\s+(?:de|du|des)|:)\s*([^\n]+?)\s*$"
+SENDER_AT = at("lines[1:15]", r"^De\s*:")
+LETTERS = r"length(regexp_replace(x, '[^\p{L}]', '', 'g')) / greatest(length(x), 1)"
+BELOW_SENDER = f"CASE WHEN {SENDER_AT} > 0 THEN {tidy(f'list_filter(lines[{SENDER_AT} + 1 : {SENDER_AT} + 5], lambda x: {can_receive("x")} AND {LETTERS} > 0.5)[1]')} END"
+ADDRESSED = tidy(f"regexp_extract(array_to_string(lines, chr(10)), {_re(NAMED)}, 1, 'i')")
+TITLE_AT = at("lines", r"^(?:Messieurs?|Mesdames?|Monsieur)\s+(?:le|les|la|l['’])\s+")
+_FOLLOW = f"lines[{TITLE_AT} + 1 : {TITLE_AT} + 3]"
+_STOP = f"list_position(list_transform({_FOLLOW}, lambda x: x = '' OR {has('x', r'^(?:Objet|Réf|P\.J|Alger|REF)')} OR NOT {can_receive('x')}), true)"
+_MERGED = f"array_to_string(list_concat([lines[{TITLE_AT}]], {_FOLLOW}[1 : coalesce({_STOP} - 1, 3)]), chr(10))"
+TITLED = tidy(f"list_filter([{_MERGED}], lambda v: {can_receive('v')})[1]")
+_CLEAN = f"list_filter(lines[1 : coalesce(list_position(list_transform(lines[1:12], lambda x: {reference('x')} OR {keyword('x')}), true) - 1, 12)], lambda x: NOT {noise('x')})"
+SECOND_LINE = tidy(f"{_CLEAN}[2]")
+_POOR = f"CASE WHEN {noise('top[i]')} OR {reference('top[i]')} OR {keyword('top[i]')} THEN -4 ELSE 0 END"
+
+
+def points(pattern: str, n: int) -> str:
+    return f"CASE WHEN {has('top[i]', pattern)} THEN {n} ELSE 0 END"
+
+
+SENDER_SCORE = f"{_POOR} + {points(BEFORE + '(?:Service|Département|Direction)' + AFTER, 3)} + {points(r'^De\s*:', 6)} + CASE WHEN i <= 6 THEN 1 ELSE 0 END"
+RECEIVER_SCORE = f"{_POOR} + {points(BEFORE + '(?:Service|Département|Direction|Monsieur|Mesdames?)' + AFTER, 2)} + CASE WHEN i > -s.before THEN 2 ELSE 0 END + {points(r"^[AÀ]\s*(?:l['’]attention|:)", 5)}"
 
 STRATEGY = """CASE regexp_replace(lower(strategy), '[\\s_]+', '', 'g') WHEN 'regex' THEN 'Regex' WHEN 'heuristic' THEN 'Heuristic'
               WHEN 'rapidfuzzy' THEN 'RapidFuzzy' WHEN 'sequencefallback' THEN 'Sequence Fallback' ELSE strategy END"""
@@ -165,7 +245,36 @@ def _stats(columns: tuple[str, ...], key: str = "") -> str:
 AREA = "greatest(x.bbox[3] - x.bbox[1], 0)::BIGINT * greatest(x.bbox[4] - x.bbox[2], 0)"
 INTERVAL = "CASE " + " ".join(f"WHEN {{0}} BETWEEN {90 * i} AND {90 * i + 100} THEN {i}" for i in range(4)) + " END"
 
+
+
+def json_array(x: str) -> str:
+    """A JSON value as a list: strings that hold JSON opened, an object as its only element."""
+    opened = f"CASE WHEN json_type({x}) = 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string({x}, '$')) THEN json_extract_string({x}, '$')::JSON END ELSE {x} END"
+    return f"CASE json_type({opened}) WHEN 'ARRAY' THEN ({opened})::JSON[] WHEN 'OBJECT' THEN [{opened}] END"
+
+
+def json_objects(name: str, source: str, keep: str, array: str) -> str:
+    """A table of the objects in an array, with their places."""
+    return f"""{name} AS (SELECT * FROM (SELECT {keep}, unnest(l) AS o, unnest(generate_series(0, len(l) - 1)) AS pos FROM (SELECT *, {json_array(array)} AS l FROM {source})) WHERE json_type(o) = 'OBJECT')"""
+
+
+SHREDDED = f"""
+    WITH d AS (SELECT record_id, CASE WHEN json_valid(payload) THEN payload::JSON END AS j FROM kie_documents),
+    {json_objects('pg', "(SELECT * FROM d WHERE json_type(j) = 'OBJECT')", 'record_id', "(j->'$.pages')")},
+    {json_objects('tb', '(SELECT record_id, pos AS page_pos, o AS parent FROM pg)', 'record_id, page_pos', "(parent->'$.tables')")},
+    fd AS (SELECT record_id, pos AS page_pos, o->'$.field_details' AS f FROM pg),
+    fm AS (SELECT record_id, page_pos, k AS field_name, json_extract(f, '$."' || k || '"') AS o FROM (SELECT *, unnest(json_keys(f)) AS k FROM fd WHERE json_type(f) = 'OBJECT')),
+    fa AS (SELECT record_id, page_pos, coalesce(o->>'$.field', '') AS field_name, o FROM (SELECT record_id, page_pos, unnest(f::JSON[]) AS o FROM fd WHERE json_type(f) = 'ARRAY')),
+    dt AS (SELECT * FROM (SELECT * FROM fm UNION ALL SELECT * FROM fa) WHERE json_type(o) = 'OBJECT'),
+    {json_objects('cd', '(SELECT record_id, page_pos, field_name, o AS parent FROM dt)', 'record_id, page_pos, field_name', "(parent->'$.candidates')")}
+    SELECT record_id, 'page' AS kind, pos AS page_pos, '' AS field_name, -1 AS item_pos FROM pg
+    UNION ALL SELECT record_id, 'tbl', page_pos, '', pos FROM tb
+    UNION ALL SELECT record_id, 'detail', page_pos, field_name, -1 FROM dt
+    UNION ALL SELECT record_id, 'candidate', page_pos, field_name, pos FROM cd
+"""
+
 ORACLE: dict[str, str] = {
+    "p3_found": SHREDDED,
     "t1_strip_html": f"SELECT page_row_id, {PLAIN} AS plain FROM ocr_pages",
     "t2_normalised_lines": f"{PAGES} SELECT page_row_id, i - 1 AS line_no, norm[i] AS line FROM (SELECT page_row_id, norm, unnest(generate_series(1, len(norm))) AS i FROM n)",
     "t4_normal_forms": f"SELECT row_no, {norm('objet')} AS objet_norm, {ref_norm('ref_code')} AS ref_norm, CASE WHEN content IS NOT NULL THEN len(list_filter(regexp_split_to_array(content, {_re(r'\s+')}), lambda w: w <> '')) END AS n_words FROM generated_documents",
@@ -185,6 +294,36 @@ ORACLE: dict[str, str] = {
             list_filter(filled[1:coalesce(list_position(list_transform(filled[1:8], lambda x: {reference('x')} OR {keyword('x')}), true) - 1, 8)], lambda x: NOT {noise('x')})[1],
             list_filter(filled[1:14], lambda x: NOT {noise('x')} AND NOT {reference('x')} AND {has('x', f'(?:^|[^{WORD}])(?:Service|Département|Direction)(?:$|[^{WORD}])')})[1])"""
     ),
+    "x4_date_heuristic": value_query(
+        f"""coalesce({group('text', r'Alger\s*:?\s*,?\s*(?:le\s*)?\n\s*(' + t.DATE + ')')},
+            list_filter(list_transform(string_split(text, chr(10))[1:25], lambda x: {group('x', DATED)}), lambda v: v IS NOT NULL)[1],
+            {SPELLED_DATE})"""
+    ),
+    "x6_attachments_heuristic": value_query(
+        f"""coalesce(list_filter(list_transform(generate_series(1, len(lines)), lambda i: {LABELLED_PIECES}), lambda v: v IS NOT NULL)[1],
+            {pieces(integer(group('text', BEFORE + r'(\d{1,2})\s*pi[eè]ce?s?\s+jointe?s?' + AFTER)))},
+            {pieces(spelled(group('text', BEFORE + r'(deux|trois|quatre)\s+pi[eè]ce?s?\s+jointe?s?' + AFTER)))},
+            {pieces(spelled(group('lower(text)', r'ci[\-\s]?joint(?:e|es)?(?:\s+\w+){0,4}\s+' + COUNT + r'\s+' + THINGS)))},
+            {pieces(spelled(group('lower(text)', COUNT + r'\s+' + THINGS + r'(?:\s+\w+){0,6}\s+ci[\-\s]?joint(?:e|es)?')))},
+            CASE WHEN {has('text', BEFORE + r'Copie\s+[aà]\s*:')} OR {has('text', BEFORE + r'(?:annexes?|pi[eè]ces?)' + AFTER)} THEN '01 pièce jointe' END)"""
+    ),
+    "x7_body_regex": value_query(
+        f"""nullif({strip(f"regexp_replace(regexp_replace(coalesce({from_match(t.BODY_START)}, {from_match(SALUTATION)}), '^\n+', ''), {_re('(?s)(?:' + t.BODY_END + ').*')}, '', 'i')")}, '')"""
+    ),
+    "x3_reference_heuristic": value_query(
+        f"""coalesce({first_code(f"list_transform(generate_series(1, len(lines[1:25]) - 1), lambda i: CASE WHEN {has('lines[i]', r'^REF\s*:?\s*$')} THEN lines[i + 1] END)")},
+            {squeeze(f"list_filter(list_transform(lines[1:25], lambda x: {group('x', r'REF\s*:\s*(' + t.REF_CODE + ')')}), lambda v: v IS NOT NULL)[1]")},
+            {first_code(f"list_filter(lines[1:25], lambda x: NOT {has('x', r'^Réf\s*:')})")},
+            {first_code(f"list_filter(flatten(list_transform(generate_series(1, len(lines[1:25]) - 1), lambda i: [lines[i] || lines[i + 1], lines[i + 1] || lines[i]])), lambda x: NOT {has('x', r'^Réf\s*:')})")})"""
+    ),
+    "x2_receiver_heuristic": value_query(f"coalesce({BELOW_SENDER}, CASE WHEN {regexp_named()} THEN {valid(ADDRESSED)} WHEN {TITLE_AT} > 0 THEN {TITLED} ELSE {valid(SECOND_LINE)} END)"),
+    "x9_decoded_head": f"""{PAGES},
+        t AS (SELECT page_row_id, filled[1:18] AS top FROM p),
+        s AS (SELECT page_row_id, top, list_max(list_transform(generate_series(1, len(top)), lambda i: {{'score': {SENDER_SCORE}, 'before': -i, 'line': top[i]}})) AS s FROM t),
+        r AS (SELECT page_row_id, s, list_max(list_transform(generate_series(1, len(top)), lambda i: {{'score': {RECEIVER_SCORE}, 'before': -i, 'line': top[i]}})) AS r FROM s),
+        b AS (SELECT page_row_id, CASE WHEN s.score > 0 THEN s.line END AS sender, CASE WHEN r.score > 0 THEN r.line END AS receiver FROM r)
+        SELECT page_row_id, sender, CASE WHEN sender IS NULL OR sender <> receiver THEN receiver END AS receiver FROM b
+        UNION ALL SELECT page_row_id, NULL, NULL FROM ocr_pages WHERE raw_text IS NULL""",
     "a1_page_text": f"SELECT page_row_id, {strip(f"regexp_replace(array_to_string(list_filter(string_split(raw_text, chr(10)), lambda x: {strip('x')} <> ''), chr(10)), '<[^>]+>', '', 'g')")} AS text FROM ocr_pages",
     "a2_document_confidence": """SELECT doc_id, count(*) AS n_pages, round(coalesce(avg(least(greatest(CASE WHEN coalesce(confidence, 0) > 1 THEN confidence / 100 ELSE coalesce(confidence, 0) END, 0), 1)), 0), 6) AS confidence
                                  FROM ocr_pages WHERE doc_id IS NOT NULL GROUP BY doc_id""",
