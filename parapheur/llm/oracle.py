@@ -1,5 +1,7 @@
 """SQL that DuckDB runs beside the queries of this subpackage."""
 
+from parapheur.llm.canonical import TO_LATIN
+
 _P1_RANKS = """
     WITH s AS (
         SELECT row_id, run_id, field_name, strategy_score AS a, ensemble_score AS c,
@@ -14,7 +16,40 @@ _P1_RANKS = """
         FROM s)
 """
 
+
+def _skeleton(text: str) -> str:
+    """A text with every look-alike letter in Latin: coarser than the operator's form where a text is really foreign."""
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+    plain = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    out = rf"regexp_replace({text}, '\r\n?|[\x{{85}}\x{{2028}}\x{{2029}}]', chr(10), 'g')"
+    out = rf"regexp_replace({out}, '\x{{AD}}+([ \t]*(?:\n|$))', '-\1', 'g')"
+    out = rf"regexp_replace(regexp_replace({out}, '\p{{Cf}}', '', 'g'), '\p{{Zs}}', ' ', 'g')"
+    out = rf"translate(regexp_replace({out}, '[\x{{2010}}\x{{2011}}]', '-', 'g'), {quote(wide)}, {quote(plain)})"
+    for joined, letters in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
+        out = f"replace({out}, '{joined}', '{letters}')"
+    return f"nfc_normalize(translate(nfc_normalize({out}), {quote(''.join(TO_LATIN))}, {quote(''.join(TO_LATIN.values()))}))"
+
+
+def _look_alikes(tab: str, key: str, text: str) -> str:
+    forms = f"(SELECT {key} AS id, {text} AS t, md5({_skeleton(text)}) AS f FROM {tab} WHERE {text} <> '')"
+    return f"SELECT '{tab}' AS tab, a.id AS id_a, b.id AS id_b FROM {forms} a JOIN {forms} b ON a.f = b.f AND a.id < b.id AND a.t <> b.t"
+
+
+def _grams(tab: str, key: str) -> str:
+    words = rf"regexp_extract_all(lower(strip_accents(regexp_replace(text, '\p{{Cf}}', '', 'g'))), '[\p{{L}}\p{{N}}]+')"
+    return f"(SELECT {key}, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT {key}, w, unnest(generate_series(1, len(w) - 11)) AS i FROM (SELECT {key}, {words} AS w FROM {tab} WHERE text IS NOT NULL) WHERE len(w) >= 12))"
+
+
 ORACLE = {
+    "p2_found": _look_alikes("generated_documents", "row_no", "content") + " UNION ALL " + _look_alikes("ocr_pages", "page_row_id", "raw_text"),
+    "p6_found": f"SELECT DISTINCT doc_id, item_id FROM {_grams('documents', 'doc_id')} d JOIN {_grams('eval_items', 'item_id')} i ON d.g = i.g",
+    "p6_report": f"""SELECT e.item_id, count(DISTINCT f.doc_id) AS n_documents FROM eval_items e
+        LEFT JOIN (SELECT doc_id, item_id FROM {_grams('documents', 'doc_id')} d JOIN {_grams('eval_items', 'item_id')} i ON d.g = i.g) f ON e.item_id = f.item_id GROUP BY e.item_id""",
+    "p8_found": """
+        WITH w AS (SELECT doc_id, hash(substr(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(generate_series(1, length(text) - 299)) AS i FROM documents WHERE length(text) >= 300)),
+        s AS (SELECT DISTINCT doc_id, h FROM w), m AS (SELECT * FROM s WHERE h IN (SELECT h FROM s GROUP BY h HAVING count(*) > 1))
+        SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM m a JOIN m b ON a.h = b.h AND a.doc_id < b.doc_id""",
     "p1_found": _P1_RANKS
     + """
     SELECT row_id FROM r WHERE rank_strategy_score <= 20 AND rank_page_confidence <= 20 AND rank_ensemble_score <= 20
