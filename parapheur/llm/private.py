@@ -346,7 +346,7 @@ def _spoken(n: int, syllables: int) -> str:
 
 
 def core(secret: bytes, kind: str, normal: str, gender: str, attempt: int) -> str:
-    """The keyed part of a surrogate, before it takes a mention's format. Formats keep it whole, so different cores differ."""
+    """The keyed part of a surrogate, before it takes a mention's format; a number has as many digits as a mention shows."""
     n = _number(secret, kind, normal, str(attempt))
     if kind == "person":
         names = WOMEN if gender == "f" or gender == "n" and n % 2 else MEN
@@ -356,7 +356,13 @@ def core(secret: bytes, kind: str, normal: str, gender: str, attempt: int) -> st
         return f"{_spoken(n, 3)}.{_spoken(n >> 40, 3)}@example.org"
     if kind == "address":
         return f"{1 + n % 299} rue {_spoken(n >> 16, 4).capitalize()}"
-    return "".join(str((n >> (4 * i)) % 10) for i in range(24))
+    shown = max(sum(c.isdigit() for c in normal) - (kind == "phone"), 1)  # a phone number keeps its leading 0 or prefix
+    return str(n % 10**shown).zfill(shown)
+
+
+def distinguishing(kind: str, core_text: str) -> str:
+    """The part of a core that every format shows: two entities may not share it."""
+    return core_text.split(" ", 1)[1] if kind == "person" else core_text
 
 
 def formatted(kind: str, found: str, core_text: str) -> str:
@@ -375,14 +381,14 @@ def formatted(kind: str, found: str, core_text: str) -> str:
     if kind == "address":
         return core_text
     digits, out = iter(core_text), []
-    skip = re.match(r"(?:\+|00)33|\(?0", found) if kind == "phone" else None
+    skip = re.match(r"(?:\+|00)33[ .\n-]?(?:\(0\))?|\(?0", found) if kind == "phone" else None
     for i, c in enumerate(found):
         out.append(c if skip and i < skip.end() else next(digits, "0") if c.isdigit() else "X" if c.isalpha() else " " if c == "\n" else c)
     return "".join(out)
 
 
-def surrogates(found: DataFrame, secret: str, rounds: int = 12) -> DataFrame:
-    """(kind, normal, core) of every entity in ``found`` (kind, normal, gender); no two entities of a kind share a core.
+def surrogates(found: DataFrame, secret: str, rounds: int = 40) -> DataFrame:
+    """(kind, normal, core) of every entity in ``found`` (kind, normal, gender); no two entities of a kind look alike in any format.
 
     Cores are drawn for all entities at once; where several drew the same, the least keeps it and the others draw again.
     """
@@ -392,19 +398,20 @@ def surrogates(found: DataFrame, secret: str, rounds: int = 12) -> DataFrame:
         for batch in batches:
             kinds, normals, genders, attempts = (batch.column(i).to_pylist() for i in range(4))
             cores = [core(key, *x) for x in zip(kinds, normals, genders, attempts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cores, pa.string())], names=["kind", "normal", "gender", "attempt", "core"])
+            marks = [distinguishing(k, c) for k, c in zip(kinds, cores)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cores, pa.string()), pa.array(marks, pa.string())], names=["kind", "normal", "gender", "attempt", "core", "mark"])
 
-    schema = "kind STRING, normal STRING, gender STRING, attempt INT, core STRING"
+    schema = "kind STRING, normal STRING, gender STRING, attempt INT, core STRING, mark STRING"
     entities = found.groupBy("kind", "normal").agg(F.min("gender").alias("gender")).withColumn("attempt", F.lit(0))
     settled: DataFrame | None = None
     for _ in range(rounds):
         drawn = entities.select("kind", "normal", "gender", "attempt").mapInArrow(draw, schema).withColumn("first", F.lit(1))
         if settled is not None:
             drawn = drawn.unionByName(settled.withColumn("first", F.lit(0)))
-        place = F.row_number().over(Window.partitionBy("kind", "core").orderBy("first", "normal"))
+        place = F.row_number().over(Window.partitionBy("kind", "mark").orderBy("first", "normal"))
         drawn = written(drawn.withColumn("place", place), "surrogates")
         settled = drawn.where("place = 1").drop("first", "place")
-        entities = drawn.where("place > 1").withColumn("attempt", F.col("attempt") + 1)
+        entities = drawn.where("place > 1").drop("core", "mark", "first", "place").withColumn("attempt", F.col("attempt") + 1)
         if entities.isEmpty():
             return settled.select("kind", "normal", "core")
     raise RuntimeError("surrogates still collide; the space of names is too small for this corpus")

@@ -81,10 +81,19 @@ def test_surrogates_are_consistent_distinct_and_typed(spark):
     assert safe(spark, texts) == out and safe(spark, texts, "other")[0] != out[0]
 
 
-def test_collisions_are_settled(spark, monkeypatch):
+def test_collisions_are_settled(spark):
+    # 600 numbers of 3 digits leave no room for luck: many must be drawn again
+    small = spark.createDataFrame([("id_number", f"{i:03d}", "n") for i in range(600)], "kind STRING, normal STRING, gender STRING")
+    cores = [c.core for c in p.surrogates(small, "k").collect()]
+    assert len(cores) == 600 == len(set(cores)) and all(len(c) == 3 for c in cores)
     people = spark.createDataFrame([("person", f"nom {i}", "f") for i in range(300)], "kind STRING, normal STRING, gender STRING")
-    cores = p.surrogates(people, "k").collect()
-    assert len(cores) == 300 == len({c.core for c in cores})
+    assert len({p.distinguishing("person", c.core) for c in p.surrogates(people, "k").collect()}) == 300
+
+
+def test_one_number_in_all_formats(spark):
+    forms = ["03 53 01 99 24", "+33 (0)3 53 01 99 24", "0033353019924", "03.53.01.99.24"]
+    out = [re.search(r"\[PHONE ([^\]]+)\]", t)[1] for t, _ in safe(spark, [f"au {f} !" for f in forms])]
+    assert len({re.sub(r"\D", "", x)[-9:] for x in out}) == 1 and out[0][0] == "0" and out[1].startswith("+33 (0)")
 
 
 def test_empty_table(spark):
