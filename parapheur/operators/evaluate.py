@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from parapheur.functions import metrics as m
 from parapheur.functions.text import non_empty, strip
+from parapheur.session import spread
 
 METRICS = ("prec", "recall", "f1", "exact_match", "field_accuracy", "iou")
 # Fields in report order with the gold column of each, and the strategies in order of preference.
@@ -48,7 +49,7 @@ def gold_fields(letters: DataFrame) -> DataFrame:
 
 def scored_candidates(approaches: DataFrame, letters: DataFrame) -> DataFrame:
     """Candidate rows with their gold and the six metrics computed anew (``document`` is a file name)."""
-    rows = approaches.select("row_id", document_key(F.col("document")).alias("doc_id"), "field_name", strategy_label(F.col("strategy")).alias("strategy"), "cand_value")
+    rows = spread(approaches).select("row_id", document_key(F.col("document")).alias("doc_id"), "field_name", strategy_label(F.col("strategy")).alias("strategy"), "cand_value")
     joined = rows.join(gold_fields(letters), ["doc_id", "field_name"], "left")
     return joined.select("row_id", "doc_id", "field_name", "strategy", F.inline(F.array(m.metric_pack(F.col("cand_value"), F.col("gold"), F.col("field_name")))))
 
@@ -108,14 +109,13 @@ def macro_average(df: DataFrame, keys: list[str], columns: list[str] = list(METR
 
 
 def running_means(df: DataFrame, order: str, metric: str = "f1") -> DataFrame:
-    """After each batch (``order``), the mean of the means so far of every field.
+    """After each batch (``order``), the mean of the means so far of the report's fields.
 
     Rows are first summed a batch and field, so the window sees fields x batches rows.
     """
     sums = df.groupBy(order, "field_name").agg(F.sum(metric).alias("s"), F.count(metric).alias("n"))
     so_far = Window.partitionBy("field_name").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    batches, fields = sums.select(order).distinct(), sums.select("field_name").distinct()
-    every = batches.join(F.broadcast(fields))  # fields are the report's seven
+    every = sums.select(order).distinct().select(order, F.explode(F.array(*map(F.lit, GOLD_COLUMNS))).alias("field_name"))
     filled = every.join(sums, [order, "field_name"], "left").fillna(0, ["s", "n"])
     means = filled.select(order, (F.sum("s").over(so_far) / F.nullif(F.sum("n").over(so_far), F.lit(0))).alias("mean"))
     return means.groupBy(order).agg(F.avg("mean").alias("running_mean"))

@@ -14,7 +14,7 @@ from parapheur.operators import evaluate as ev
 from parapheur.operators import fields as fd
 from parapheur.operators import pages as pg
 from parapheur.operators import shred
-from parapheur.session import table, written
+from parapheur.session import spread, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Size of a scanned page in pixels, for the share a table covers.
@@ -25,6 +25,11 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "ocr_pages")
 
 
+def _worked_pages(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Some columns of the pages over all cores, for queries that work hard on every line."""
+    return spread(_pages(spark, sf_dir).select("page_row_id", *columns))
+
+
 def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "generated_documents")
 
@@ -73,7 +78,7 @@ def t4_normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f1_line_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = fd.with_page_columns(_pages(spark, sf_dir), "raw_text").select("page_row_id", F.posexplode("_lines").alias("line_no", "line"))
+    lines = fd.with_page_columns(_worked_pages(spark, sf_dir, "raw_text"), "raw_text").select("page_row_id", F.posexplode("_lines").alias("line_no", "line"))
     line = F.col("line")
     return lines.select("page_row_id", "line_no", t.is_noise(line).alias("noise"), t.is_reference(line).alias("reference"), t.is_keyword(line).alias("keyword"))
 
@@ -84,14 +89,14 @@ def x10_subtype(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rule(rule: Callable[[fd.Page], Column]) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        pages = fd.with_page_columns(_pages(spark, sf_dir).select("page_row_id", "raw_text"), "raw_text")
+        pages = fd.with_page_columns(_worked_pages(spark, sf_dir, "raw_text"), "raw_text")
         return pages.select("page_row_id", rule(fd.page_columns()).alias("value")).where("value IS NOT NULL")
 
     return query
 
 
 def x9_decoded_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = fd.with_page_columns(_pages(spark, sf_dir).select("page_row_id", "raw_text"), "raw_text")
+    pages = fd.with_page_columns(_worked_pages(spark, sf_dir, "raw_text"), "raw_text")
     sender, receiver = fd.decoded_head(fd.page_columns())
     return pages.select("page_row_id", sender.alias("sender"), receiver.alias("receiver"))
 
@@ -174,7 +179,7 @@ def p7_table_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_word_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every line, a line being as wide as ten pixels a character."""
-    lines = _pages(spark, sf_dir).select("page_row_id", F.posexplode(F.split("raw_text", "\n", -1)).alias("line_no", "line")).where(t.strip(F.col("line")) != "")
+    lines = _worked_pages(spark, sf_dir, "raw_text").select("page_row_id", F.posexplode(F.split("raw_text", "\n", -1)).alias("line_no", "line")).where(t.strip(F.col("line")) != "")
     words = lines.select("page_row_id", "line_no", F.posexplode(g.word_boxes(F.col("line"), F.lit(100), F.lit(100) + 10 * F.length("line"))).alias("word_no", "w"))
     return words.select("page_row_id", "line_no", "word_no", F.col("w.value").alias("word"), F.col("w.x1").alias("x1"), F.col("w.x2").alias("x2"))
 
@@ -241,7 +246,7 @@ def m8_scored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def m2_subject_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character error rate of the subject found on a page against the letter's, both folded to ASCII."""
     ascii_ = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9 ]", "")
-    pages = fd.with_page_columns(_pages(spark, sf_dir).select("page_row_id", "doc_id", "raw_text"), "raw_text")
+    pages = fd.with_page_columns(_worked_pages(spark, sf_dir, "doc_id", "raw_text"), "raw_text")
     found = pages.select("page_row_id", "doc_id", ascii_(fd.subject_regex(fd.page_columns())).alias("h")).where("h IS NOT NULL")
     gold = ev.gold_letters(_letters(spark, sf_dir)).select("doc_id", ascii_(F.coalesce("objet", F.lit(""))).alias("r"))
     joined = found.join(gold, "doc_id")
@@ -251,7 +256,7 @@ def m2_subject_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def m3_word_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word error rate of the body found on a page against the letter's content."""
-    pages = _pages(spark, sf_dir).select("page_row_id", "doc_id", F.col("body_text_no_tables").alias("h"))
+    pages = _worked_pages(spark, sf_dir, "doc_id", "body_text_no_tables").withColumnRenamed("body_text_no_tables", "h")
     gold = ev.gold_letters(_letters(spark, sf_dir)).select("doc_id", F.col("content").alias("r"))
     return pages.join(gold, "doc_id").select("page_row_id", F.round(m.word_error_rate(F.col("h"), F.col("r")), 6).alias("wer"))
 
@@ -311,7 +316,7 @@ def p11_printed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def x4_dates_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact match of the date and reference found on a page against the letter's, averaged: the flagship's slice of the report."""
-    pages = fd.with_page_columns(_pages(spark, sf_dir).select("page_row_id", "doc_id", "raw_text"), "raw_text")
+    pages = fd.with_page_columns(_worked_pages(spark, sf_dir, "doc_id", "raw_text"), "raw_text")
     page = fd.page_columns()
     found = F.array(F.struct(F.lit("Date").alias("field_name"), fd.date_regex(page).alias("predicted")), F.struct(F.lit("Ref").alias("field_name"), fd.reference_regex(page).alias("predicted")))
     long = pages.select("page_row_id", "doc_id", F.explode(found).alias("e")).select("page_row_id", "doc_id", "e.*")
