@@ -138,13 +138,11 @@ class Mixture:
         plan = wanted.join(have, "source", "left").fillna(0, ["available_tokens", "available_docs"])
         usable = (F.col("available_tokens") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") >= 1)
         plan = plan.withColumn("_share", F.when(usable, F.col("target_share")).otherwise(0.0))
-        totals = plan.agg(
-            F.sum("_share").alias("_sum"), F.min(F.when(usable, F.col("max_repeats") * F.col("available_tokens") / F.col("_share"))).alias("_room")
-        )  # one row
-        plan = plan.crossJoin(F.broadcast(totals)).withColumn("goal_share", F.when(F.col("_sum") > 0, F.col("_share") / F.col("_sum")).otherwise(0.0))
-        plan = plan.withColumn("goal_tokens", F.col("goal_share") * F.coalesce(F.col("_room") * F.col("_sum"), F.lit(0.0)))
+        totals = plan.agg(F.sum("_share").alias("sum"), F.min(F.when(usable, F.col("max_repeats") * F.col("available_tokens") / F.col("_share"))).alias("room")).first()
+        whole, room = totals["sum"] or 0.0, totals["room"] or 0.0
+        plan = plan.withColumn("goal_share", F.col("_share") / whole if whole > 0 else F.lit(0.0)).withColumn("goal_tokens", F.col("goal_share") * F.lit(room * whole))
         rate = F.when(usable, F.least(F.col("goal_tokens") / F.col("available_tokens"), F.col("max_repeats").cast("double"))).otherwise(0.0)
-        self.plan = written(plan.withColumn("rate", rate).drop("_share", "_sum", "_room"), "plan")
+        self.plan = written(plan.withColumn("rate", rate).drop("_share"), "plan")
         self._choose(seed, block)
 
     def _choose(self, seed: int, block: int) -> None:
@@ -192,8 +190,8 @@ class Mixture:
             F.sum(F.col("n_tokens") * F.col("copies")).alias("used_tokens"), F.count(F.lit(1)).alias("used_docs"), F.sum("copies").alias("used_copies"), F.max("copies").alias("most_copies")
         )
         out = self.plan.join(used, "source", "left").fillna(0, ["used_tokens", "used_docs", "used_copies", "most_copies"])
-        total = out.agg(F.sum("used_tokens").alias("_total"))  # one row
-        share = F.when(F.col("_total") > 0, F.col("used_tokens") / F.col("_total")).otherwise(0.0)
-        return out.crossJoin(F.broadcast(total)).select(
+        total = self.chosen.agg(F.sum(F.col("n_tokens") * F.col("copies"))).first()[0] or 0
+        share = F.col("used_tokens") / total if total else F.lit(0.0)
+        return out.select(
             "source", "target_share", "goal_share", share.alias("actual_share"), "max_repeats", "available_tokens", "available_docs", "used_tokens", "used_docs", "used_copies", "most_copies"
         )
