@@ -105,3 +105,9 @@ def word_boxes(line: Column, x1: Column, x2: Column) -> Column:
         return let(boxes, lambda b: F.transform(b, lambda w, i: F.when(i == F.size(b) - 1, F.struct(w["value"].alias("value"), w["x1"].alias("x1"), x2.cast("int").alias("x2"))).otherwise(w)))
 
     return F.when(F.size(parts) > 0, let(parts, laid_out))
+
+
+def cells_of_text(text: Column) -> Column:
+    """ARRAY<ARRAY<STRING>>: the cells of a table written as comma-separated lines; blank lines are no rows."""
+    rows = F.filter(F.split(text, "\n", -1), lambda r: F.trim(r) != "")
+    return F.transform(rows, lambda r: F.transform(F.split(r, ",", -1), lambda c: F.trim(c)))

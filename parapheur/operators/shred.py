@@ -229,3 +229,15 @@ def kie_found(nodes: DataFrame) -> DataFrame:
         .unionByName(rows(e["details"], "detail", F.col("field_name"), no_item))
         .unionByName(rows(e["candidates"], "candidate", F.col("field_name"), F.col("item_pos")))
     )
+
+
+def selected_origins(entities: dict[str, DataFrame]) -> DataFrame:
+    """The strategy of the first candidate whose value is the selected one, for every detail with a selected value.
+
+    ``origin`` is null where no candidate has that value; the minimum over places is combined on the map side.
+    """
+    details = entities["details"].select("record_id", "detail_node", "page_pos", "field_name", "selected").where("selected IS NOT NULL")
+    candidates = entities["candidates"].select("record_id", "detail_node", F.col("cand_value").alias("selected"), "item_pos", "strategy")
+    first = candidates.groupBy("record_id", "detail_node", "selected").agg(F.min(F.struct("item_pos", "strategy")).alias("_f"))
+    found = details.join(first, ["record_id", "detail_node", "selected"], "left")
+    return found.select("record_id", "page_pos", "field_name", "selected", F.col("_f.strategy").alias("origin"), F.col("_f.item_pos").alias("item_pos"))

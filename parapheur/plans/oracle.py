@@ -273,8 +273,20 @@ SHREDDED = f"""
     UNION ALL SELECT record_id, 'candidate', page_pos, field_name, pos FROM cd
 """
 
+ORIGINS = SHREDDED[: SHREDDED.index("    SELECT record_id, 'page'")].rstrip() + """,
+    sel AS (SELECT row_number() OVER () AS d, * FROM (SELECT record_id, page_pos, field_name, o, o->>'$.selected' AS selected FROM dt) WHERE selected IS NOT NULL),
+    can AS (SELECT * FROM (SELECT d, selected, unnest(l) AS c, unnest(generate_series(0, len(l) - 1)) AS pos FROM (SELECT d, selected, {0} AS l FROM sel)) WHERE json_type(c) = 'OBJECT' AND c->>'$.value' = selected
+            QUALIFY row_number() OVER (PARTITION BY d ORDER BY pos) = 1)
+    SELECT s.record_id, s.page_pos, s.field_name, s.selected, c->>'$.strategy' AS origin, pos AS item_pos FROM sel s LEFT JOIN can ON s.d = can.d
+""".replace("{0}", json_array("(o->'$.candidates')"))
+
 ORACLE: dict[str, str] = {
     "p3_found": SHREDDED,
+    "j8_selected_origins": ORIGINS,
+    "op_p14_table_cells": """
+        WITH r AS (SELECT row_no, list_filter(string_split(table_text, chr(10)), lambda x: trim(x) <> '') AS rows FROM generated_documents WHERE table_text IS NOT NULL),
+        c AS (SELECT row_no, i - 1 AS r, string_split(rows[i], ',') AS cells FROM (SELECT row_no, rows, unnest(generate_series(1, len(rows))) AS i FROM r))
+        SELECT row_no, r, j - 1 AS c, trim(cells[j]) AS cell FROM (SELECT row_no, r, cells, unnest(generate_series(1, len(cells))) AS j FROM c)""",
     "t1_strip_html": f"SELECT page_row_id, {PLAIN} AS plain FROM ocr_pages",
     "t2_normalised_lines": f"{PAGES} SELECT page_row_id, i - 1 AS line_no, norm[i] AS line FROM (SELECT page_row_id, norm, unnest(generate_series(1, len(norm))) AS i FROM n)",
     "t4_normal_forms": f"SELECT row_no, {norm('objet')} AS objet_norm, {ref_norm('ref_code')} AS ref_norm, CASE WHEN content IS NOT NULL THEN len(list_filter(regexp_split_to_array(content, {_re(r'\s+')}), lambda w: w <> '')) END AS n_words FROM generated_documents",

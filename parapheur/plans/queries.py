@@ -61,6 +61,10 @@ def _p3_entity(name: str) -> Query:
     return query
 
 
+def j8_selected_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shred.selected_origins(shred.kie_entities(written(shred.kie_nodes(table(spark, sf_dir, "kie_documents")), "nodes")))
+
+
 # Text ----------------------------------------------------------------------------------------------------------------
 
 
@@ -199,6 +203,11 @@ def a19_tables_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.groupBy("doc_id").agg(count("t").alias("tables_detected"), count("s").alias("stamps_detected"))
 
 
+def p14_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _letters(spark, sf_dir).select("row_no", F.posexplode(g.cells_of_text(F.col("table_text"))).alias("r", "cells"))
+    return rows.select("row_no", "r", F.posexplode("cells").alias("c", "cell"))
+
+
 # Gold and joins ------------------------------------------------------------------------------------------------------
 
 
@@ -355,7 +364,7 @@ QUERIES: dict[str, Query] = {
             a1_page_text, a2_document_confidence, a3_document_text, m9_confidence, a6_filled_share, f6_large_tables, j5_stamps_outside_tables, j6_grid_cells,
             a19_tables_per_document, s3_gold_letters, j2_gold_fields, j1_pages_with_letters, j4_letters_without_pages, w9_batches, e1_processed_documents,
             m8_scored_candidates, m2_subject_errors, m3_word_errors, a8_metric_stats, a9_run_stats, a10_field_means, a14_macro_average, a15_macro_by_strategy,
-            a16_running_means, a20_heatmap, w10_ranked_candidates, w10_winners, x4_dates_by_field,
+            j8_selected_origins, a16_running_means, a20_heatmap, w10_ranked_candidates, w10_winners, x4_dates_by_field,
         )
     },
     # operators of the projection group; their queries are not of the problems with the same letter
@@ -363,6 +372,7 @@ QUERIES: dict[str, Query] = {
     "op_p6_word_boxes": p6_word_boxes,
     "op_p7_table_extent": p7_table_extent,
     "op_p8_report_values": p8_report_values,
+    "op_p14_table_cells": p14_table_cells,
     "op_p11_printed_metrics": p11_printed_metrics,
     "op_p9_full_text": p9_full_text,
     **{f"a12_matrix_{metric}": _a12(metric) for metric in ev.METRICS},

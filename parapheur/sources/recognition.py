@@ -148,6 +148,35 @@ def preprocessed(image: np.ndarray) -> np.ndarray:
     return sharpen(image) if is_digital(image) else threshold(denoise(deskew(image)))
 
 
+def stamps(image: np.ndarray, smallest: int = 30, largest: int = 200, apart: int = 50, complete: float = 0.5) -> list[tuple[int, int, int]]:
+    """(x, y, radius) of round stamps: edge points vote for centres along their gradient, a circle needs half its rim.
+
+    Stronger circles come first; a weaker one nearer than ``apart`` to one already found is left out.
+    """
+    g = _blur(gray(image), _gaussian(1.5))
+    gy, gx = np.gradient(g)
+    size = np.hypot(gx, gy)
+    ys, xs = np.nonzero(size > 12)
+    if not len(ys):
+        return []
+    dx, dy = gx[ys, xs] / size[ys, xs], gy[ys, xs] / size[ys, xs]
+    found: list[tuple[float, int, int, int]] = []
+    for radius in range(smallest, largest + 1, 2):
+        votes = np.zeros(g.shape)
+        for side in (1, -1):
+            cx, cy = np.rint(xs + side * radius * dx).astype(int), np.rint(ys + side * radius * dy).astype(int)
+            ok = (cx >= 0) & (cx < g.shape[1]) & (cy >= 0) & (cy < g.shape[0])
+            np.add.at(votes, (cy[ok], cx[ok]), 1.0)
+        votes = _blur(votes, np.ones(5)) / (2 * np.pi * radius)  # share of the rim whose normals meet within two pixels
+        for y, x in np.argwhere(votes >= complete):
+            found.append((float(votes[y, x]), int(x), int(y), radius))
+    kept: list[tuple[int, int, int]] = []
+    for _, x, y, radius in sorted(found, key=lambda c: (-c[0], c[3], c[2], c[1])):
+        if all(np.hypot(x - a, y - b) >= apart for a, b, _ in kept):
+            kept.append((x, y, radius))
+    return kept
+
+
 def looks_handwritten(image: np.ndarray) -> bool:
     """Strokes of very uneven size: at least five components whose areas vary by more than half the region's size.
 

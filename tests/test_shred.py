@@ -55,3 +55,10 @@ def test_all_scalars_of_an_object_survive(spark):
     nodes = shred.kie_nodes(df).where("kind = 'scalar'")
     assert {r.label: r.scalar for r in nodes.collect()} == {"a": "1", "b": "x", "d": "1.5", "e": "true", "f": ""}
     assert nodes.where(F.col("parent") != 1).isEmpty()
+
+
+def test_selected_values_lead_to_their_first_candidate(spark):
+    details = {"a": {"selected": "v", "candidates": [{"value": "u", "strategy": "regex"}, {"value": "v", "strategy": "heuristic"}, {"value": "v", "strategy": "fuzzy"}]}, "b": {"selected": "x"}, "c": {"selected": None}}
+    df = spark.createDataFrame([(1, json.dumps({"pages": [{"field_details": details}]}))], "record_id BIGINT, payload STRING")
+    out = {r.field_name: (r.origin, r.item_pos) for r in shred.selected_origins(shred.kie_entities(shred.kie_nodes(df))).collect()}
+    assert out == {"a": ("heuristic", 1), "b": (None, None)}

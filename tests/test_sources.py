@@ -116,3 +116,13 @@ def test_layout_and_fallback(spark):
     first = pages.where("page = 1").withColumn("method", F.lit("a"))
     both = recognition.with_fallback(first, pages, lambda p: p.withColumn("method", F.lit("b")))
     assert {(r.page, r.method) for r in both.collect()} == {(1, "a"), (2, "b")}
+
+
+def test_stamps_are_found_and_lines_are_not():
+    yy, xx = np.mgrid[:220, :300]
+    page = np.full((220, 300), 255.0)
+    page[np.abs(np.hypot(xx - 90, yy - 100) - 45) < 2.5] = 40
+    page[150:153, 10:290] = 0
+    found = recognition.stamps(page, largest=70)
+    assert len(found) == 1 and np.hypot(found[0][0] - 90, found[0][1] - 100) <= 3 and abs(found[0][2] - 45) <= 4
+    assert recognition.stamps(np.full((60, 60), 255.0), largest=30) == []
