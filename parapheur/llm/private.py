@@ -255,7 +255,7 @@ def find(text: str | None) -> list[Piece]:
             found.append((m.start("n"), m.end("n"), "person", m["t"]))
     found += [(m.start("n"), m.end("n"), "person", "") for m in _CUED.finditer(plain) if not _NO_NAME.match(m["n"])]
     for m in _SIGNED.finditer(plain):
-        if not _NO_NAME.match(m["n"]) and (len(m["n"].split()) == 2 or _known_name(m["n"])):
+        if not _NO_NAME.match(m["n"]) and (len(m["n"].split()) == 2 or _known_name(m["n"])):  # "M." before two names is a title
             found.append((m.start("n"), m.end("n"), "person", ""))
     found += [(m.start("n"), m.end("n"), "person", "") for m in _ALONE.finditer(plain) if _known_name(m["n"]) and not _NO_NAME.match(m["n"])]
     found.sort(key=lambda f: (f[0], -f[1]))

@@ -16,6 +16,7 @@ MISREAD = (
     ("i", "1"),
     ("I", "1"),
     ("I", "l"),
+    ("I", "|"),
     ("l", "1"),
     ("l", "I"),
     ("l", "|"),

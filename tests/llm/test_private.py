@@ -30,6 +30,7 @@ from parapheur.llm import private as p
         ("contactez Mon5ieur M. Teflevrane au", "person", "M. Teflevrane"),
         ("Je soussigné Walid BELKO, agent", "person", "Walid BELKO"),
         ("cordialement\nLe Directeur\nM. Cherzofeche\nPage 1", "person", "M. Cherzofeche"),
+        ("cordialement\nLe Directeur\nM. Karim Belko\nPage 1", "person", "Karim Belko"),
         ("contactez Ｍｍｅ Lаmіа Fаrgou au", "person", "Lаmіа Fаrgou"),
     ],
 )
