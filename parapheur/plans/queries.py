@@ -12,7 +12,6 @@ from parapheur.functions import metrics as m
 from parapheur.functions import text as t
 from parapheur.operators import evaluate as ev
 from parapheur.operators import fields as fd
-from parapheur.operators import pages as pg
 from parapheur.operators import shred
 from parapheur.session import spread, table, written
 
@@ -270,6 +269,16 @@ def m3_word_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.join(gold, "doc_id").select("page_row_id", F.round(m.word_error_rate(F.col("h"), F.col("r")), 6).alias("wer"))
 
 
+def m4_ocr_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error rates, edit distance and accuracy of the body of every page against the letter's content."""
+    pages = _worked_pages(spark, sf_dir, "doc_id", "body_text_no_tables")
+    return ev.ocr_metrics(pages, _letters(spark, sf_dir), "body_text_no_tables", "content")
+
+
+def a9_ocr_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ev.metric_stats(m4_ocr_metrics(spark, sf_dir), ["cer", "wer", "edit_distance", "accuracy"]), ["mean", "min", "max", "std"])
+
+
 def a8_metric_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ev.metric_stats(_approaches(spark, sf_dir), list(ev.METRICS)), ["mean", "min", "max", "std"])
 
@@ -363,7 +372,7 @@ QUERIES: dict[str, Query] = {
             t1_strip_html, t2_normalised_lines, t4_normal_forms, f1_line_classes, x10_subtype, x9_decoded_head, kie_candidates, kie_selected, kie_fields,
             a1_page_text, a2_document_confidence, a3_document_text, m9_confidence, a6_filled_share, f6_large_tables, j5_stamps_outside_tables, j6_grid_cells,
             a19_tables_per_document, s3_gold_letters, j2_gold_fields, j1_pages_with_letters, j4_letters_without_pages, w9_batches, e1_processed_documents,
-            m8_scored_candidates, m2_subject_errors, m3_word_errors, a8_metric_stats, a9_run_stats, a10_field_means, a14_macro_average, a15_macro_by_strategy,
+            m8_scored_candidates, m2_subject_errors, m3_word_errors, m4_ocr_metrics, a9_ocr_overall, a8_metric_stats, a9_run_stats, a10_field_means, a14_macro_average, a15_macro_by_strategy,
             j8_selected_origins, a16_running_means, a20_heatmap, w10_ranked_candidates, w10_winners, x4_dates_by_field,
         )
     },

@@ -40,12 +40,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="parapheur-checkpoint-"))
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint in the shared folder: survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager)
-
-
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it again.
 

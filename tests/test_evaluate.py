@@ -73,3 +73,10 @@ def test_degradation_is_reproducible_and_about_as_strong_as_asked(spark):
 def test_printed(spark):
     df = spark.createDataFrame([(0.71428571,), (None,)], "x DOUBLE")
     assert [r[0] for r in df.select(ev.printed(F.col("x"))).collect()] == ["0.7143", "n/a"]
+
+
+def test_ocr_metrics_clamp_and_skip_pages_without_letters(spark):
+    pages = spark.createDataFrame([(1, "doc_1", "été chaud"), (2, "doc_1", None), (3, "doc_2", "x"), (4, None, "y")], "page_row_id INT, doc_id STRING, body STRING")
+    letters = spark.createDataFrame([(1, "doc_1_a.pdf", "ete chaud")], "row_no INT, filename STRING, content STRING")
+    out = {r.page_row_id: r for r in ev.ocr_metrics(pages, letters, "body", "content").collect()}
+    assert out.keys() == {1, 2} and (out[1].edit_distance, out[1].wer) == (2, 0.5) and out[1].accuracy == pytest.approx(1 - 2 / 9) and out[2].cer == 1.0

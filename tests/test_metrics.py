@@ -23,6 +23,12 @@ def test_hand_written_cases(spark):
     assert ref["exact_match"] == 1.0
 
 
+def test_single_metrics_agree_with_the_pack(spark):
+    df = spark.createDataFrame([("a a b c", "a a a b d"), (None, "x"), ("y", None)], "p STRING, g STRING")
+    rows = df.select(m.token_scores(F.col("p"), F.col("g")).alias("s"), m.token_iou(F.col("p"), F.col("g")).alias("i")).collect()
+    assert (rows[0].s.prec, rows[0].s.recall, rows[0].i) == (0.75, 0.6, 0.5) and rows[1].i == 0 and rows[2].s is None and rows[2].i is None
+
+
 def test_token_scores_agree_with_counters(spark):
     rng = random.Random(3)
     rows = [(" ".join(rng.choices("a b c dé É".split(), k=rng.randrange(6))), " ".join(rng.choices("a b c dé É".split(), k=rng.randrange(6))), "objet") for _ in range(60)]
