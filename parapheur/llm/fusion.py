@@ -31,10 +31,6 @@ def _bucket(value: Column) -> Column:
     return F.when(value > 0, steps).when(value < 0, -steps).otherwise(F.lit(0))
 
 
-def _same(keys: Sequence[str], left: DataFrame, right: DataFrame) -> Column:
-    return reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[k]) for k in keys))
-
-
 def value_ranks(values: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Place of every distinct ``value`` in its list: (keys, value, _place).
 
