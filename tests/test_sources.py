@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from parapheur import cli
@@ -101,6 +102,49 @@ def test_image_steps():
     assert not recognition.looks_handwritten(spot) and recognition.skew_angle(np.full((9, 9), 255)) == 0.0
 
 
+@pytest.mark.parametrize("angle", [-40, -8, -0.2, 0, 3, 8, 20, 44])
+def test_skew_of_any_angle_up_to_45(angle):
+    yy, xx = np.mgrid[:420, :600].astype(float)
+    t = np.radians(angle)
+    u, v = np.cos(t) * (xx - 300) + np.sin(t) * (yy - 210), np.cos(t) * (yy - 210) - np.sin(t) * (xx - 300)
+    page = np.where((np.abs(u) < 160) & (np.abs(v) < 100) & (np.mod(v, 20) < 8) & (np.mod(u, 9) < 6), 0, 255).astype(np.uint8)
+    want = 0 if abs(angle) < 0.5 else angle
+    assert abs(recognition.skew_angle(page) - want) <= 0.3
+    upright = recognition.deskew(page)
+    assert recognition.skew_angle(upright) == 0.0 and recognition.deskew(np.dstack([page] * 3)).shape == (420, 600, 3)
+    assert ((upright < 128).sum(axis=1) == 0).sum() > 420 - 10 * 12  # rows between the lines are free of ink again
+
+
+def test_an_even_block_is_not_turned():
+    page = np.full((300, 200), 255, np.uint8)
+    page[20:280, 15:185] = 0
+    assert recognition.skew_angle(page) == 0.0
+
+
+def _slow_means(g, strength, template, search):
+    """Non-local means by the definition, pixel by pixel."""
+    r, s = template // 2, search // 2
+    pad = np.pad(g.astype(float), r + s, mode="reflect")
+    out = np.empty(g.shape)
+    for y, x in np.ndindex(*g.shape):
+        a, b = y + r + s, x + r + s
+        mine = pad[a - r : a + r + 1, b - r : b + r + 1]
+        total = weight = 0.0
+        for c in range(a - s, a + s + 1):
+            for d in range(b - s, b + s + 1):
+                w = np.exp(-((mine - pad[c - r : c + r + 1, d - r : d + r + 1]) ** 2).mean() / strength**2)
+                if w >= 0.001:
+                    total, weight = total + w * pad[c, d], weight + w
+        out[y, x] = total / weight
+    return out
+
+
+def test_denoise_windows():
+    g = np.random.default_rng(2).integers(100, 125, (14, 17)).astype(np.uint8)
+    assert np.abs(recognition.denoise(g) - _slow_means(g, 10, 7, 21)).max() <= 0.51
+    assert np.abs(recognition.denoised_for_tables(g) - _slow_means(g, 5, 7, 15)).max() <= 0.51
+
+
 def test_digital_pages_by_statistics(spark):
     rows = [("d", 1, 2, 2, 1, bytearray([255] * 4)), ("d", 2, 1, 2, 3, bytearray([0, 0, 0, 255, 255, 255]))]
     stats = recognition.page_statistics(spark.createDataFrame(rows, "doc_id STRING, page INT, height INT, width INT, channels INT, data BINARY"))
