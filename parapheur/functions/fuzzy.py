@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Sequence
+from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -65,6 +66,37 @@ def similarity(left: str | None, right: str | None) -> float:
     return partial_ratio(left, right) if left and right else 0.0
 
 
+def plain_ratio(left: str | None, right: str | None, matcher: SequenceMatcher | None = None) -> float:
+    """Twice the letters in matching blocks over all letters of both, 0 if either is empty; letters that fill a long right text are not matched first.
+
+    A ``matcher`` kept from the last call saves the index of a right text that comes again.
+    """
+    left, right = (left or "").strip().lower(), (right or "").strip().lower()
+    if not left or not right:
+        return 0.0
+    if left == right and len(right) < 200:  # a longer one may have no letter to start a block from
+        return 1.0
+    matcher = matcher or SequenceMatcher(None)
+    if matcher.b != right:
+        matcher.set_seq2(right)
+    matcher.set_seq1(left)
+    return matcher.ratio()
+
+
+def text_ratio(left: Column, right: Column) -> Column:
+    """``plain_ratio`` of two columns, in Arrow batches; never null. Equal pairs of a batch are measured once."""
+
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        pairs = list(zip(a, b))
+        matcher = SequenceMatcher(None)
+        # by right text, so that each is indexed once
+        known = {p: plain_ratio(*p, matcher) for p in sorted(set(pairs), key=lambda p: p[1] or "")}
+        return pd.Series([known[p] for p in pairs], dtype=float)
+
+    return ratio(left, right)
+
+
 def best_label_line(lines: Column, aliases: Sequence[str], window: int, floor: float = 0.0) -> Column:
     """STRUCT<idx INT, score DOUBLE> of the line among the first ``window`` that is most like one of the aliases; the first of equals.
 

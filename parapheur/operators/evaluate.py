@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parapheur.functions import metrics as m
+from parapheur.functions import fuzzy, metrics as m
 from parapheur.functions.text import non_empty, strip
 from parapheur.session import spread
 
@@ -54,6 +54,16 @@ def scored_candidates(approaches: DataFrame, letters: DataFrame) -> DataFrame:
     return joined.select("row_id", "doc_id", "field_name", "strategy", F.inline(F.array(m.metric_pack(F.col("cand_value"), F.col("gold"), F.col("field_name")))))
 
 
+def fuzzy_scores(approaches: DataFrame, letters: DataFrame) -> DataFrame:
+    """Candidate rows with the plain ratio of value and gold, and the report's FuzzyScore: the strategy's own score where it gave one.
+
+    A row without gold or without a value has the ratio 0. A selected value has no score of its own: its FuzzyScore is the ratio.
+    """
+    rows = spread(approaches).select("row_id", document_key(F.col("document")).alias("doc_id"), "field_name", strategy_label(F.col("strategy")).alias("strategy"), "cand_value", "strategy_score")
+    joined = rows.join(gold_fields(letters), ["doc_id", "field_name"], "left").withColumn("text_ratio", fuzzy.text_ratio(F.col("cand_value"), F.col("gold")))
+    return joined.select("row_id", "doc_id", "field_name", "strategy", "text_ratio", F.coalesce("strategy_score", "text_ratio").alias("fuzzy_score"))
+
+
 def ocr_metrics(pages: DataFrame, letters: DataFrame, hypothesis: str, gold: str) -> DataFrame:
     """Character and word error rate, edit distance and accuracy of a page column against a gold column."""
     joined = pages.join(gold_letters(letters).select("doc_id", F.col(gold).alias("_gold")), "doc_id")

@@ -251,6 +251,10 @@ def m8_scored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ev.scored_candidates(table(spark, sf_dir, "kie_approaches"), _letters(spark, sf_dir)), list(ev.METRICS))
 
 
+def m12_fuzzy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ev.fuzzy_scores(table(spark, sf_dir, "kie_approaches"), _letters(spark, sf_dir)), ["text_ratio", "fuzzy_score"])
+
+
 def m2_subject_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character error rate of the subject found on a page against the letter's, both folded to ASCII."""
     ascii_ = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9 ]", "")
@@ -372,7 +376,7 @@ QUERIES: dict[str, Query] = {
             t1_strip_html, t2_normalised_lines, t4_normal_forms, f1_line_classes, x10_subtype, x9_decoded_head, kie_candidates, kie_selected, kie_fields,
             a1_page_text, a2_document_confidence, a3_document_text, m9_confidence, a6_filled_share, f6_large_tables, j5_stamps_outside_tables, j6_grid_cells,
             a19_tables_per_document, s3_gold_letters, j2_gold_fields, j1_pages_with_letters, j4_letters_without_pages, w9_batches, e1_processed_documents,
-            m8_scored_candidates, m2_subject_errors, m3_word_errors, m4_ocr_metrics, a9_ocr_overall, a8_metric_stats, a9_run_stats, a10_field_means, a14_macro_average, a15_macro_by_strategy,
+            m8_scored_candidates, m12_fuzzy_scores, m2_subject_errors, m3_word_errors, m4_ocr_metrics, a9_ocr_overall, a8_metric_stats, a9_run_stats, a10_field_means, a14_macro_average, a15_macro_by_strategy,
             j8_selected_origins, a16_running_means, a20_heatmap, w10_ranked_candidates, w10_winners, x4_dates_by_field,
         )
     },

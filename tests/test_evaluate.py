@@ -1,9 +1,13 @@
+from difflib import SequenceMatcher
+
 import pytest
 from pyspark.sql import functions as F
 
+from parapheur.functions.fuzzy import plain_ratio
 from parapheur.operators import evaluate as ev
 from parapheur.operators.degrade import degraded
 from parapheur.operators.ordering import with_global_place
+from parapheur.plans.queries import QUERIES
 
 
 def frame(spark, rows):
@@ -80,3 +84,22 @@ def test_ocr_metrics_clamp_and_skip_pages_without_letters(spark):
     letters = spark.createDataFrame([(1, "doc_1_a.pdf", "ete chaud")], "row_no INT, filename STRING, content STRING")
     out = {r.page_row_id: r for r in ev.ocr_metrics(pages, letters, "body", "content").collect()}
     assert out.keys() == {1, 2} and (out[1].edit_distance, out[1].wer) == (2, 0.5) and out[1].accuracy == pytest.approx(1 - 2 / 9) and out[2].cer == 1.0
+
+
+def test_fuzzy_scores_are_plain_ratios_unless_a_strategy_gave_its_own(spark, data):
+    letters = spark.createDataFrame([(1, "doc_1_a.pdf", " Service du Port ")], "row_no INT, filename STRING, source STRING").withColumns({c: F.lit(None).cast("string") for c in ev.GOLD_COLUMNS.values() if c != "source"})
+    rows = [
+        (1, "doc_1_a.pdf", "Source", "service port", None), (2, "doc_1_a.pdf", "Source", "service port", 0.25), (3, "doc_1_a.pdf", "Source", None, None),
+        (4, "doc_1_a.pdf", "Date", "01/02/2020", None), (5, "doc_2_b.pdf", "Source", "x", None), (6, None, None, " ", None), (7, "doc_1_a.pdf", "Source", "SERVICE DU PORT", None),
+    ]
+    df = spark.createDataFrame([(i, d, f, "regex", v, s) for i, d, f, v, s in rows], "row_id INT, document STRING, field_name STRING, strategy STRING, cand_value STRING, strategy_score DOUBLE")
+    out = {r.row_id: (round(r.text_ratio, 6), round(r.fuzzy_score, 6)) for r in ev.fuzzy_scores(df, letters).collect()}
+    ratio = round(2 * 12 / 27, 6)  # "service " and "port" in 12 and 15 letters
+    assert out == {1: (ratio, ratio), 2: (ratio, 0.25), 3: (0, 0), 4: (0, 0), 5: (0, 0), 6: (0, 0), 7: (1, 1)}
+    # letters that fill a right text of 200 or more are no block of their own, as in the reference
+    assert plain_ratio("ba" * 5, "ab" * 100) == 0.0 and plain_ratio("ab" * 100, "ba" * 5) == pytest.approx(2 * 10 / 210)
+    words = ["", "a", "abc", "bca", "ab" * 100, "abc d" * 50, "d cba" * 50, "xa" + "ab" * 120]
+    kept = SequenceMatcher(None)
+    assert all(plain_ratio(a, b, kept) == (SequenceMatcher(None, a, b).ratio() if a and b else 0) for b in words for a in words)
+    scores = QUERIES["m12_fuzzy_scores"](spark, data)
+    assert scores.count() == spark.read.parquet(f"{data}/kie_approaches.parquet").count() and scores.where("text_ratio IS NULL OR isnan(fuzzy_score)").isEmpty()
