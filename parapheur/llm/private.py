@@ -23,6 +23,7 @@ import hmac
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -419,6 +420,21 @@ def surrogates(found: DataFrame, secret: str, rounds: int = 40) -> DataFrame:
 
 def pseudonymised(df: DataFrame, key: str, text: str, secret: str) -> DataFrame:
     """(key, safe_text, n_replaced): every text with ``[KIND surrogate]`` in place of each piece and all else unchanged."""
+    return pseudonymised_tables([(df, key, text)], secret)[0]
+
+
+def pseudonymised_tables(tables: list[tuple[DataFrame, str, str]], secret: str) -> list[DataFrame]:
+    """``pseudonymised`` of several tables (rows, key, text) that are used together.
+
+    Surrogates are drawn once over the entities of all: one entity has one surrogate everywhere, two never share one.
+    """
+    found = [written(_with_normals(df, key, text), "pieces") for df, key, text in tables]
+    cores = surrogates(reduce(DataFrame.unionByName, [f.select("kind", "normal", "gender") for f in found]), secret)
+    return [_replaced(df, key, text, f, cores) for (df, key, text), f in zip(tables, found)]
+
+
+def _with_normals(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(_key, kind, start_pos, end_pos, found, normal, gender) of every piece."""
     kind = df.schema[key].dataType.simpleString()
     describe = "_key {0}, kind STRING, start_pos INT, end_pos INT, found STRING, normal STRING, gender STRING".format(kind)
 
@@ -429,8 +445,11 @@ def pseudonymised(df: DataFrame, key: str, text: str, secret: str) -> DataFrame:
             gender = [gender_of(t or "", f) if k == "person" else "n" for k, f, t in zip(kinds, found, titles)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(normal, pa.string()), pa.array(gender, pa.string())], names=["_key", "kind", "start_pos", "end_pos", "found", "normal", "gender"])
 
-    found = written(pieces(df, key, text).mapInArrow(normals, describe), "pieces")
-    cores = surrogates(found.select("kind", "normal", "gender"), secret)
+    return pieces(df, key, text).mapInArrow(normals, describe)
+
+
+def _replaced(df: DataFrame, key: str, text: str, found: DataFrame, cores: DataFrame) -> DataFrame:
+    kind = df.schema[key].dataType.simpleString()
     edits = found.join(cores, ["kind", "normal"]).groupBy("_key").agg(F.collect_list(F.struct("start_pos", "end_pos", "kind", "found", "core")).alias("edits"))  # bounded by the text
     rows = df.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
 

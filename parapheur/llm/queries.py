@@ -48,7 +48,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_pseudonymised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [private.pseudonymised(table(spark, sf_dir, name), key, text, SECRET).select(F.lit(name).alias("tab"), F.col(key).alias("row_id"), "safe_text", "n_replaced") for name, key, text in TEXTS]
+    safe = private.pseudonymised_tables([(table(spark, sf_dir, name), key, text) for name, key, text in TEXTS], SECRET)
+    parts = [df.select(F.lit(name).alias("tab"), F.col(key).alias("row_id"), "safe_text", "n_replaced") for (name, key, _), df in zip(TEXTS, safe)]
     return parts[0].unionByName(parts[1])
 
 

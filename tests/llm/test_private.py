@@ -3,6 +3,7 @@ import re
 import pytest
 
 from parapheur.llm import private as p
+from parapheur.llm import queries
 
 
 @pytest.mark.parametrize(
@@ -100,3 +101,19 @@ def test_one_number_in_all_formats(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "id BIGINT, t STRING")
     assert p.pieces(df, "id", "t").count() == 0 and p.pseudonymised(df, "id", "t", "s").count() == 0
+
+
+def test_surrogates_hold_across_the_tables_of_the_query(spark, tmp_path, monkeypatch):
+    first: dict[str, list[str]] = {}
+    for i in range(20_000):
+        first.setdefault(p.core(b"s", "id_number", f"ab{i:07d}", "n", 0), []).append(f"{i:07d}")
+    (a, b), (c, d) = [sorted(x)[:2] for x in first.values() if len(x) > 1][:2]  # each draws the surrogate of the other
+    line = "passeport n° AB{}.".format
+    spark.createDataFrame([(1, line(a)), (2, line(c)), (3, line(d))], "row_no BIGINT, content STRING").write.parquet(str(tmp_path / "generated_documents.parquet"))
+    spark.createDataFrame([(1, line(b)), (2, line(d)), (3, None)], "page_row_id BIGINT, raw_text STRING").write.parquet(str(tmp_path / "ocr_pages.parquet"))
+    monkeypatch.setattr(queries, "SECRET", "s")
+    out = {(r.tab, r.row_id): r.safe_text for r in queries.p4_pseudonymised(spark, str(tmp_path)).collect()}
+    letters, pages = ({k[1]: v for k, v in out.items() if k[0] == tab} for tab in ("generated_documents", "ocr_pages"))
+    assert letters[1] != pages[1]  # two entities, one in each table
+    assert letters[3] == pages[2] != letters[2]  # one entity, redrawn in both tables though only letters hold its rival
+    assert pages[3] is None and len(out) == 6
