@@ -14,15 +14,18 @@ from parapheur.sources import files
 
 
 def extract(spark: SparkSession, pages: str, out: str, docs: int | None = None, batch_size: int | None = None, resume: bool = False, degrade: bool = False) -> None:
-    """Candidates and winners of every page below ``out``; ``resume`` leaves out documents that are there already."""
+    """Candidates and winners of every page below ``out``; ``resume`` leaves out documents that are there already.
+
+    Pages without a document name make a batch of their own, the last; for ``docs`` they count as one document, after the named ones.
+    """
     rows = spark.read.parquet(pages)
     done = os.path.join(out, "selected")
     if resume:
         earlier = files.earlier_results(spark, done, fields.selected(fields.candidates(rows.limit(0), "raw_text", "confidence", ["doc_id", "page_row_id"], fuzzy=False), ["doc_id", "page_row_id"]).schema)
         rows = evaluate.todo(rows, earlier, "doc_id")
     if docs is not None:
-        first = rows.select("doc_id").distinct().orderBy("doc_id").limit(docs)
-        rows = rows.join(first, "doc_id", "left_semi")
+        first = rows.select(F.col("doc_id").alias("_first")).distinct().orderBy(F.asc_nulls_last("_first")).limit(docs)
+        rows = rows.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
     if degrade:
         rows = rows.withColumn("raw_text", degraded(F.col("raw_text"), F.col("page_row_id")))
     keys = ["doc_id", "page_row_id"]
@@ -31,6 +34,9 @@ def extract(spark: SparkSession, pages: str, out: str, docs: int | None = None,
         batches = evaluate.batch_numbers(rows.select("doc_id"), "doc_id", batch_size)
         last = batches.agg(F.max("batch")).first()[0] or 0
         parts = [rows.join(batches.where(F.col("batch") == b).select("doc_id"), "doc_id", "left_semi") for b in range(1, int(last) + 1)]
+        nameless = rows.where("doc_id IS NULL")
+        if not parts or not nameless.isEmpty():
+            parts.append(nameless)
     for i, part in enumerate(parts):
         found = fields.candidates(part, "raw_text", "confidence", keys)
         mode = "append" if resume or i else "overwrite"

@@ -54,6 +54,20 @@ def test_command_line_resumes_in_batches(spark, data, tmp_path):
     assert whole.count() > n and whole.groupBy("page_row_id", "field").count().where("count > 1").isEmpty()
 
 
+def test_pages_without_a_document_are_extracted_in_batches_too(spark, data, tmp_path):
+    names = F.when(F.col("page_row_id") % 3 > 0, F.concat(F.lit("doc_"), F.col("page_row_id") % 3))
+    pages = spark.read.parquet(f"{data}/ocr_pages.parquet").where("raw_text <> ''").select("page_row_id", "raw_text", "confidence").limit(9).withColumn("doc_id", names)
+    pages.write.parquet(str(tmp_path / "pages"))
+
+    whole = sorted((r.doc_id or "", r.page_row_id) for r in spark.read.parquet(str(tmp_path / "pages")).collect())
+    named = [x for x in whole if x[0]]
+    assert 0 < len(named) < len(whole)
+    for options, want in (({"batch_size": 1}, whole), ({"docs": 2}, named), ({"docs": 3, "batch_size": 2}, whole)):
+        cli.extract(spark, str(tmp_path / "pages"), str(tmp_path / "out"), **options)
+        got = spark.read.parquet(str(tmp_path / "out/candidates")).select("doc_id", "page_row_id").distinct().collect()
+        assert sorted((r.doc_id or "", r.page_row_id) for r in got) == want
+
+
 def test_report_command(spark, data, tmp_path):
     cli.report(spark, f"{data}/kie_approaches.parquet", f"{data}/generated_documents.parquet", str(tmp_path / "r"))
     assert (tmp_path / "r/approach_f1.md").exists() and (tmp_path / "r/field_means.csv").exists()
