@@ -195,9 +195,11 @@ class SharedSpans:
         """All pairs of classes with a crowded window in common; windows shared by the same classes are expanded once."""
         held = self.windows.select("w1", "w2", *_CLASS).distinct()
         sets = held.groupBy("w1", "w2").agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.shiftright("c1", 8)).alias("s1"), F.bit_xor("c2").alias("s2"), F.bit_xor("c1").alias("s3")
-        )
-        once = sets.groupBy("n", "s1", "s2", "s3").agg(F.min(F.struct("w1", "w2")).alias("w")).select("w.w1", "w.w2")
+            F.count(F.lit(1)).alias("n"), F.bit_xor("c2").alias("s2"), F.bit_xor("c1").alias("s3"),
+            # sums of halves: those of whole hashes pass 64 bits in large sets
+            F.sum(F.shiftright("c1", 32)).alias("s1"), F.sum(F.col("c1").bitwiseAND(F.lit(0xFFFFFFFF))).alias("s4"),
+        )
+        once = sets.groupBy("n", "s1", "s2", "s3", "s4").agg(F.min(F.struct("w1", "w2")).alias("w")).select("w.w1", "w.w2")
         held = held.join(once, ["w1", "w2"])
         other = held.select("w1", "w2", F.col("c1").alias("d1"), F.col("c2").alias("d2"))
         before = (F.col("c1") < F.col("d1")) | ((F.col("c1") == F.col("d1")) & (F.col("c2") < F.col("d2")))

@@ -88,3 +88,9 @@ def test_components_of_chains_stars_and_loops(spark):
     got = {r.node: r.component for r in connected_components(df).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, 200: 200, 201: 200}
     assert connected_components(df.limit(0)).count() == 0
+
+
+def test_a_crowd_of_large_hashes_does_not_overflow(spark):
+    crowd = spans.SharedSpans.__new__(spans.SharedSpans)
+    crowd.windows = spark.range(600).selectExpr("1L AS w1", "1L AS w2", "9000000000000000000 + id AS c1", "id AS c2")  # sums of c1 >> 8 pass 64 bits
+    assert crowd._loud_pairs().count() == 600 * 599 // 2
