@@ -28,36 +28,50 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; a scratch one only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if named:
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            context.setCheckpointDir(named)
-        return
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; a scratch one only for a local session that names none."""
+    named, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="parapheur-checkpoint-"))
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="parapheur-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it again.
 
-    Cuts the lineage like a checkpoint, but columnar and compressed: later branches read only the columns they use. The
-    folder lives as long as other checkpoint files of the cluster do; a new name each time keeps runs apart.
+    Cuts the lineage like a checkpoint, but columnar and compressed: later branches read only the columns they use. A new name
+    each time keeps runs apart. The table is removed when the application ends, or earlier by ``discard``.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    path = f"{root}/tables/{what}-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark)}/tables/{what}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(where)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> int:
+    """Removes the tables that ``written`` has left so far, for sessions that outlive a pipeline; results not yet stored are lost."""
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/tables")
+    system = where.getFileSystem(context._jsc.hadoopConfiguration())
+    found = len(system.listStatus(where)) if system.exists(where) else 0
+    system.delete(where, True)
+    return found
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where the input comes in fewer pieces than there are cores (a small file can't be split)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Rows over all cores where the input is small enough to come in fewer pieces than there are cores.
+
+    Input of at least one scan split a core is left where it is; its size is that of its files, no plan is made for it.
+    """
+    spark = df.sparkSession
+    cores, split = spark.sparkContext.defaultParallelism, spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(size.toString()) < cores * split else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
