@@ -46,7 +46,7 @@ def _rounded(df: DataFrame, columns: list[str], places: int = 6) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shred.kie_found(written(shred.kie_nodes(table(spark, sf_dir, "kie_documents")), "nodes"))
+    return shred.kie_found(table(spark, sf_dir, "kie_documents"))
 
 
 def p3_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,8 @@ def _p3_entity(name: str) -> Query:
 
 
 def j8_selected_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shred.selected_origins(shred.kie_entities(written(shred.kie_nodes(table(spark, sf_dir, "kie_documents")), "nodes")))
+    labels = ["pages", "field_details", "candidates", "field", "selected", "strategy", "value"]
+    return shred.selected_origins(shred.kie_entities(shred.kie_nodes(table(spark, sf_dir, "kie_documents"), labels), labels))
 
 
 # Text ----------------------------------------------------------------------------------------------------------------
@@ -369,7 +370,7 @@ RULES = {
 QUERIES: dict[str, Query] = {
     "p3_found": p3_found,
     "p3_nodes": p3_nodes,
-    **{f"p3_{name}": _p3_entity(name) for name in ("documents", "pages", "tables", "details", "candidates")},
+    **{f"p3_{name}": _p3_entity(name) for name in ("documents", "pages", "tables", "cells", "details", "candidates")},
     **{
         f.__name__: f
         for f in (

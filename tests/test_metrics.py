@@ -100,3 +100,9 @@ def test_best_label_line(spark):
     best = df.select(fuzzy.best_label_line(F.col("l"), ("objet",), 2).alias("b"), fuzzy.best_label_line(F.col("l"), ("objet",), 5).alias("c")).collect()
     assert best[0].b.idx == 1 and best[0].c.idx == 2 and best[0].c.score == 1.0
     assert [r.b.idx for r in best[1:]] == [None, None, None]
+
+
+def test_word_errors_of_very_many_words(spark):
+    many = " ".join(f"m{i}" for i in range(36_000))
+    df = spark.createDataFrame([(many, "m7 x m9"), ("m7 x m9", many)], "h STRING, r STRING")
+    assert [r.w for r in df.select(m.word_error_rate(F.col("h"), F.col("r")).alias("w")).collect()] == [1.0, pytest.approx(35_998 / 36_000)]

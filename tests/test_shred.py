@@ -8,7 +8,7 @@ from parapheur.operators import shred
 
 def found(spark, payloads):
     df = spark.createDataFrame(list(enumerate(payloads)), "record_id BIGINT, payload STRING")
-    return sorted(tuple(r) for r in shred.kie_found(shred.kie_nodes(df)).collect())
+    return sorted(tuple(r) for r in shred.kie_found(df).collect())
 
 
 def test_objects_arrays_and_strings_that_hold_json(spark):
@@ -62,3 +62,35 @@ def test_selected_values_lead_to_their_first_candidate(spark):
     df = spark.createDataFrame([(1, json.dumps({"pages": [{"field_details": details}]}))], "record_id BIGINT, payload STRING")
     out = {r.field_name: (r.origin, r.item_pos) for r in shred.selected_origins(shred.kie_entities(shred.kie_nodes(df))).collect()}
     assert out == {"a": ("heuristic", 1), "b": (None, None)}
+
+
+def test_arrays_under_any_label_and_cells_of_tables(spark):
+    payload = {"extras": [{"x": 1}, [2, [3]], 4], "pages": [{"tables": [{"data": [["a", None, "b"], [], ["c"]], "bbox": [1, 2, 3, 4]}]}]}
+    df = spark.createDataFrame([(1, json.dumps(payload))], "record_id BIGINT, payload STRING")
+    nodes = shred.kie_nodes(df)
+    extras = [(r.kind, r.ordinal, r.scalar) for r in nodes.where("label IN ('extras', 'x')").orderBy("node").collect()]
+    assert sorted(extras, key=str) == sorted([("object", 0, None), ("array", 1, None), ("scalar", 2, "4"), ("scalar", 0, "2"), ("array", 1, None), ("scalar", 0, "3"), ("scalar", -1, "1")], key=str)
+    e = shred.kie_entities(nodes)
+    assert sorted((r.row_pos, r.col_pos, r.cell) for r in e["cells"].collect()) == [(0, 0, "a"), (0, 2, "b"), (2, 0, "c")]
+    box = e["tables"].first()
+    assert (box.x1, box.y1, box.x2, box.y2) == ("1", "2", "3", "4") and box.table_node == e["cells"].first().table_node
+
+
+def test_no_depth_loses_a_payload(spark):
+    deep = '{"pages": [{"page_number": 1, "x": ' + '{"x": [' * 30_000 + "1" + "]}" * 30_000 + '}], "score": NaN, "t": "a\\"b"}'
+    df = spark.createDataFrame([(1, deep), (2, deep[:-5])], "record_id BIGINT, payload STRING")
+    nodes = shred.kie_nodes(df)
+    assert nodes.where("record_id = 1 AND kind = 'object'").count() == 30_002 and nodes.where("label = 'score'").first().scalar == "NaN"
+    assert [r.kind for r in nodes.where("record_id = 2").collect()] == ["unreadable"]
+    assert [tuple(r) for r in shred.kie_found(df).collect()] == [(1, "page", 0, "", -1)]
+
+
+@pytest.mark.parametrize("text", ["{}", "[]", ' {"a": [1, {"b": null}, "x", -1.5e3, true], "c": {}} ', '"s"', "3"])
+def test_the_deep_reader_reads_what_json_does(text):
+    assert shred._deep(text) == json.loads(text)
+
+
+@pytest.mark.parametrize("text", ["", "{", "[1,]", '{"a" 1}', "{} {}", '{"a": 1,}', "[1 2]", "}", "]", "nul"])
+def test_the_deep_reader_rejects_what_json_rejects(text):
+    with pytest.raises(ValueError):
+        shred._deep(text)
