@@ -102,6 +102,14 @@ def p8_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.SharedSpans(table(spark, sf_dir, "documents")).clusters()
 
 
+def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.SharedSpans(table(spark, sf_dir, "documents")).class_rows()
+
+
+def p8_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.SharedSpans(table(spark, sf_dir, "documents")).removals()
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_ranking": p1_ranking,
@@ -119,4 +127,6 @@ QUERIES = {
     "p8_stretches": p8_stretches,
     "p8_shares": p8_shares,
     "p8_clusters": p8_clusters,
+    "p8_classes": p8_classes,
+    "p8_removals": p8_removals,
 }

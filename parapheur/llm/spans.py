@@ -1,13 +1,17 @@
-"""Problem 8: long exact spans shared between records, by MinHash banding of sliding paragraphs.
+"""Problem 8: long exact spans shared between records, by paragraph MinHash banding.
 
-The "paragraphs" that are compared are all windows of ``length`` characters of a text (spans keep to no line break). Each
-window's signature is the minimum hash of its ``gram``-character shingles, one band of one row: two equal windows always
-collide, so recall is 1 by construction. The signatures of neighbouring windows mostly coincide; a text of n characters has
-about 2 n / (length - gram) of them. Texts that collide are verified character by character, and linked texts are clustered
-by connected components.
+Spans keep to no line break, so paragraphs are cut by content: a cut is a place whose ``gram`` characters have the least hash among
+its neighbours. Two texts that share a span cut it at the same places, and every span of ``length`` characters holds at least one
+whole paragraph. A paragraph's signature is its MinHash over character shingles, ``rows`` minima a band, ``bands`` bands. The
+paragraphs of a common span are equal, their Jaccard similarity is 1, so with any number of rows and a single band they collide:
+recall is 1 by construction, and more rows only keep paragraphs that are merely alike from being compared.
 
-Texts that are equal as a whole are one class and are compared once. Signatures in more than ``crowd`` classes are not paired:
-all windows around them are hashed and grouped exactly (a fixed number of rows each, however many texts share them).
+Texts whose paragraphs collide are verified exactly: every window of ``length`` characters around such a paragraph is hashed (128
+bits), and equal windows are grouped. No text is compared with another, so the work grows with the text that is shared and not with
+the pairs of texts that share it. Links are clustered by connected components; removals by components of texts whose windows
+have a Jaccard similarity of at least ``similarity``.
+
+Texts that are equal as a whole are one class and are read once.
 
 Defined results for odd input:
 * null texts and texts shorter than ``length`` share nothing; equal texts of at least ``length`` share all of it;
@@ -19,6 +23,7 @@ Defined results for odd input:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,125 +34,88 @@ from parapheur.llm import codes
 from parapheur.llm.components import connected_components
 from parapheur.session import written
 
-LENGTH, GRAM, CROWD = 300, 128, 64
+LENGTH, GRAM, SHINGLE = 300, 128, 16
+BANDS, ROWS = 1, 4
+SIMILARITY = 0.8
 _CLASS = ["c1", "c2"]
 
 
-def _signatures(texts: list[str], length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the text, signature) of all windows of all texts, each once a text."""
-    width = length - gram + 1
-    owners, values = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    for base, text_codes, starts in codes.chunks(texts):
-        n = len(text_codes)
-        if n < length:
-            continue
-        h = codes.Prefix(text_codes).windows(gram)
-        low = codes.sliding_min(h, width)
-        low = np.where(codes.inside(starts, n, length), low, np.uint64(0))
-        edge = np.zeros(width - 1, np.uint64)
-        best = ~codes.sliding_min(~np.concatenate([edge, low, edge]), width)
-        at = np.flatnonzero((best == h) & (h > 0))
-        owners.append(base + np.searchsorted(starts, at, "right") - 1)
-        values.append(h[at])
-    return np.concatenate(owners), np.concatenate(values)
-
-
-def signatures(classes: DataFrame, length: int, gram: int) -> DataFrame:
-    """(sig, c1, c2) of texts given as (text, c1, c2)."""
+class Cutter:
+    """Paragraphs of many texts at once and their band signatures."""
+
+    def __init__(self, length: int = LENGTH, gram: int = GRAM, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS):
+        if not 0 < gram < length or gram + 2 > length:
+            raise ValueError("gram must be at least two shorter than length")
+        self.length, self.gram, self.shingle, self.bands, self.rows = length, gram, min(shingle, gram), bands, rows
+        self.reach = (length - gram + 1) // 2  # two cuts lie within every length characters
+
+    def paragraphs(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """(place of the text, start, size, a signature array a band) of the paragraphs of some texts at a time."""
+        for base, text_codes, starts in codes.chunks(texts):
+            n, least = len(text_codes), self.reach + self.gram - 1
+            if n < least:
+                continue
+            prefix = codes.Prefix(text_codes)
+            h = prefix.windows(self.gram)
+            low = np.where(codes.inside(starts, n, least), codes.sliding_min(h, self.reach), np.uint64(0))
+            edge = np.zeros(self.reach - 1, np.uint64)
+            best = ~codes.sliding_min(~np.concatenate([edge, low, edge]), self.reach)
+            at = np.flatnonzero((best == h) & (h > 0))
+            owner = np.searchsorted(starts, at, "right") - 1
+            one = owner[1:] == owner[:-1]
+            first, last, owner = at[:-1][one], at[1:][one], owner[:-1][one]
+            if not len(first):
+                continue
+            size = last + self.gram - first
+            ends = np.stack([first, first + size - self.shingle + 1], axis=1).ravel()
+            shingles = np.append(prefix.windows(self.shingle), np.uint64(0))
+            found = []
+            for band in range(self.bands):
+                signature = np.full(len(first), np.uint64(band + 1))
+                for row in range(self.rows):
+                    value = codes.mix(shingles, seed=0x9E3779B9 * (band * self.rows + row + 1))
+                    signature = codes.mix(signature * np.uint64(0x9E3779B97F4A7C15) ^ np.minimum.reduceat(value, ends)[::2])
+                found.append(signature)
+            yield base + owner, first - starts[owner], size, found
+
+
+def signatures(classes: DataFrame, cutter: Cutter) -> DataFrame:
+    """(sig, c1, c2) of texts given as (text, c1, c2), each once a text; the number of the band is part of ``sig``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, value = _signatures(batch.column(0).to_pylist(), length, gram)
-            if len(owner):
-                first = np.unique(np.stack([owner.astype(np.uint64), value]), axis=1)
-                take = pa.array(first[0].astype(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(first[1].view(np.int64)), batch.column(1).take(take), batch.column(2).take(take)], names=["sig", *_CLASS]
-                )
+            for owner, _, _, found in cutter.paragraphs(batch.column(0).to_pylist()):
+                for signature in found:
+                    once = np.unique(np.stack([owner.astype(np.uint64), signature]), axis=1)
+                    take = pa.array(once[0].astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(once[1].view(np.int64)), batch.column(1).take(take), batch.column(2).take(take)], names=["sig", *_CLASS])
 
     return classes.select("text", *_CLASS).mapInArrow(run, "sig BIGINT, c1 BIGINT, c2 BIGINT")
 
 
-def _reach(a: str, i: int, b: str, j: int) -> int:
-    """How many characters from a[i], b[j] on are equal."""
-    n, done, step = min(len(a) - i, len(b) - j), 0, 64
-    while done < n:
-        m = min(step, n - done)
-        if a[i + done : i + done + m] == b[j + done : j + done + m]:
-            done += m
-            step *= 2
-        elif m == 1:
-            break
-        else:
-            step = max(1, m // 2)
-            n = done + m  # the difference lies in these m
-    return done
-
-
-def common_spans(a: str, b: str, length: int) -> list[tuple[int, int, int]]:
-    """All maximal (start in a, start in b, size) with size >= ``length``; every one holds a whole block of a's grid."""
-    block, seen, out = (length + 1) // 2, {}, []
-    back_a, back_b = a[::-1], b[::-1]
-    for i in range(0, len(a) - block + 1, block):
-        piece = a[i : i + block]
-        j = b.find(piece)
-        while j >= 0:
-            if seen.get(j - i, -1) < i + block:
-                right = block + _reach(a, i + block, b, j + block)
-                left = _reach(back_a, len(a) - i, back_b, len(b) - j)
-                seen[j - i] = i + right
-                if left + right >= length:
-                    out.append((i - left, j - left, left + right))
-            j = b.find(piece, j + 1)
-    return out
-
-
-def _verified(pairs: DataFrame, length: int) -> DataFrame:
-    """(c1, c2, d1, d2, side, start, size): the spans of candidate pairs, a row for either side."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, side, start, size = [], [], [], []
-            for i, (a, b) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
-                for sa, sb, n in common_spans(a, b, length):
-                    at += [i, i]
-                    side += [0, 1]
-                    start += [sa, sb]
-                    size += [n, n]
-            if at:
-                take = pa.array(at)
-                ids = [batch.column(k).take(take) for k in range(4)]
-                yield pa.RecordBatch.from_arrays(
-                    [*ids, pa.array(side, pa.int32()), pa.array(start, pa.int32()), pa.array(size, pa.int32())],
-                    names=["c1", "c2", "d1", "d2", "side", "start", "size"],
-                )
-
-    return pairs.select("c1", "c2", "d1", "d2", "text_a", "text_b").mapInArrow(
-        run, "c1 BIGINT, c2 BIGINT, d1 BIGINT, d2 BIGINT, side INT, start INT, size INT"
-    )
-
-
-def _crowd_windows(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(w1, w2, c1, c2, start): hashes of every window that holds a crowded signature; texts: (text, c1, c2, sigs)."""
+def windows_around(texts: DataFrame, cutter: Cutter) -> DataFrame:
+    """(w1, w2, c1, c2, start): hashes of every window that holds a paragraph with a wanted signature; texts: (text, c1, c2, sigs)."""
+    length = cutter.length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, (text, sigs) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist())):
-                text_codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-                one, two = codes.Prefix(text_codes), codes.Prefix(text_codes, seed=0x5BD1E995)
-                at = np.flatnonzero(np.isin(one.windows(gram), np.array(sigs, np.int64).view(np.uint64)))
-                last = len(text_codes) - length
+                wanted, last = np.array(sigs, np.int64).view(np.uint64), len(text) - length
                 mark = np.zeros(last + 2, np.int64)
-                np.add.at(mark, np.clip(at - (length - gram), 0, last + 1), 1)
-                np.add.at(mark, np.clip(at + 1, 0, last + 1), -1)
+                for _, start, size, found in cutter.paragraphs([text]):
+                    met = np.logical_or.reduce([np.isin(signature, wanted) for signature in found])
+                    np.add.at(mark, np.clip(start[met] + size[met] - length, 0, last + 1), 1)
+                    np.add.at(mark, np.clip(start[met] + 1, 0, last + 1), -1)
                 s = np.flatnonzero(np.cumsum(mark[: last + 1]) > 0)
+                if not len(s):
+                    continue
+                text_codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+                one, two = codes.Prefix(text_codes), codes.Prefix(text_codes, seed=0x5BD1E995)
                 for lo in range(0, len(s), 50_000):
                     part = s[lo : lo + 50_000]
                     take = pa.array(np.full(len(part), i))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(x.at(part, length).view(np.int64)) for x in (one, two)]
-                        + [batch.column(k).take(take) for k in (1, 2)]
-                        + [pa.array(part.astype(np.int32))],
+                        [pa.array(x.at(part, length).view(np.int64)) for x in (one, two)] + [batch.column(k).take(take) for k in (1, 2)] + [pa.array(part.astype(np.int32))],
                         names=["w1", "w2", *_CLASS, "start"],
                     )
 
@@ -155,61 +123,51 @@ def _crowd_windows(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 class SharedSpans:
-    """The links between the texts of a table; the results below are all drawn from them."""
-
-    def __init__(self, documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD):
-        if not 0 < gram < length:
-            raise ValueError("gram must be shorter than length")
-        self.length = length
-        docs = documents.select(F.col(key).alias("id"), F.col(text).alias("text"))
-        self.all_documents = docs
-        hashed = docs.where(F.length("text") >= length).where("id IS NOT NULL").select("id", "text", F.xxhash64("text").alias("c1"), F.xxhash64(F.lit(7), "text").alias("c2"))
-        self.members = hashed.select("id", *_CLASS).distinct()
+    """The links between the texts of a table; the results below are all drawn from them, and nothing is read before one is asked for."""
+
+    def __init__(self, documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, bands: int = BANDS, rows: int = ROWS):
+        self.length, self.cutter = length, Cutter(length, gram, bands=bands, rows=rows)
+        self.all_documents = documents.select(F.col(key).alias("id"), F.col(text).alias("text"))
+        self.hashed = self.all_documents.where(F.length("text") >= length).where("id IS NOT NULL").select("id", "text", F.xxhash64("text").alias("c1"), F.xxhash64(F.lit(7), "text").alias("c2"))
+        self.members = self.hashed.select("id", *_CLASS).distinct()
         self.classes = self.members.groupBy(*_CLASS).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
-        occurrences = written(signatures(hashed, length, gram), "signatures")
+
+    @cached_property
+    def windows(self) -> DataFrame:
+        """(w1, w2, c1, c2, start, first): windows that stand in texts of several classes, ``first`` being the least of these."""
+        occurrences = written(signatures(self.hashed, self.cutter), "signatures")
         # a signature in texts of one class only has equal smallest and largest c1; both are kept on the map side
         shared = occurrences.groupBy("sig").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("lo <> hi").select("sig")
-        met = written(occurrences.join(shared, "sig").distinct(), "met")
-        size = met.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
-        few, many = size.where(F.col("n") <= crowd).select("sig"), size.where(F.col("n") > crowd).select("sig")
-
-        quiet = met.join(few, "sig")
-        other = quiet.select("sig", F.col("c1").alias("d1"), F.col("c2").alias("d2"))
-        before = (F.col("c1") < F.col("d1")) | ((F.col("c1") == F.col("d1")) & (F.col("c2") < F.col("d2")))
-        pairs = quiet.join(other, "sig").where(before).select("c1", "c2", "d1", "d2").distinct()
-        met_classes = met.select(*_CLASS).distinct().join(self.classes, _CLASS)
-        texts = written(met_classes.select(F.col("rep").alias("id"), *_CLASS).join(docs, "id").dropDuplicates(["id"]).select(*_CLASS, "text"), "texts")
-        left = texts.withColumnRenamed("text", "text_a")
-        right = texts.select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.col("text").alias("text_b"))
-        self.spans = written(_verified(pairs.join(left, _CLASS).join(right, ["d1", "d2"]), length), "spans")
-
-        loud = met.join(many, "sig").groupBy(*_CLASS).agg(F.collect_set("sig").alias("sigs"))  # bounded by the text's length
-        windows = written(_crowd_windows(texts.join(loud, _CLASS), length, gram), "windows")
+        met = occurrences.join(shared, "sig").groupBy(*_CLASS).agg(F.collect_set("sig").alias("sigs"))  # bounded by the text
+        wanted = met.join(self.classes, _CLASS).select(F.col("rep").alias("id"), *_CLASS, "sigs")
+        texts = wanted.join(self.all_documents.where("id IS NOT NULL"), "id").where(F.xxhash64("text") == F.col("c1")).dropDuplicates(_CLASS)
+        windows = written(windows_around(texts, self.cutter), "windows")
         group = windows.groupBy("w1", "w2").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi"), F.min(F.struct(*_CLASS)).alias("first")).where("lo <> hi")
-        self.windows = windows.join(group.select("w1", "w2", "first"), ["w1", "w2"])
+        return written(windows.join(group.select("w1", "w2", "first"), ["w1", "w2"]), "shared")
 
-    def _quiet_pairs(self) -> DataFrame:
-        return self.spans.select("c1", "c2", "d1", "d2").distinct()
+    @cached_property
+    def links(self) -> DataFrame:
+        """(c1, c2, d1, d2, common): pairs of classes and how many windows they have in common.
 
-    def _loud_pairs(self) -> DataFrame:
-        """All pairs of classes with a crowded window in common; windows shared by the same classes are expanded once."""
+        Windows that stand in the same classes are expanded once, with their number: a passage of any length counts as one.
+        """
         held = self.windows.select("w1", "w2", *_CLASS).distinct()
         sets = held.groupBy("w1", "w2").agg(
             F.count(F.lit(1)).alias("n"), F.bit_xor("c2").alias("s2"), F.bit_xor("c1").alias("s3"),
             # sums of halves: those of whole hashes pass 64 bits in large sets
             F.sum(F.shiftright("c1", 32)).alias("s1"), F.sum(F.col("c1").bitwiseAND(F.lit(0xFFFFFFFF))).alias("s4"),
         )
-        once = sets.groupBy("n", "s1", "s2", "s3", "s4").agg(F.min(F.struct("w1", "w2")).alias("w")).select("w.w1", "w.w2")
+        once = sets.groupBy("n", "s1", "s2", "s3", "s4").agg(F.min(F.struct("w1", "w2")).alias("w"), F.count(F.lit(1)).alias("common")).select("w.w1", "w.w2", "common")
         held = held.join(once, ["w1", "w2"])
         other = held.select("w1", "w2", F.col("c1").alias("d1"), F.col("c2").alias("d2"))
         before = (F.col("c1") < F.col("d1")) | ((F.col("c1") == F.col("d1")) & (F.col("c2") < F.col("d2")))
-        return held.join(other, ["w1", "w2"]).where(before).select("c1", "c2", "d1", "d2").distinct()
+        return held.join(other, ["w1", "w2"]).where(before).groupBy("c1", "c2", "d1", "d2").agg(F.sum("common").alias("common"))
 
     def pairs(self) -> DataFrame:
         """(doc_id_a, doc_id_b) of every two documents with a span in common, the smaller key first."""
         a = self.members.select(F.col("id").alias("a"), *_CLASS)
         b = self.members.select(F.col("id").alias("b"), F.col("c1").alias("d1"), F.col("c2").alias("d2"))
-        linked = self._quiet_pairs().unionByName(self._loud_pairs()).distinct()
+        linked = self.links.drop("common")
         across = linked.join(a, _CLASS).join(b, ["d1", "d2"]).select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b"))
         copies = self.classes.where("n > 1").select(*_CLASS)
         a = a.join(copies, _CLASS)
@@ -220,7 +178,7 @@ class SharedSpans:
         """(rep_a, rep_b) between class representatives; with ``membership`` this says all that ``pairs`` does."""
         a = self.classes.select(F.col("rep").alias("a"), *_CLASS)
         b = self.classes.select(F.col("rep").alias("b"), F.col("c1").alias("d1"), F.col("c2").alias("d2"))
-        linked = self._quiet_pairs().unionByName(self._loud_pairs()).distinct()
+        linked = self.links.drop("common")
         return linked.join(a, _CLASS).join(b, ["d1", "d2"]).select(F.least("a", "b").alias("rep_a"), F.greatest("a", "b").alias("rep_b"))
 
     def membership(self) -> DataFrame:
@@ -229,14 +187,7 @@ class SharedSpans:
 
     def _class_stretches(self) -> DataFrame:
         """(c1, c2, start, stop): maximal stretches of a class's text that stand in texts of other classes too."""
-        spans = self.spans.select(
-            F.when(F.col("side") == 0, F.col("c1")).otherwise(F.col("d1")).alias("c1"),
-            F.when(F.col("side") == 0, F.col("c2")).otherwise(F.col("d2")).alias("c2"),
-            "start",
-            (F.col("start") + F.col("size")).alias("stop"),
-        )
-        windows = self.windows.select(*_CLASS, "start", (F.col("start") + self.length).alias("stop"))
-        pieces = spans.unionByName(windows).groupBy(*_CLASS, "start").agg(F.max("stop").alias("stop"))
+        pieces = self.windows.select(*_CLASS, "start", (F.col("start") + self.length).alias("stop"))
         order = Window.partitionBy(*_CLASS).orderBy("start")
         reached = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
         marked = pieces.withColumn("_new", F.when(F.coalesce(F.col("start") > reached, F.lit(True)), 1).otherwise(0))
@@ -259,23 +210,38 @@ class SharedSpans:
         out = docs.join(shared, "doc_id", "left").withColumn("shared_chars", F.when(F.col("n_chars").isNotNull(), F.coalesce("shared_chars", F.lit(0))))
         return out.withColumn("shared_part", F.when(F.col("n_chars") > 0, F.round(F.col("shared_chars") / F.col("n_chars"), 6)).otherwise(F.col("shared_chars").cast("double")))
 
+    def class_rows(self) -> DataFrame:
+        """One row a document of at least ``length`` characters: its class (the least of its copies), how many copies that has, and with how many other classes it shares a span."""
+        ends = self.links.select(*_CLASS).unionByName(self.links.select(F.col("d1").alias("c1"), F.col("d2").alias("c2")))
+        linked = ends.groupBy(*_CLASS).agg(F.count(F.lit(1)).alias("n_links"))
+        out = self.members.join(self.classes, _CLASS).join(linked, _CLASS, "left")
+        return out.select(F.col("id").alias("doc_id"), "rep", F.col("n").alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+    def _named(self, edges: DataFrame) -> DataFrame:
+        """(a, b): the representatives of linked classes (c1, c2, d1, d2)."""
+        rep = self.classes.select(*_CLASS, F.col("rep").alias("a"))
+        other = self.classes.select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.col("rep").alias("b"))
+        return edges.join(rep, _CLASS).join(other, ["d1", "d2"]).select("a", "b")
+
+    def _grouped(self, edges: DataFrame, only_linked: bool) -> DataFrame:
+        component = connected_components(self._named(edges))
+        members = self.members.join(self.classes, _CLASS).select(F.col("id").alias("doc_id"), "rep", "n", *_CLASS)
+        out = members.join(component.withColumnRenamed("node", "rep"), "rep", "left")
+        return (out.where("n > 1 OR component IS NOT NULL") if only_linked else out).withColumn("cluster", F.coalesce("component", "rep"))
+
     def clusters(self) -> DataFrame:
         """(doc_id, rep, cluster): class and component of every document that shares a span with another."""
-        rep = self.classes.select(*_CLASS, "rep")
-        quiet = (
-            self._quiet_pairs()
-            .join(rep, _CLASS)
-            .join(rep.select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.col("rep").alias("other")), ["d1", "d2"])
-            .select(F.col("rep").alias("a"), F.col("other").alias("b"))
-        )
         star = self.windows.select(*_CLASS, F.col("first.c1").alias("d1"), F.col("first.c2").alias("d2")).distinct()
-        loud = (
-            star.where("c1 <> d1 OR c2 <> d2")
-            .join(rep, _CLASS)
-            .join(rep.select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.col("rep").alias("other")), ["d1", "d2"])
-            .select(F.col("rep").alias("a"), F.col("other").alias("b"))
-        )
-        component = connected_components(quiet.unionByName(loud))
-        members = self.members.join(self.classes, _CLASS).select(F.col("id").alias("doc_id"), "rep", "n")
-        out = members.join(component.withColumnRenamed("node", "rep"), "rep", "left")
-        return out.where("n > 1 OR component IS NOT NULL").select("doc_id", "rep", F.coalesce("component", "rep").alias("cluster"))
+        return self._grouped(star.where("c1 <> d1 OR c2 <> d2"), True).select("doc_id", "rep", "cluster")
+
+    def removals(self, similarity: float = SIMILARITY) -> DataFrame:
+        """(doc_id, rep, cluster, keep) of every document of at least ``length`` characters.
+
+        Two texts are alike if the Jaccard similarity of their windows is at least ``similarity``; of every component of such texts
+        and their copies the least document is kept.
+        """
+        length = self.hashed.groupBy(*_CLASS).agg(F.max(F.length("text") - self.length + 1).alias("n_a"))
+        pairs = self.links.join(length, _CLASS).join(length.select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.col("n_a").alias("n_b")), ["d1", "d2"])
+        alike = pairs.where(F.col("common") >= F.lit(similarity) * (F.col("n_a") + F.col("n_b") - F.col("common")))
+        out = self._grouped(alike, False)
+        return out.select("doc_id", "rep", "cluster", (F.col("doc_id") == F.col("cluster")).alias("keep"))

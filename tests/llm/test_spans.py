@@ -37,11 +37,11 @@ def brute(docs):
     return sorted(pairs), cover
 
 
-@pytest.mark.parametrize("crowd", [64, 2, 0])
-def test_against_all_windows(spark, crowd):
+@pytest.mark.parametrize(("bands", "rows"), [(1, 4), (3, 2), (1, 1)])
+def test_against_all_windows(spark, bands, rows):
     docs = texts()
     pairs, cover = brute(docs)
-    shared = spans.SharedSpans(spark.createDataFrame([(i, t, 1) for i, t in enumerate(docs)], "doc_id BIGINT, text STRING, rep INT"), length=L, gram=G, crowd=crowd)
+    shared = spans.SharedSpans(spark.createDataFrame([(i, t, 1) for i, t in enumerate(docs)], "doc_id BIGINT, text STRING, rep INT"), length=L, gram=G, bands=bands, rows=rows)
     assert sorted(tuple(r) for r in shared.pairs().collect()) == pairs and len(pairs) > 30
     assert {r.doc_id: r.shared_chars for r in shared.shares().collect()} == cover
     parent = {i: i for p in pairs for i in p}
@@ -56,6 +56,8 @@ def test_against_all_windows(spark, crowd):
     assert {r.doc_id: r.cluster for r in shared.clusters().collect()} == {i: root(i) for i in parent}
     rep = {r.doc_id: r.rep for r in shared.membership().collect()}
     linked = {tuple(r) for r in shared.class_pairs().collect()}
+    links = {i: sum(i in p for p in linked) for i in set(rep.values())}
+    assert {r.doc_id: (r.rep, r.n_copies, r.n_links) for r in shared.class_rows().collect()} == {i: (r, list(rep.values()).count(r), links[r]) for i, r in rep.items()}
     assert {(a, b) for a, b in pairs if rep[a] != rep[b]} == {(a, b) for a, b in itertools.combinations(sorted(rep), 2) if (min(rep[a], rep[b]), max(rep[a], rep[b])) in linked}
 
 
@@ -66,11 +68,32 @@ def test_nothing_to_share(spark):
     assert one.pairs().count() == 0
 
 
-def test_common_spans_are_maximal():
-    a, b = "12345" + "q" * 3 + "abcdefghij" * 8, "zz" + "abcdefghij" * 8 + "!"
-    found = spans.common_spans(a, b, 40)
-    assert (8, 2, 80) in found and all(a[i : i + n] == b[j : j + n] and n >= 40 for i, j, n in found)
-    assert spans.common_spans("a" * 39, "a" * 50, 40) == []
+def test_every_span_holds_a_whole_paragraph_cut_alike():
+    cutter, rng = spans.Cutter(L, G), random.Random(1)
+    cut = lambda t: {(i, n, int(v[0])) for _, s, z, f in cutter.paragraphs([t]) for i, n, v in zip(s.tolist(), z.tolist(), zip(*f))}
+    for letters in ("ab", "abcdefgh ", "a"):
+        for _ in range(60):
+            span, fill = ("".join(rng.choice(letters) for _ in range(n)) for n in (L, 200))
+            a, b = fill[:70] + span + fill[70:90], fill[100:103] + span + fill[110:]
+            inside = [{(i - at, n, v) for i, n, v in cut(t) if i >= at and i + n <= at + L} for t, at in ((a, 70), (b, 3))]
+            assert inside[0] & inside[1]
+    assert not list(cutter.paragraphs([])) and not list(cutter.paragraphs(["", "x"]))
+
+
+def test_repetitive_text_takes_no_longer_than_other(spark):
+    df = spark.createDataFrame([(1, "-" * 300_000), (2, "-" * 250_000 + "x"), (3, "y" * 300)], "doc_id BIGINT, text STRING")
+    shared = spans.SharedSpans(df)
+    assert [tuple(r) for r in shared.pairs().collect()] == [(1, 2)]
+    assert {r.doc_id: r.shared_chars for r in shared.shares().collect()} == {1: 300_000, 2: 250_000, 3: 0}
+
+
+def test_removals_keep_one_of_each_group_of_like_texts(spark):
+    rng = random.Random(3)
+    fresh = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    a, b = fresh(900), fresh(400)
+    docs = [(5, a), (2, a), (9, a + fresh(40)), (3, b + fresh(900)), (4, b + fresh(900)), (7, "short"), (8, None)]
+    out = {r.doc_id: (r.cluster, r.keep) for r in spans.SharedSpans(spark.createDataFrame(docs, "doc_id BIGINT, text STRING")).removals().collect()}
+    assert out == {2: (2, True), 5: (2, False), 9: (2, False), 3: (3, True), 4: (4, True)}
 
 
 def test_sliding_min_and_window_hashes():
@@ -93,4 +116,4 @@ def test_components_of_chains_stars_and_loops(spark):
 def test_a_crowd_of_large_hashes_does_not_overflow(spark):
     crowd = spans.SharedSpans.__new__(spans.SharedSpans)
     crowd.windows = spark.range(600).selectExpr("1L AS w1", "1L AS w2", "9000000000000000000 + id AS c1", "id AS c2")  # sums of c1 >> 8 pass 64 bits
-    assert crowd._loud_pairs().count() == 600 * 599 // 2
+    assert crowd.links.count() == 600 * 599 // 2
