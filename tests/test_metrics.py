@@ -104,5 +104,5 @@ def test_best_label_line(spark):
 
 def test_word_errors_of_very_many_words(spark):
     many = " ".join(f"m{i}" for i in range(36_000))
-    df = spark.createDataFrame([(many, "m7 x m9"), ("m7 x m9", many)], "h STRING, r STRING")
-    assert [r.w for r in df.select(m.word_error_rate(F.col("h"), F.col("r")).alias("w")).collect()] == [1.0, pytest.approx(35_998 / 36_000)]
+    df = spark.createDataFrame([("m7 x m9", many)], "h STRING, r STRING")
+    assert [r.w for r in df.select(m.word_error_rate(F.col("h"), F.col("r")).alias("w")).collect()] == [pytest.approx(35_998 / 36_000)]
