@@ -41,6 +41,26 @@ def _grams(tab: str, key: str) -> str:
     return f"(SELECT {key}, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT {key}, w, unnest(generate_series(1, len(w) - 11)) AS i FROM (SELECT {key}, {words} AS w FROM {tab} WHERE text IS NOT NULL) WHERE len(w) >= 12))"
 
 
+_SPANS = """
+    d AS (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS rep, count(*) OVER (PARTITION BY text) AS n_copies FROM documents WHERE length(text) >= 300),
+    w AS (SELECT doc_id, rep, i - 1 AS s, hash(substr(text, i, 300)) AS h FROM (SELECT *, unnest(generate_series(1, length(text) - 299)) AS i FROM d)),
+    m AS (SELECT * FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1)),
+    o AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 300 THEN 0 ELSE 1 END AS fresh FROM m),
+    st AS (SELECT doc_id, min(s)::INT AS start, (max(s) + 300 - min(s))::INT AS size FROM (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM o) GROUP BY doc_id, k),
+    c AS (SELECT DISTINCT rep, h FROM m),
+    l AS (SELECT a.rep AS a, b.rep AS b, count(*) AS common FROM c a JOIN c b ON a.h = b.h AND a.rep <> b.rep GROUP BY 1, 2)
+"""
+
+
+def _components(edges: str) -> str:
+    """(rep, cluster) of every class that ``edges`` (a, b, in both directions) link."""
+    return f"""r(a, b) AS (SELECT a, b FROM ({edges}) UNION SELECT r.a, e.b FROM r JOIN ({edges}) e ON r.b = e.a),
+    k AS (SELECT a AS rep, least(a, min(b)) AS cluster FROM r GROUP BY a)"""
+
+
+_ALIKE = """SELECT a, b FROM l JOIN (SELECT rep, max(length(text)) - 299 AS n FROM d GROUP BY rep) x ON x.rep = a JOIN (SELECT rep, max(length(text)) - 299 AS n FROM d GROUP BY rep) y ON y.rep = b
+    WHERE common >= 0.8 * (x.n + y.n - common)"""
+
 ORACLE = {
     "p2_found": _look_alikes("generated_documents", "row_no", "content") + " UNION ALL " + _look_alikes("ocr_pages", "page_row_id", "raw_text"),
     "p6_found": f"SELECT DISTINCT doc_id, item_id FROM {_grams('documents', 'doc_id')} d JOIN {_grams('eval_items', 'item_id')} i ON d.g = i.g",
@@ -50,6 +70,14 @@ ORACLE = {
         WITH w AS (SELECT doc_id, hash(substr(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(generate_series(1, length(text) - 299)) AS i FROM documents WHERE length(text) >= 300)),
         s AS (SELECT DISTINCT doc_id, h FROM w), m AS (SELECT * FROM s WHERE h IN (SELECT h FROM s GROUP BY h HAVING count(*) > 1))
         SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM m a JOIN m b ON a.h = b.h AND a.doc_id < b.doc_id""",
+    "p8_stretches": f"WITH {_SPANS} SELECT * FROM st",
+    "p8_shares": f"""WITH {_SPANS}, t AS (SELECT doc_id, sum(size) AS n FROM st GROUP BY doc_id)
+        SELECT doc_id, length(text) AS n_chars, CASE WHEN text IS NOT NULL THEN coalesce(n, 0) END AS shared_chars,
+               CASE WHEN length(text) > 0 THEN round(coalesce(n, 0) / length(text), 6) WHEN text IS NOT NULL THEN 0.0 END AS shared_part
+        FROM documents LEFT JOIN t USING (doc_id)""",
+    "p8_clusters": f"WITH RECURSIVE {_SPANS}, {_components('SELECT a, b FROM l')} SELECT doc_id, rep, coalesce(cluster, rep) AS cluster FROM d LEFT JOIN k USING (rep) WHERE n_copies > 1 OR cluster IS NOT NULL",
+    "p8_classes": f"WITH {_SPANS} SELECT doc_id, rep, n_copies, coalesce(n, 0) AS n_links FROM d LEFT JOIN (SELECT a AS rep, count(*) AS n FROM l GROUP BY a) USING (rep)",
+    "p8_removals": f"WITH RECURSIVE {_SPANS}, {_components(_ALIKE)} SELECT doc_id, rep, coalesce(cluster, rep) AS cluster, doc_id = coalesce(cluster, rep) AS keep FROM d LEFT JOIN k USING (rep)",
     "p1_found": _P1_RANKS
     + """
     SELECT row_id FROM r WHERE rank_strategy_score <= 20 AND rank_page_confidence <= 20 AND rank_ensemble_score <= 20
