@@ -4,7 +4,8 @@ Spans keep to no line break, so paragraphs are cut by content: a cut is a place
 its neighbours. Two texts that share a span cut it at the same places, and every span of ``length`` characters holds at least one
 whole paragraph. A paragraph's signature is its MinHash over character shingles, ``rows`` minima a band, ``bands`` bands. The
 paragraphs of a common span are equal, their Jaccard similarity is 1, so with any number of rows and a single band they collide:
-recall is 1 by construction, and more rows only keep paragraphs that are merely alike from being compared.
+recall is 1 by construction. More rows and longer shingles only keep paragraphs that are merely alike from being compared: letters
+written from one template differ in a few characters a paragraph.
 
 Texts whose paragraphs collide are verified exactly: every window of ``length`` characters around such a paragraph is hashed (128
 bits), and equal windows are grouped. No text is compared with another, so the work grows with the text that is shared and not with
@@ -34,7 +35,7 @@ from parapheur.llm import codes
 from parapheur.llm.components import connected_components
 from parapheur.session import written
 
-LENGTH, GRAM, SHINGLE = 300, 128, 16
+LENGTH, GRAM, SHINGLE = 300, 128, 64
 BANDS, ROWS = 1, 4
 SIMILARITY = 0.8
 _CLASS = ["c1", "c2"]
