@@ -4,36 +4,33 @@ Detection works on a folded copy of the text (see ``folded``), so that full-widt
 nothing; positions are those of the stored text. Every kind is a form (what it is made of) with a context that tells it from
 orders, articles, amounts and services.
 
-Replacement gives each entity a placeholder ``[KIND surrogate]``: the surrogate is derived from a secret key and the entity's
-normal form, so all mentions of an entity (whatever their spelling) get the same one, and it keeps gender (of a title or a
-known given name), script, letter case and digit grouping. Two entities that come by the same surrogate are told apart by a
-distributed check that re-keys all but the first until none collide.
+Replacement gives each piece a placeholder ``[KIND surrogate]``. Surrogates (see ``surrogates``) are derived from a secret key and the
+entity's normal form, so all mentions of an entity, whatever their spelling, order, prefix or accents, get the same one; an initial
+gets that of the full name it stands for in its text. They keep gender (listed given names), script, letter case and digit
+grouping. Two entities never share one, by construction, so nothing about them is stored, joined or checked.
 
 Defined results for odd input:
 * null and empty texts hold nothing and come out as they are; texts of any length are read whole;
 * overlapping finds are resolved in favour of the earlier, then the longer; repeated rows are replaced alike;
-* a null row key is kept; an empty table gives an empty result.
+* a null row key is kept; an empty table gives an empty result; an empty secret is refused.
 """
 
 from __future__ import annotations
 
 import bisect
-import hashlib
-import hmac
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import reduce
 from typing import NamedTuple
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parapheur.llm.canonical import ODD, TO_LATIN
 from parapheur.llm.scan import tolerant
-from parapheur.session import written
+from parapheur.llm.surrogates import Surrogates, bare
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 
@@ -130,54 +127,79 @@ _S1 = r"(?:[ \t]+\n?[ \t]*|\n[ \t]*)"
 
 _AT = r"(?:" + _S + r"[\[(]" + _S + r"(?:at|arobase)" + _S + r"[\])]" + _S + r"|\n?@\n?)"
 _DOT = r"(?:\n?\.\n?|" + _S + r"[\[(]" + _S + r"(?:dot|point)" + _S + r"[\])]" + _S + r"|" + _S1 + r"(?:point|dot)" + _S1 + r")"
-_EMAIL = re.compile(
-    r"(?<![\w.+%-])[^\W_](?:[\w.+%-]|(?<=[-.+_])\n(?=\w)){0,80}" + _AT + r"[\w-]+(?:" + _DOT + r"[\w-]+)+(?<=[^\W\d_]{2})(?![\w@])", re.IGNORECASE
-)
+# What follows the local part of an address, which is read backwards from the sign: no part has a length limit.
+_DOMAIN = re.compile(_AT + r"[\w-]+(?:" + _DOT + r"[\w-]+)+(?<=[^\W\d_]{2})(?![\w@])", re.IGNORECASE)
+_LOCAL = re.compile(r"[\w.+%-]")
 _AT_SIGN = re.compile(r"@\n?\w[\w-]*\n?\.|[\[(]\s*(?:[aA][tT]|arobase|AROBASE)\s*[\])]")
 _PHONE = re.compile(
     r"(?<![\w/+.,-])(?:"
     r"(?:\+|00)33[ .\n-]?(?:\(0\))?[ .\n-]?[1-9](?:[ .\n-]?\d){8}"
+    r"|(?:\+|00)213[ .\n-]?(?:\(0\))?[ .\n-]?[1-9](?:[ .\n-]?\d){7,8}"
+    r"|\+[1-9]\d{0,2}[ .\n-]?(?:\(\d{1,4}\)[ .\n-]?)?\d(?:[ .\n-]?\d){5,12}"
     r"|0[1-9](?:[ .\n-]?\d\d){4}"
     r"|\(0\d{2,3}\)[ .\n-]?\d\d(?:[ .\n-]?\d\d){2,3}"
     r")(?![\d/]|[.,-]\d)"
 )
+# A number in no form of its own, and the labels that say it is a phone number.
+_LONG_NUMBER = re.compile(r"(?<![\w/+.,-])\d(?:[ .\n-]?\d){7,13}(?![\d/]|[.,-]\d)")
+_PHONE_LABELS = frozenset("tél tel téléphone telephone mobile portable fax gsm".split())
+_DIGITS = re.compile(r"[+(]?\d+")
 _ID_LABEL = (
     r"(?:identifiant" + _S1 + r"national|num[ée]ro" + _S1 + r"d['’]" + _S + r"identification" + _S1 + r"nationale|identification" + _S1 + r"nationale|NIN|NIR|passeport|CNI|NSS|"
-    r"(?:carte|pi[èe]ce)" + _S1 + r"(?:nationale" + _S1 + r")?d['’]" + _S + r"identit[ée]|s[ée]curit[ée]" + _S1 + r"sociale|assurance" + _S1 + r"sociale)"
+    r"(?:carte|pi[èe]ce)" + _S1 + r"(?:nationale" + _S1 + r")?d['’]" + _S + r"identit[ée]|s[ée]curit[ée]" + _S1 + r"sociale|assurance" + _S1 + r"sociale|SSN|social" + _S1 + r"security)"
 )
 _ID = re.compile(
-    r"\b" + _ID_LABEL + r"(?:[\s:,]|sous|le|la|num[ée]ro|n[°ºo]\.?)*?\s*(?P<v>[A-Z]{2}[ \n]?\d{7}|\d(?:[ .\n-]?\d){7,20})(?!\d)", re.IGNORECASE
+    r"\b" + _ID_LABEL + r"(?:[\s:,]|sous|le|la|num[ée]ro|n[°ºo]\.?)*?\s*(?P<v>[A-Z]{2}[ \n]?\d{7}|\d(?:[ .\n-]?\d){7,})(?!\d)", re.IGNORECASE
 )
+_ID_CUES = ("identifi", "identit", "passeport", "sécurit", "securit", "assurance")
+_ID_SHORT = ("nin", "nir", "cni", "nss", "ssn")
 # A number in one of the forms of such numbers, whose label before it was misread.
-_ID_FORM = re.compile(r"(?<![\w/+.,-])(?:\d{18}|\d{3}[ \n]\d{4}[ \n]\d{5}[ \n]\d{6}|\d{12}|\d\d[ \n]\d{4}[ \n]\d{4}[ \n]\d\d|\d{9}|\d{3}[ \n]\d{3}[ \n]\d{3}|[A-Z]{2}[ \n]?\d{7})(?![\d/]|[.,-]\d)")
+_ID_FORM = re.compile(r"(?<![\w/+.,-])(?:\d{18}|\d{3}[ \n]\d{4}[ \n]\d{5}[ \n]\d{6}|\d{12}|\d\d[ \n]\d{4}[ \n]\d{4}[ \n]\d\d|\d{9}|\d{3}[ \n]\d{3}[ \n]\d{3}|\d{3}-\d\d-\d{4}|[A-Z]{2}[ \n]?\d{7})(?![\d/]|[.,-]\d)")
+# A form that only identity numbers have.
+_ID_ALONE = re.compile(r"\d{3}-\d\d-\d{4}")
+_ID_FILLER = regex.compile(r"(?:[\s:,]|" + tolerant("sous") + r"|(?<!\S)(?:le|la)\b|" + tolerant("numéro") + r"|n[°ºo]\.?)+$", regex.IGNORECASE)
 _ID_BEFORE = regex.compile(
-    r"(?:identifiant national|identification nationale|passeport|carte d'identité|pièce d'identité|sécurité sociale|assurance sociale){e<=2}"
-    r"(?:[\s:,]|" + tolerant("sous") + r"|le|la|" + tolerant("numéro") + r"|n[°ºo]\.?)*$",
-    regex.IGNORECASE | regex.BESTMATCH,
+    r"(?:identifiant national|identification nationale|passeport|carte d'identité|pièce d'identité|sécurité sociale|assurance sociale){e<=2}$", regex.IGNORECASE | regex.BESTMATCH
 )
+#: Words of the longest label before an identity number.
+_LABEL_WORDS = 3
 _STREET = (
     r"(?:rue|avenue|av\.|boulevard|bd\.?|boul\.|chemin|ch\.|impasse|imp\.|place|pl\.|all[ée]e|all\.|quai|route|rte\.?|cours|square|"
     r"passage|ruelle|sentier|esplanade|cit[ée]|r[ée]sidence|r[ée]s\.|lotissement|lot\.|villa|faubourg|fbg|traverse|mont[ée]e|voie|hameau|quartier)"
 )
-_ADDRESS = re.compile(
-    r"(?<![\w°/,.-])(?:"
-    r"\d{1,4}(?:" + _S1 + r"(?:bis|ter|quater))?[ \t]*,?" + _S + _STREET + r"(?=[ \n])(?:" + _S1 + r"(?!au\b|puis\b|a\b|est\b)[^\s,;().]+){1,5}"
-    r"|" + _STREET + r"(?=[ \n])(?:" + _S1 + r"(?!n[°º])[^\s,;().]+){1,5}?" + _S + r",?" + _S + r"(?:n[°º]" + _S + r"\d{1,4}|B[âa]t(?:\.|iment)" + _S + r"\w+)"
-    r")",
+# The words of a street's name: five of any kind, as street names are also written in lower case, then as many as go on with a capital
+# or a digit, with small words between.
+_NAME_WORD = r"[^\s,;().]+"
+_MORE_NAME = r"(?:(?:" + _S1 + r"(?:de|du|des|la|le|les|l['’]|d['’]|et|sur|en|aux))*" + _S1 + r"(?=(?-i:[A-ZÀ-Ý0-9]|[ld]['’][A-ZÀ-Ý]))" + _NAME_WORD + r")*"
+_NUMBERED = re.compile(
+    r"(?<![\w°/,.-])\d{1,4}(?:" + _S1 + r"(?:bis|ter|quater))?[ \t]*,?" + _S + _STREET + r"(?=[ \n])(?:" + _S1 + r"(?!au\b|puis\b|a\b|est\b)" + _NAME_WORD + r"){1,5}" + _MORE_NAME,
     re.IGNORECASE,
 )
+_UNNUMBERED = re.compile(
+    r"(?<![\w°/,.-])(?=(?-i:[A-ZÀ-Ý]))" + _STREET + r"(?=[ \n])(?:" + _S1 + r"(?!n[°º])" + _NAME_WORD + r")+?" + _S + r",?" + _S + r"(?:n[°º]" + _S + r"\d{1,4}|B[âa]t(?:\.|iment)" + _S + r"\w+)", re.IGNORECASE
+)
 _ADDRESS_TAIL = re.compile(
     r"(?:" + _S + r",?" + _S + r"(?:B[âa]t(?:\.|iment)" + _S + r"\w+|n[°º]" + _S + r"\d{1,4}|[Aa]pp?t\.?" + _S + r"\d+|porte" + _S + r"\d+))*"
     r"(?:" + _S + r"(?:,|-|–)?" + _S + r"(?:\d{5}" + _S1 + r")?(?=[A-ZÀ-Ý])[\w'’]+(?:-" + _S + r"[\w'’]+)*)?"
 )
 
 _WORD = r"(?:[^\W\d_](?:[^\W\d_]|['’](?=\w)|[-¬][ \t]*\n?(?=[^\W\d_]))*)"
-_GIVEN = r"(?:[A-ZÀ-Ý]" + _S + r"\.(?:-?[A-ZÀ-Ý]\.)?|(?=[A-ZÀ-Ý])" + _WORD + r")"
-_FULL = r"(?P<n>" + _GIVEN + _S1 + r"(?=[A-ZÀ-Ý])" + _WORD + r"(?:[ ](?=[A-ZÀ-Ý])" + _WORD + r")?)"
+_UP = "[A-ZÀ-ÝΆ-ΏΑ-ΩЀ-Я]"
+_GIVEN = r"(?:[A-ZÀ-Ý]" + _S + r"\.(?:-?[A-ZÀ-Ý]\.)?|(?=" + _UP + ")" + _WORD + r")"
+_FULL = r"(?P<n>" + _GIVEN + _S1 + r"(?=" + _UP + ")" + _WORD + r"(?:[ ](?=" + _UP + ")" + _WORD + r")?)"
 _TITLED = re.compile(
     r"(?<![\w'’])(?P<t>" + "|".join(map(tolerant, ("Monsieur", "Madame", "Mademoiselle", "Docteur", "Professeur"))) + r"|M\.|Mr\.?|" + tolerant("Mme") + r"\.?|" + tolerant("Mlle") + r"\.?|Dr\.?|Ma[îi]tre|Me|Pr\.?)" + _S1 + _FULL, re.MULTILINE
 )
 _CUED = re.compile(r"(?<![\w'’])(?:" + "|".join(map(tolerant, ("soussigné", "soussignée", "Joindre", "contacter", "nommé", "nommée"))) + r")" + _S1 + _FULL)
+# What is done by a person or said of one, without a title.
+_PAR = re.compile("par" + _S1 + _FULL)
+_DONE = re.compile(
+    r"(?:sign|repr[ée]sent|r[ée]dig|assist|accompagn|[ée]tabl|remplac|mandat|d[ée]sign|contresign|approuv|re[çc]u|visit|t[ée]l[ée]phon)(?:[ée]|i)?e?s?$", re.IGNORECASE
+)
+_NOUNS = ("interlocuteur", "interlocutrice", "bénéficiaire", "titulaire", "locataire", "employé", "salarié", "candidat", "patient", "témoin", "plaignant")
+_CONTEXT = re.compile(r"(?<![\w'’])(?:interlocut(?:eur|rice)|b[ée]n[ée]ficiaire|titulaire|locataire|employ[ée]e?|salari[ée]e?|candidate?|patiente?|t[ée]moin|plaignante?)" + _S1 + _FULL)
+_AND = re.compile(_S1 + "et" + _S1 + _FULL)
+_ARABIC = re.compile(r"(?:السيدة|السيد|الآنسة|الدكتورة|الدكتور|الأستاذة|الأستاذ)[ \t]+(?P<n>[ء-ي]+(?:[ \t]+[ء-ي]+){1,2})")
 # Common French and Maghrebi given names, women's then men's.
 WOMEN = (
     "Aïcha Alice Amel Amina Amira Anne Asma Assia Aurélie Camille Caroline Catherine Céline Chantal Charlotte Chloé Christine Claire Claude Dalila Djamila Élise "
@@ -196,7 +218,7 @@ MEN = (
 GIVEN_NAMES = frozenset(n.casefold() for n in WOMEN + MEN)
 _ROLE = (
     r"(?:L[ea][ \t]+(?:Directeur|Directrice|Responsable|Secr[ée]taire|Chef|Cheffe|Pr[ée]sidente?|G[ée]rante?|D[ée]l[ée]gu[ée]e?|Adjointe?|Sous-Directeur|Sous-Directrice|"
-    r"Ing[ée]nieure?|Comptable|Tr[ée]sorier|Tr[ée]sori[èe]re|Coordonnateur|Coordinatrice|Greffi[èe]r?e?|Inspecteur|Inspectrice)|P\.?/?O\.?)[^\n]{0,40}"
+    r"Ing[ée]nieure?|Comptable|Tr[ée]sorier|Tr[ée]sori[èe]re|Coordonnateur|Coordinatrice|Greffi[èe]r?e?|Inspecteur|Inspectrice)|P\.?/?O\.?)[^\n]*"
 )
 _OWN_LINE = _GIVEN + r"[ \t]+(?=[A-ZÀ-Ý])" + _WORD + r"(?:[ \t]+(?=[A-ZÀ-Ý])" + _WORD + r")?"
 _SIGNED = re.compile(r"^[ \t]*" + _ROLE + r"\n+[ \t]*(?P<n>" + _OWN_LINE + r")[ \t]*(?=\n|$)", re.MULTILINE)
@@ -225,6 +247,70 @@ class Piece(NamedTuple):
     title: str
 
 
+def _email(text: str, sign: int) -> tuple[int, int] | None:
+    """Where the address around a sign begins and ends."""
+    m = _DOMAIN.match(text, sign)
+    if not m and text[sign : sign + 1] != "@":  # blanks may stand before a sign in brackets
+        while sign and text[sign - 1] in " \t\n":
+            sign -= 1
+        m = _DOMAIN.match(text, sign)
+    elif not m and sign and text[sign - 1] == "\n":
+        sign -= 1
+        m = _DOMAIN.match(text, sign)
+    if not m:
+        return None
+    start = sign
+    while start and text[start - 1] in " \t\n" and text[sign : sign + 1] not in "@":
+        start -= 1
+    end = start - 1 if start and text[start - 1] == "\n" else start
+    start = end
+    while start and (_LOCAL.match(text[start - 1]) or text[start - 1] == "\n" and start > 1 and text[start - 2] in "-.+_" and start < end):
+        start -= 1
+    while start < end and not text[start].isalnum():
+        start += 1
+    return (start, m.end()) if start < end else None
+
+
+def _phone_label(text: str, at: int) -> bool:
+    """Whether the word before a number says that it is a phone number."""
+    end = at
+    while end and text[end - 1] in " \t\n:.n°º":
+        end -= 1
+    start = end
+    while start and text[start - 1].isalpha():
+        start -= 1
+    return text[start:end].lower() in _PHONE_LABELS
+
+
+def _done_by(text: str, at: int) -> bool:
+    """Whether the word before ``par`` says what a person does."""
+    before = text[max(0, text.rfind("\n", 0, max(0, at - 1))) : at]
+    return at > 0 and before[-1:].isspace() and bool(_DONE.search(before.rstrip()))
+
+
+def _stands(low: str, cue: str) -> bool:
+    """Whether a short cue stands as a word of its own."""
+    i = low.find(cue)
+    while i >= 0:
+        if not (i and low[i - 1].isalnum()) and not low[i + len(cue) : i + len(cue) + 1].isalpha():
+            return True
+        i = low.find(cue, i + 1)
+    return False
+
+
+def _labelled(text: str, at: int) -> bool:
+    """Whether the words before a number are the label of an identity number, with small words between."""
+    words = 8
+    while True:
+        before = text[:at].rsplit(None, words)
+        tail = " ".join(before[1:] if len(before) > words else before)
+        filler = _ID_FILLER.search(tail)
+        label = tail[: filler.start()] if filler else tail
+        if len(label.split()) >= _LABEL_WORDS or len(before) <= words:
+            return bool(_ID_BEFORE.search(" ".join(label.split()[-_LABEL_WORDS:]).replace("’", "'")))
+        words *= 2  # nothing but small words so far
+
+
 def _address_end(text: str, end: int) -> int:
     tail = _ADDRESS_TAIL.match(text, end)
     return tail.end() if tail else end
@@ -235,30 +321,52 @@ def find(text: str | None) -> list[Piece]:
     if not text:
         return []
     plain, place = folded(text)
+    low = plain.lower()
     found: list[tuple[int, int, str, str]] = []
     for sign in _AT_SIGN.finditer(plain):
-        m = _EMAIL.search(plain, max(0, sign.start() - 120), sign.end() + 160)
-        while m and m.end() <= sign.start():
-            m = _EMAIL.search(plain, m.end(), sign.end() + 160)
-        if m and m.start() < sign.start():
-            found.append((m.start(), m.end(), "email", ""))
-    found += [(m.start(), m.end(), "phone", "") for m in _PHONE.finditer(plain)]
-    found += [(m.start("v"), m.end("v"), "id_number", "") for m in _ID.finditer(plain)]
+        span = _email(plain, sign.start())
+        if span:
+            found.append((*span, "email", ""))
+    if any(cue in low for cue in _ID_CUES) or any(_stands(low, cue) for cue in _ID_SHORT):
+        found += [(m.start("v"), m.end("v"), "id_number", "") for m in _ID.finditer(plain)]
     strict = {f[0] for f in found}
-    for m in _ID_FORM.finditer(plain):
-        if m.start() not in strict and _ID_BEFORE.search(" ".join(plain[max(0, m.start() - 60) : m.start()].split()).replace("’", "'")):
-            found.append((m.start(), m.end(), "id_number", ""))
-    for m in _ADDRESS.finditer(plain):
-        if m[0][0].isdigit() or m[0][0].isupper():
-            found.append((m.start(), _address_end(plain, m.end()), "address", ""))
-    for m in _TITLED.finditer(plain):
-        if not _NO_NAME.match(m["n"]):
-            found.append((m.start("n"), m.end("n"), "person", m["t"]))
-    found += [(m.start("n"), m.end("n"), "person", "") for m in _CUED.finditer(plain) if not _NO_NAME.match(m["n"])]
+    phones = ids = streets = 0  # up to where each kind was found
+    for run in _DIGITS.finditer(plain):  # every number is a place where one of these may begin
+        at = run.start() + (not run[0][0].isdigit())
+        if run.start() >= phones:
+            m = _PHONE.match(plain, run.start()) or _PHONE.match(plain, at) or (_LONG_NUMBER.match(plain, at) if _phone_label(plain, at) else None)
+            if m:
+                found.append((m.start(), m.end(), "phone", ""))
+                phones = m.end()
+        if at >= ids:
+            m = _ID_FORM.match(plain, at) or _ID_FORM.match(plain, max(0, at - 2)) or _ID_FORM.match(plain, max(0, at - 3))
+            if m:
+                ids = m.end()
+                if m.start() not in strict and (_ID_ALONE.fullmatch(m[0]) or _labelled(plain, m.start())):
+                    found.append((m.start(), m.end(), "id_number", ""))
+        if at >= streets:
+            m = _NUMBERED.match(plain, at)
+            if m:
+                found.append((at, _address_end(plain, m.end()), "address", ""))
+                streets = m.end()
+    if "n°" in low or "nº" in low or "bât" in low or "bat" in low:
+        found += [(m.start(), _address_end(plain, m.end()), "address", "") for m in _UNNUMBERED.finditer(plain)]
+    people = [(m.start("n"), m.end("n"), "person", m["t"]) for m in _TITLED.finditer(plain) if not _NO_NAME.match(m["n"])]
+    people += [(m.start("n"), m.end("n"), "person", "") for m in _CUED.finditer(plain) if not _NO_NAME.match(m["n"])]
+    people += [(m.start("n"), m.end("n"), "person", "") for m in _PAR.finditer(plain) if not _NO_NAME.match(m["n"]) and _done_by(plain, m.start())]
+    if any(noun in low for noun in _NOUNS):
+        people += [(m.start("n"), m.end("n"), "person", "") for m in _CONTEXT.finditer(plain) if not _NO_NAME.match(m["n"])]
     for m in _SIGNED.finditer(plain):
         if not _NO_NAME.match(m["n"]) and (len(m["n"].split()) == 2 or _known_name(m["n"])):  # "M." before two names is a title
-            found.append((m.start("n"), m.end("n"), "person", ""))
-    found += [(m.start("n"), m.end("n"), "person", "") for m in _ALONE.finditer(plain) if _known_name(m["n"]) and not _NO_NAME.match(m["n"])]
+            people.append((m.start("n"), m.end("n"), "person", ""))
+    people += [(m.start("n"), m.end("n"), "person", "") for m in _ALONE.finditer(plain) if _known_name(m["n"]) and not _NO_NAME.match(m["n"])]
+    if "ال" in plain:
+        people += [(m.start("n"), m.end("n"), "person", "") for m in _ARABIC.finditer(plain)]
+    for person in people:  # grows: a name joined to one found is one too
+        m = _AND.match(plain, person[1])
+        if m and not _NO_NAME.match(m["n"]):
+            people.append((m.start("n"), m.end("n"), "person", ""))
+    found += people
     found.sort(key=lambda f: (f[0], -f[1]))
     out: list[Piece] = []
     last = 0
@@ -294,174 +402,56 @@ def pieces(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, f"_key {kind}, kind STRING, start_pos INT, end_pos INT, found STRING, title STRING").withColumnRenamed("_key", key)
 
 
-def _bare(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c))
-
-
 def normal_form(kind: str, found: str) -> str:
     """What all mentions of one entity have in common."""
-    bare = _bare(found)
+    plain = bare(found)
     if kind == "email":
-        bare = re.sub(r"\s*[\[(]\s*(?:at|arobase)\s*[\])]\s*", "@", bare)
-        bare = re.sub(r"\s*[\[(]\s*(?:dot|point)\s*[\])]\s*|\s+(?:point|dot)\s+", ".", bare)
-        return re.sub(r"\s", "", bare)
+        plain = re.sub(r"\s*[\[(]\s*(?:at|arobase)\s*[\])]\s*", "@", plain)
+        plain = re.sub(r"\s*[\[(]\s*(?:dot|point)\s*[\])]\s*|\s+(?:point|dot)\s+", ".", plain)
+        return re.sub(r"\s", "", plain)
     if kind == "phone":
-        digits = re.sub(r"\D", "", re.sub(r"\(0\)", "", bare))
+        digits = re.sub(r"\D", "", re.sub(r"\(0\)", "", plain))
         return "0" + digits[-9:] if len(digits) > 10 else digits
     if kind == "id_number":
-        return re.sub(r"[^a-z0-9]", "", bare)
-    words = re.findall(r"[^\W_]+", bare)
+        return re.sub(r"[^a-z0-9]", "", plain)
+    words = re.findall(r"[^\W_]+", plain)
     return " ".join(sorted(words) if kind == "person" else words)
 
 
-def gender_of(title: str, found: str) -> str:
-    bare = _bare(title)
-    if bare[:2] in ("ma", "mm", "ml"):
-        return "f"
-    if bare[:2] in ("mo", "m.", "mr"):
-        return "m"
-    for word in re.findall(r"[^\W\d_]+", found.casefold()):
-        if word in _WOMEN_SET:
-            return "f"
-        if word in _MEN_SET:
-            return "m"
-    return "n"
-
-
 _WOMEN_SET = frozenset(n.casefold() for n in WOMEN)
 _MEN_SET = frozenset(n.casefold() for n in MEN)
-_ONSETS, _NUCLEI, _CODAS = "b c d f g l m n p r s t v".split(), "a e i o u ai ou".split(), "l n r s t nd rd".split()
-
 
-def _number(secret: bytes, *parts: str) -> int:
-    return int.from_bytes(hmac.new(secret, "\x1f".join(parts).encode(), hashlib.sha256).digest(), "big")
 
+def _in_script(stored: str, plain: str) -> str:
+    """A piece as stored if it is wholly in another script, else with ordinary letters."""
+    letters = [c for c in stored if c.isalpha()]
+    return stored if letters and all(unicodedata.name(c, "").split(" ")[0] in ("GREEK", "CYRILLIC", "ARABIC") for c in letters) and len({unicodedata.name(c).split(" ")[0] for c in letters}) == 1 and plain != stored and any(c not in TO_LATIN for c in letters) else plain
 
-def _spoken(n: int, syllables: int) -> str:
-    out = []
-    for _ in range(syllables):
-        n, a = divmod(n, len(_ONSETS))
-        n, b = divmod(n, len(_NUCLEI))
-        out.append(_ONSETS[a] + _NUCLEI[b])
-    return "".join(out) + _CODAS[n % len(_CODAS)]
 
-
-def core(secret: bytes, kind: str, normal: str, gender: str, attempt: int) -> str:
-    """The keyed part of a surrogate, before it takes a mention's format; a number has as many digits as a mention shows."""
-    n = _number(secret, kind, normal, str(attempt))
-    if kind == "person":
-        names = WOMEN if gender == "f" or gender == "n" and n % 2 else MEN
-        given = names[(n >> 1) % len(names)]
-        return f"{given} {_spoken(n >> 16, 4).capitalize()}"
-    if kind == "email":
-        return f"{_spoken(n, 3)}.{_spoken(n >> 40, 3)}@example.org"
-    if kind == "address":
-        return f"{1 + n % 299} rue {_spoken(n >> 16, 4).capitalize()}"
-    shown = max(sum(c.isdigit() for c in normal) - (kind == "phone"), 1)  # a phone number keeps its leading 0 or prefix
-    return str(n % 10**shown).zfill(shown)
-
-
-def distinguishing(kind: str, core_text: str) -> str:
-    """The part of a core that every format shows: two entities may not share it."""
-    return core_text.split(" ", 1)[1] if kind == "person" else core_text
-
-
-def formatted(kind: str, found: str, core_text: str) -> str:
-    """A core in the format of one mention: letter case, order and initial of a name, digit grouping of a number."""
-    if kind == "person":
-        given, surname = core_text.split(" ", 1)
-        words = found.split()
-        if re.fullmatch(r"\w\.(?:-?\w\.)?", words[0]):
-            return f"{given[0]}. {surname.upper() if words[-1].isupper() else surname}"
-        upper = [len(w) > 1 and w.isupper() for w in words]
-        if upper[0] and not upper[-1]:
-            return f"{surname.upper()} {given}"
-        return f"{given} {surname.upper()}" if upper[-1] and not upper[0] else f"{given.upper()} {surname.upper()}" if all(upper) else f"{given} {surname}"
-    if kind == "email":
-        return core_text.upper() if found.upper() == found and found.lower() != found else core_text
-    if kind == "address":
-        return core_text
-    digits, out = iter(core_text), []
-    skip = re.match(r"(?:\+|00)33[ .\n-]?(?:\(0\))?|\(?0", found) if kind == "phone" else None
-    for i, c in enumerate(found):
-        out.append(c if skip and i < skip.end() else next(digits, "0") if c.isdigit() else "X" if c.isalpha() else " " if c == "\n" else c)
-    return "".join(out)
-
-
-def surrogates(found: DataFrame, secret: str, rounds: int = 40) -> DataFrame:
-    """(kind, normal, core) of every entity in ``found`` (kind, normal, gender); no two entities of a kind look alike in any format.
-
-    Cores are drawn for all entities at once; where several drew the same, the least keeps it and the others draw again.
-    """
-    key = secret.encode()
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kinds, normals, genders, attempts = (batch.column(i).to_pylist() for i in range(4))
-            cores = [core(key, *x) for x in zip(kinds, normals, genders, attempts)]
-            marks = [distinguishing(k, c) for k, c in zip(kinds, cores)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cores, pa.string()), pa.array(marks, pa.string())], names=["kind", "normal", "gender", "attempt", "core", "mark"])
-
-    schema = "kind STRING, normal STRING, gender STRING, attempt INT, core STRING, mark STRING"
-    entities = found.groupBy("kind", "normal").agg(F.min("gender").alias("gender")).withColumn("attempt", F.lit(0))
-    settled: DataFrame | None = None
-    for _ in range(rounds):
-        drawn = entities.select("kind", "normal", "gender", "attempt").mapInArrow(draw, schema).withColumn("first", F.lit(1))
-        if settled is not None:
-            drawn = drawn.unionByName(settled.withColumn("first", F.lit(0)))
-        place = F.row_number().over(Window.partitionBy("kind", "mark").orderBy("first", "normal"))
-        drawn = written(drawn.withColumn("place", place), "surrogates")
-        settled = drawn.where("place = 1").drop("first", "place")
-        entities = drawn.where("place > 1").drop("core", "mark", "first", "place").withColumn("attempt", F.col("attempt") + 1)
-        if entities.isEmpty():
-            return settled.select("kind", "normal", "core")
-    raise RuntimeError("surrogates still collide; the space of names is too small for this corpus")
+def replaced(text: str | None, maker: Surrogates) -> tuple[str | None, int]:
+    """A text with ``[KIND surrogate]`` in place of each piece, and how many there were."""
+    found = find(text)
+    people = [p.text for p in found if p.kind == "person"]
+    out, last = [], 0
+    for p in found:
+        plain = _in_script(text[p.start : p.end], p.text)
+        out += [text[last : p.start], f"[{p.kind.upper()} {maker.of(p.kind, plain, normal_form(p.kind, plain), people)}]"]
+        last = p.end
+    return ("".join(out) + text[last:] if found else text), len(found)
 
 
 def pseudonymised(df: DataFrame, key: str, text: str, secret: str) -> DataFrame:
-    """(key, safe_text, n_replaced): every text with ``[KIND surrogate]`` in place of each piece and all else unchanged."""
-    return pseudonymised_tables([(df, key, text)], secret)[0]
+    """(key, safe_text, n_replaced): every text with its pieces replaced and all else unchanged; one scan, no shuffle.
 
-
-def pseudonymised_tables(tables: list[tuple[DataFrame, str, str]], secret: str) -> list[DataFrame]:
-    """``pseudonymised`` of several tables (rows, key, text) that are used together.
-
-    Surrogates are drawn once over the entities of all: one entity has one surrogate everywhere, two never share one.
+    The same secret gives the same surrogates in every table.
     """
-    found = [written(_with_normals(df, key, text), "pieces") for df, key, text in tables]
-    cores = surrogates(reduce(DataFrame.unionByName, [f.select("kind", "normal", "gender") for f in found]), secret)
-    return [_replaced(df, key, text, f, cores) for (df, key, text), f in zip(tables, found)]
-
-
-def _with_normals(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(_key, kind, start_pos, end_pos, found, normal, gender) of every piece."""
+    Surrogates(secret, (WOMEN, MEN))  # an empty secret is refused here, not in a task
     kind = df.schema[key].dataType.simpleString()
-    describe = "_key {0}, kind STRING, start_pos INT, end_pos INT, found STRING, normal STRING, gender STRING".format(kind)
 
-    def normals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maker = Surrogates(secret, (WOMEN, MEN))
         for batch in batches:
-            kinds, found, titles = (batch.column(i).to_pylist() for i in (1, 4, 5))
-            normal = [normal_form(k, f) for k, f in zip(kinds, found)]
-            gender = [gender_of(t or "", f) if k == "person" else "n" for k, f, t in zip(kinds, found, titles)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(normal, pa.string()), pa.array(gender, pa.string())], names=["_key", "kind", "start_pos", "end_pos", "found", "normal", "gender"])
-
-    return pieces(df, key, text).mapInArrow(normals, describe)
-
+            done = [replaced(t, maker) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int32())], names=["_id", "safe_text", "n_replaced"])
 
-def _replaced(df: DataFrame, key: str, text: str, found: DataFrame, cores: DataFrame) -> DataFrame:
-    kind = df.schema[key].dataType.simpleString()
-    edits = found.join(cores, ["kind", "normal"]).groupBy("_key").agg(F.collect_list(F.struct("start_pos", "end_pos", "kind", "found", "core")).alias("edits"))  # bounded by the text
-    rows = df.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, counts = [], []
-            for value, changes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                for c in sorted({(c["start_pos"], c["end_pos"], c["kind"], c["found"], c["core"]) for c in changes or ()}, reverse=True):
-                    value = f"{value[: c[0]]}[{c[2].upper()} {formatted(*c[2:])}]{value[c[1] :]}"
-                out.append(value)
-                counts.append(len(changes or ()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(counts, pa.int32())], names=["_id", "safe_text", "n_replaced"])
-
-    joined = rows.join(edits, rows["_id"].eqNullSafe(edits["_key"]), "left").select("_id", "_text", "edits")
-    return joined.mapInArrow(apply, f"_id {kind}, safe_text STRING, n_replaced INT").withColumnRenamed("_id", key)
+    return df.select(F.col(key).alias("_id"), F.col(text).alias("_text")).mapInArrow(run, f"_id {kind}, safe_text STRING, n_replaced INT").withColumnRenamed("_id", key)

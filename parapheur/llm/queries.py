@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import secrets
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +24,8 @@ def p1_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The tables that hold free text: name, key, text column.
 TEXTS = (("generated_documents", "row_no", "content"), ("ocr_pages", "page_row_id", "raw_text"))
-#: Key of the surrogates; a deployment sets its own and keeps it apart from the data.
-SECRET = os.environ.get("PARAPHEUR_SECRET", "example key")
+#: Key of the surrogates; a deployment sets its own and keeps it apart from the data. Where none is set nobody can know it later.
+SECRET = os.environ.get("PARAPHEUR_SECRET") or secrets.token_hex(32)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +49,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_pseudonymised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    safe = private.pseudonymised_tables([(table(spark, sf_dir, name), key, text) for name, key, text in TEXTS], SECRET)
-    parts = [df.select(F.lit(name).alias("tab"), F.col(key).alias("row_id"), "safe_text", "n_replaced") for (name, key, _), df in zip(TEXTS, safe)]
+    parts = [private.pseudonymised(table(spark, sf_dir, name), key, text, SECRET).select(F.lit(name).alias("tab"), F.col(key).alias("row_id"), "safe_text", "n_replaced") for name, key, text in TEXTS]
     return parts[0].unionByName(parts[1])
 
 

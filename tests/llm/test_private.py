@@ -1,9 +1,11 @@
+import itertools
 import re
 
 import pytest
 
 from parapheur.llm import private as p
 from parapheur.llm import queries
+from parapheur.llm import surrogates as sg
 
 
 @pytest.mark.parametrize(
@@ -83,13 +85,53 @@ def test_surrogates_are_consistent_distinct_and_typed(spark):
     assert safe(spark, texts) == out and safe(spark, texts, "other")[0] != out[0]
 
 
-def test_collisions_are_settled(spark):
-    # 600 numbers of 3 digits leave no room for luck: many must be drawn again
-    small = spark.createDataFrame([("id_number", f"{i:03d}", "n") for i in range(600)], "kind STRING, normal STRING, gender STRING")
-    cores = [c.core for c in p.surrogates(small, "k").collect()]
-    assert len(cores) == 600 == len(set(cores)) and all(len(c) == 3 for c in cores)
-    people = spark.createDataFrame([("person", f"nom {i}", "f") for i in range(300)], "kind STRING, normal STRING, gender STRING")
-    assert len({p.distinguishing("person", c.core) for c in p.surrogates(people, "k").collect()}) == 300
+def test_no_two_parts_of_one_form_share_an_image_and_none_is_its_own():
+    cipher = sg.Cipher("k")
+    for n in (2, 3, 10, 700):
+        images = [cipher.moved(i, n, "t") for i in range(n)]
+        assert sorted(images) == list(range(n)) and all(i != x for i, x in enumerate(images))
+    words = ["".join(w) for w in itertools.product("bcd", "aei", "mn", "ou")]
+    images = {cipher.shuffled(w, "t") for w in words}
+    assert len(images) == len(words) and all(w[0] in sg.ALPHABETS[1] and w[1] in sg.ALPHABETS[0] for w in images)
+    assert cipher.shuffled("a-b.c", "t")[1::2] == "-." and cipher.shuffled("", "t") == ""
+    with pytest.raises(ValueError):
+        sg.Cipher("")
+
+
+def test_numbers_keep_their_form_and_stay_distinct():
+    maker = sg.Surrogates("k", (p.WOMEN, p.MEN))
+    out = {maker.of("id_number", f"AB{i:07d}", f"ab{i:07d}") for i in range(2000)}
+    assert len(out) == 2000 and all(re.fullmatch(r"[A-Z]{2}\d{7}", x) for x in out)
+    streets = {maker.of("address", f"{i}, rue des Oliviers, Alger", "") for i in range(10, 99)}
+    assert len(streets) == 89 and all(re.fullmatch(r"[1-9]\d, rue des [A-Z]\w+, [A-Z]\w+", x) and "Olivier" not in x for x in streets)
+    mails = {maker.of("email", m, m) for m in ("a@x.org", "b@x.org", "a@y.org")}
+    assert len(mails) == 3 and all(m.endswith(".example") for m in mails)
+
+
+def test_names_keep_gender_script_and_coreference(spark):
+    safe_text = safe(spark, ["Madame Jeanne Durand et Madame J. Durand ; M. Karim Durand.", "Monsieur Ανδρέας Παπαδάκης", "السيد احمد بنعلي", "Madame DURAND Jeanne"])
+    jeanne, short, karim = re.findall(r"\[PERSON ([^\]]+)\]", safe_text[0][0])
+    assert jeanne.split()[0].casefold() in p._WOMEN_SET and karim.split()[0].casefold() in p._MEN_SET
+    assert short == f"{jeanne[0]}. {jeanne.split()[1]}" and karim.split()[1] == jeanne.split()[1]
+    greek, arabic, other = (re.search(r"\[PERSON ([^\]]+)\]", t)[1] for t, _ in safe_text[1:])
+    assert all("\u0370" <= c <= "\u03ff" for c in greek if c.isalpha()) and all("\u0600" <= c <= "\u06ff" for c in arabic if c.isalpha())
+    assert set(other.casefold().split()) == set(jeanne.casefold().split()) and other.split()[0].isupper()
+
+
+@pytest.mark.parametrize(
+    ("text", "pieces"),
+    [
+        ("Tél. +213 550 12 34 56.", [("phone", "+213 550 12 34 56")]), ("Tél : 213 21 45 67 89", [("phone", "213 21 45 67 89")]), ("au +44 20 7946 0958", [("phone", "+44 20 7946 0958")]),
+        ("au +1 (202) 555-0175 ou", [("phone", "+1 (202) 555-0175")]), ("SSN 123-45-6789", [("id_number", "123-45-6789")]), ("dossier 123-45-6789 clos", [("id_number", "123-45-6789")]),
+        ("le contrat est signé par Jean Dupont et Marie Curie.", [("person", "Jean Dupont"), ("person", "Marie Curie")]), ("notre interlocuteur Zohir Belkadiouane", [("person", "Zohir Belkadiouane")]),
+        ("à " + "a" * 141 + "@example.org", [("email", "a" * 141 + "@example.org")]), ("M. Иван Петров", [("person", "Иван Петров")]),
+        ("12 rue du Chevalier de la Barre et du Grand Veneur de France, Alger puis", [("address", "12 rue du Chevalier de la Barre et du Grand Veneur de France, Alger")]),
+        ("passeport " + "sous le numéro : " * 9 + "AB1234567", [("id_number", "AB1234567")]), ("passcport" + " sous le n° :" * 9 + " AB1234567", [("id_number", "AB1234567")]), ("sans label AB1234567", []),
+        ("La Directrice " + "générale " * 9 + "\nAmel Zorgani\n", [("person", "Amel Zorgani")]),
+    ],
+)
+def test_forms_without_bounds(text, pieces):
+    assert [(f.kind, text[f.start : f.end]) for f in p.find(text)] == pieces
 
 
 def test_one_number_in_all_formats(spark):
@@ -103,17 +145,15 @@ def test_empty_table(spark):
     assert p.pieces(df, "id", "t").count() == 0 and p.pseudonymised(df, "id", "t", "s").count() == 0
 
 
-def test_surrogates_hold_across_the_tables_of_the_query(spark, tmp_path, monkeypatch):
-    first: dict[str, list[str]] = {}
-    for i in range(20_000):
-        first.setdefault(p.core(b"s", "id_number", f"ab{i:07d}", "n", 0), []).append(f"{i:07d}")
-    (a, b), (c, d) = [sorted(x)[:2] for x in first.values() if len(x) > 1][:2]  # each draws the surrogate of the other
-    line = "passeport n° AB{}.".format
-    spark.createDataFrame([(1, line(a)), (2, line(c)), (3, line(d))], "row_no BIGINT, content STRING").write.parquet(str(tmp_path / "generated_documents.parquet"))
-    spark.createDataFrame([(1, line(b)), (2, line(d)), (3, None)], "page_row_id BIGINT, raw_text STRING").write.parquet(str(tmp_path / "ocr_pages.parquet"))
-    monkeypatch.setattr(queries, "SECRET", "s")
+def test_surrogates_hold_across_the_tables_of_the_query(spark, tmp_path):
+    line = "passeport n° AB{:07d}.".format
+    spark.createDataFrame([(i, line(i)) for i in range(3)], "row_no BIGINT, content STRING").write.parquet(str(tmp_path / "generated_documents.parquet"))
+    spark.createDataFrame([(i, line(i)) for i in range(1, 4)] + [(9, None)], "page_row_id BIGINT, raw_text STRING").write.parquet(str(tmp_path / "ocr_pages.parquet"))
     out = {(r.tab, r.row_id): r.safe_text for r in queries.p4_pseudonymised(spark, str(tmp_path)).collect()}
     letters, pages = ({k[1]: v for k, v in out.items() if k[0] == tab} for tab in ("generated_documents", "ocr_pages"))
-    assert letters[1] != pages[1]  # two entities, one in each table
-    assert letters[3] == pages[2] != letters[2]  # one entity, redrawn in both tables though only letters hold its rival
-    assert pages[3] is None and len(out) == 6
+    assert letters[1] == pages[1] and letters[2] == pages[2] and len({*letters.values(), *pages.values()}) == 5 and pages[9] is None
+
+
+def test_no_key_no_surrogates(spark):
+    with pytest.raises(ValueError):
+        p.pseudonymised(spark.createDataFrame([], "id BIGINT, t STRING"), "id", "t", "")
