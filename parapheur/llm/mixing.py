@@ -7,7 +7,9 @@ are taken once more is decided by the cube method: inclusion probabilities move
 constraints (number of documents, number of tokens), a few documents at a time, until all but a few are 0 or 1.
 
 The flight runs in blocks of at most about ``BLOCK`` documents, hot sources being cut into as many as they need; what is left
-undecided in the blocks (``LANDING`` documents each at most) flies again in blocks, until a handful of a source remains for landing.
+undecided in the blocks (two documents each at most) flies again in blocks, until the last two of a source remain. These land by
+dropping the constraints, so that every document keeps exactly its inclusion probability; the smallest ones fly last, and what the
+tokens of a source miss their goal by is less than one of those.
 
 Defined results for odd input:
 * null, empty and token-less texts have no size and are never chosen; null sources and sources without a target are left out;
@@ -21,6 +23,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,10 +42,11 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Documents whose flight one task holds at a time.
 BLOCK = 20_000
-#: Documents of a source that are left for landing, all ways of which are tried.
-LANDING = 12
-#: A text is encoded in pieces of at most about so many characters, cut before a blank.
+#: The smallest documents of a block come last in its flight.
+SMALL = 50
+#: A text is encoded in pieces of about so many characters, cut where no token crosses: before a blank between two letters.
 PIECE = 100_000
+_CUT = re.compile(r"[^\W\d_] (?=[^\W\d_])")
 
 
 @lru_cache(maxsize=2)
@@ -58,13 +62,11 @@ def n_tokens(text: str, path: str) -> int:
     coder, total, lo = encoding(path), 0, 0
     text = text.encode("utf-8", "replace").decode("utf-8")  # lone surrogates have no bytes
     while len(text) - lo > PIECE:
-        at = lo + PIECE
-        while at > lo + 1 and not (text[at] == " " and text[at - 1].isalnum() and text[at + 1 : at + 2].isalnum()):
-            at -= 1
-        if at == lo + 1:
-            at = lo + PIECE
-        total += len(coder.encode_ordinary(text[lo:at]))
-        lo = at
+        m = _CUT.search(text, lo + PIECE - 1)  # the first such place from there on; a text without one is encoded as a whole
+        if not m:
+            break
+        total += len(coder.encode_ordinary(text[lo : m.start() + 1]))
+        lo = m.start() + 1
     return total + len(coder.encode_ordinary(text[lo:]))
 
 
@@ -80,44 +82,57 @@ def token_counts(df: DataFrame, text: str, keep: list[str], path: str) -> DataFr
     return df.where(F.col(text) != "").select(*keep, text).mapInArrow(run, f"{fields}, n_tokens BIGINT")
 
 
-def flight(p: np.ndarray, sizes: np.ndarray, random: np.random.Generator, keep: int = 0) -> np.ndarray:
+def flight(p: np.ndarray, sizes: np.ndarray, random: np.random.Generator) -> np.ndarray:
     """Fast flight phase: p with all but two entries at most moved to 0 or 1, keeping the sums of p and of p * size.
 
-    ``keep`` more entries stay as they are, so that landing can choose among them.
+    Entries come in random order but for the last, which are the smallest: what stays open is small.
     """
     p = p.copy()
-    open_ = [i for i in random.permutation(len(p)) if 1e-9 < p[i] < 1 - 1e-9]
-    open_ = open_[: max(0, len(open_) - keep)]
+    open_ = random.permutation(np.flatnonzero((p > 1e-9) & (p < 1 - 1e-9)))
+    small = np.argsort(sizes[open_], kind="stable")[:SMALL]
+    open_ = np.concatenate([np.delete(open_, small), open_[small[::-1]]]).tolist()
+    p, sizes = p.tolist(), sizes.tolist()
+    chance = iter(random.random(len(open_) + 1).tolist())
     hand, rest = open_[:3], iter(open_[3:])
     while len(hand) == 3:
-        a, b, c = sizes[hand[0]], sizes[hand[1]], sizes[hand[2]]
-        u = np.array([b - c, c - a, a - b], float)  # sums to 0, and so does u * size
-        if not u.any():
-            u = np.array([1.0, -1.0, 0.0])
-        q = p[hand]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            up = np.min(np.where(u > 0, (1 - q) / u, np.where(u < 0, -q / u, np.inf)))
-            down = np.min(np.where(u > 0, q / u, np.where(u < 0, (q - 1) / u, np.inf)))
-        q = q + up * u if random.random() * (up + down) < down else q - down * u
-        q[q < 1e-9], q[q > 1 - 1e-9] = 0.0, 1.0
-        p[hand] = q
-        hand = [i for i in hand if 0 < p[i] < 1]
+        i, j, k = hand
+        u = (sizes[j] - sizes[k], sizes[k] - sizes[i], sizes[i] - sizes[j])  # sums to 0, and so does u * size
+        if not any(u):
+            u = (1.0, -1.0, 0.0)
+        q = (p[i], p[j], p[k])
+        up = min((1 - x) / d if d > 0 else -x / d for x, d in zip(q, u) if d)
+        down = min(x / d if d > 0 else (x - 1) / d for x, d in zip(q, u) if d)
+        step = up if next(chance) * (up + down) < down else -down
+        hand = []
+        for at, x, d in zip((i, j, k), q, u):
+            x += step * d
+            p[at] = 0.0 if x < 1e-9 else 1.0 if x > 1 - 1e-9 else x
+            if 0 < p[at] < 1:
+                hand.append(at)
         while len(hand) < 3 and (i := next(rest, None)) is not None:
             hand.append(i)
-    return p
+    return np.array(p)
 
 
 def landing(p: np.ndarray, sizes: np.ndarray, random: np.random.Generator) -> np.ndarray:
-    """The few open entries set to 0 or 1 so that the token total, and then the number, is kept as nearly as can be."""
+    """The open entries set to 0 or 1 by dropping constraints one after the other, so that every entry keeps its chance.
+
+    First the number of documents is given up and two entries at a time move along equal tokens; the last one is drawn.
+    """
     p = p.copy()
     open_ = [i for i in range(len(p)) if 0 < p[i] < 1]
-    if not open_:
-        return p
-    choices = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
-    missed = np.abs(choices @ sizes[open_] - (p[open_] * sizes[open_]).sum())
-    count = np.abs(choices.sum(axis=1) - p[open_].sum())
-    cost = missed + 0.02 * sizes[open_].mean() * count
-    p[open_] = choices[np.lexsort((random.random(len(cost)), cost))[0]]
+    while len(open_) > 1:
+        i, j = open_[:2]
+        u = np.array([sizes[j], -sizes[i]], float)
+        q = p[[i, j]]
+        up = min((1 - q[0]) / u[0], q[1] / -u[1])
+        down = min(q[0] / u[0], (1 - q[1]) / -u[1])
+        q = q + up * u if random.random() * (up + down) < down else q - down * u
+        q[q < 1e-9], q[q > 1 - 1e-9] = 0.0, 1.0
+        p[[i, j]] = q
+        open_ = [i for i in open_ if 0 < p[i] < 1]
+    if open_:
+        p[open_[0]] = float(random.random() < p[open_[0]])
     return p
 
 
@@ -154,16 +169,15 @@ class Mixture:
         whole = units.where("p <= 0").select("_id", "source", "n_tokens", "sure", F.col("p"))
         open_ = units.where("p > 0")
         done = [whole]
-        for turn in range(8):
-            small = open_.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-            last = turn > 0 and small.where(F.col("n") > block).isEmpty()
+        turn, last = 0, False
+        while not last:  # a block leaves two documents at most, so the number of turns is the logarithm of the documents
+            last = open_.groupBy("source").agg(F.max("_block").alias("n")).where("n > 0").isEmpty()
             flown = written(self._fly(open_, seed + turn, last), "flight")
             done.append(flown.where("p <= 0 OR p >= 1").select("_id", "source", "n_tokens", "sure", "p"))
-            if last:
-                break
+            turn += 1
             left = flown.where("p > 0 AND p < 1")
             blocks = left.groupBy("source").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block)).alias("_blocks"))
-            open_ = left.join(blocks, "source").withColumn("_block", F.pmod(F.xxhash64("_id", "n_tokens", F.lit(seed + turn + 1)), F.col("_blocks"))).drop("_blocks")
+            open_ = left.join(blocks, "source").withColumn("_block", F.pmod(F.xxhash64("_id", "n_tokens", F.lit(seed + turn)), F.col("_blocks"))).drop("_blocks")
         chosen = done[0]
         for more in done[1:]:
             chosen = chosen.unionByName(more)
@@ -174,7 +188,7 @@ class Mixture:
             rows = rows.sort_values(["n_tokens", "_id"], kind="stable", ignore_index=True)
             random = np.random.default_rng(_seed(seed, *map(str, key)))
             p, sizes = rows["p"].to_numpy(float), rows["n_tokens"].to_numpy(float)
-            p = flight(p, sizes, random, keep=LANDING - 2)
+            p = flight(p, sizes, random)
             return rows.assign(p=landing(p, sizes, random) if last else p)
 
         schema = units.select("_id", "source", "n_tokens", "sure", "p", "_block").schema

@@ -25,7 +25,9 @@ def test_flight_keeps_number_and_size_and_decides_all_but_two():
 def test_equal_sizes_and_few_units():
     q = mx.flight(np.full(9, 0.5), np.full(9, 7.0), np.random.default_rng(0))
     assert q.sum() == pytest.approx(4.5)
-    assert set(mx.landing(np.array([0.5, 1.0, 0.25]), np.array([4.0, 9.0, 8.0]), np.random.default_rng(0))) <= {0.0, 1.0}
+    landed = [mx.landing(np.array([0.5, 1.0, 0.25, 0.7]), np.array([4.0, 9.0, 8.0, 1.0]), np.random.default_rng(i)) for i in range(3000)]
+    assert {x for p in landed for x in p} <= {0.0, 1.0} and abs(np.mean(landed, axis=0) - [0.5, 1.0, 0.25, 0.7]).max() < 0.04  # chances are kept
+    assert np.std([p @ [4.0, 9.0, 8.0, 1.0] for p in landed]) < 3  # independent draws: 4.2
     assert mx.flight(np.array([]), np.array([]), np.random.default_rng(0)).size == 0
 
 
@@ -60,3 +62,5 @@ def test_token_counts_of_long_texts_are_those_of_the_whole():
     text = "L'agence a reçu le bordereau n° 17. " * 9000
     assert mx.n_tokens(text, path) == len(mx.encoding(path).encode_ordinary(text))
     assert mx.n_tokens("x\ud800y", path) > 0 and mx.n_tokens("a" * 250_000, path) > 0
+    odd = ("x" * 130_000 + " été" * 9 + "12 34 " * 40_000) * 2
+    assert mx.n_tokens(odd, path) == len(mx.encoding(path).encode_ordinary(odd))
