@@ -3,12 +3,14 @@
 A passage is ``min_words`` consecutive words of an item. If it stands in a document with at most ``budget`` edits, the two
 share at least L + 1 - q (budget + 1) character q-grams on neighbouring diagonals, L being the passage's length. So the
 shared q-grams of a document and an item are counted in bands of diagonals, each band overlapping the next by half; only bands that reach
-the bound are kept, and verified by alignment along the band (for budget 0: by comparing along the diagonal).
+the bound are kept, and verified by alignment along the band. A budget of 0, equal words, is the narrowest band.
 
 The corpus is scanned once, without a shuffle. The items are the query side: their index is shipped to the executors in
-blocks of at most ``BLOCK_CHARS`` characters of item text, one scan of the corpus a block, whatever their number.
+blocks of at most ``BLOCK_CHARS`` characters of item text, one scan of the corpus a block, whatever their number. Blocks follow one
+another: the driver and the executors hold one at a time.
 
 Defined results for odd input:
+* a budget that the shortest passage of an item cannot bear is refused;
 * null, empty and tiny texts and items of fewer than ``min_words`` words match nothing; null items are left out, a null
   document key is returned as it is; texts of any length are read whole;
 * repeated rows of documents or items give repeated keys only once; an empty table on either side gives an empty result;
@@ -30,9 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parapheur.llm import codes
+from parapheur.session import written
 
 #: Characters of item text whose index is shipped at once: about 12 bytes of index each.
 BLOCK_CHARS = 2_000_000
+#: Shared grams expanded at once.
+HITS = 2_000_000
 #: Gram lengths tried, the longest first that the lemma allows for an item.
 GRAMS = (48, 24, 12, 6, 3, 1)
 _HIDDEN = regex.compile(r"[\p{M}\p{Cf}]+")
@@ -55,7 +60,7 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[object, str]], min_words: int, budget: int):
         self.min_words, self.budget = min_words, budget
-        self.keys, self.texts, bounds, by_gram = [], [], [], {}
+        self.keys, self.codes, self.blanks, bounds, by_gram = [], [], [], [], {}
         for key, text in items:
             text = plain_words(text)
             blanks = [i for i, c in enumerate(text) if c == " "]
@@ -64,17 +69,18 @@ class ItemIndex:
             least = min(b - a + 1 for a, b in zip(blanks, blanks[min_words:]))
             gram = next((q for q in GRAMS if least + 1 - q * (budget + 1) >= 1), None)
             if gram is None:
-                continue
+                raise ValueError(f"a passage of {least} characters is too short for {budget} edits")
             bounds.append(least + 1 - gram * (budget + 1))
             by_gram.setdefault(gram, []).append(len(self.keys))
             self.keys.append(key)
-            self.texts.append(text)
+            self.codes.append(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64))
+            self.blanks.append(np.array(blanks))
         self.bounds = np.array(bounds, np.int64)
         self.grams: dict[int, tuple] = {}
         for gram, members in by_gram.items():
             hashes, owner, place = [], [], []
             for m in members:
-                h = codes.Prefix(np.frombuffer(self.texts[m].encode("utf-32-le"), np.uint32)).windows(gram)
+                h = codes.Prefix(self.codes[m]).windows(gram)
                 hashes.append(h)
                 owner.append(np.full(len(h), m))
                 place.append(np.arange(len(h)))
@@ -103,49 +109,53 @@ def _hits(index: ItemIndex, text_codes: np.ndarray, starts: np.ndarray):
         if not len(at):
             continue
         many = count[spot]
-        row = np.repeat(first[spot], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        yield np.repeat(doc, many), owner[row], np.repeat(at - starts[doc], many) - place[row]
-
-
-def _same_run(document: str, item: str, diagonal: int, min_words: int) -> bool:
-    """Whether at least ``min_words`` whole words are equal along one diagonal."""
-    lo, hi = max(0, -diagonal), min(len(item), len(document) - diagonal)
-    blanks = 0
-    for i in range(lo, hi):
-        c = item[i]
-        if document[i + diagonal] != c:
-            blanks = 0
-        elif c == " ":
-            blanks += 1
-            if blanks > min_words:
+        reached = np.cumsum(many)
+        for lo, hi in _slices(doc, reached):  # a gram of many items is expanded for some documents at a time
+            n, before = many[lo:hi], reached[lo] - many[lo]
+            row = np.repeat(first[spot[lo:hi]], n) + np.arange(n.sum()) - np.repeat(reached[lo:hi] - n - before, n)
+            yield np.repeat(doc[lo:hi], n), owner[row], np.repeat(at[lo:hi] - starts[doc[lo:hi]], n) - place[row]
+
+
+def _slices(doc: np.ndarray, reached: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Parts of the hits that hold whole documents and about ``HITS`` expanded hits, or one document."""
+    ends = np.append(np.flatnonzero(doc[1:] != doc[:-1]) + 1, len(doc))
+    lo = 0
+    while lo < len(doc):
+        done = reached[lo - 1] if lo else 0
+        fits = ends[(ends > lo) & (reached[ends - 1] - done <= HITS)]
+        hi = int(fits[-1]) if len(fits) else int(ends[ends > lo][0])
+        yield lo, hi
+        lo = hi
+
+
+def _within_budget(document: np.ndarray, item: np.ndarray, blanks: np.ndarray, low: int, high: int, min_words: int, budget: int) -> bool:
+    """Banded alignment: whether some passage of the item stands in the document on diagonals low..high with few edits.
+
+    All passages are aligned at once, a character a step; each has a row with the fewest edits of what was read of it, ending on
+    every diagonal of the band. A passage may begin anywhere in the band.
+    """
+    first, last = blanks[:-min_words], blanks[min_words:] + 1
+    low, width = low - budget, high - low + 2 * budget + 1
+    padded = np.full(len(item) + width + abs(low) + len(document) + 1, -1, np.int64)  # document[j] stands at j + shift; -1 is no character
+    shift = max(0, -low)
+    padded[shift : shift + len(document)] = document
+    best = np.zeros((len(first), width), np.int32)
+    steps, alive = np.arange(width), np.arange(len(first))
+    for n in range(int((last - first).max())):
+        ended = first[alive] + n >= last[alive]
+        if ended.any():
+            if (best[ended].min(axis=1) <= budget).any():
                 return True
-    return False
-
-
-def _within_budget(document: str, item: str, low: int, high: int, min_words: int, budget: int) -> bool:
-    """Banded alignment: whether some passage of the item stands in the document on diagonals low..high with few edits."""
-    blanks = [i for i, c in enumerate(item) if c == " "]
-    low, high = low - budget, high + budget
-    for start, end in zip(blanks, blanks[min_words:]):
-        passage = item[start : end + 1]
-        # best[d]: fewest edits of the passage so far, ending on diagonal low + d; a passage may begin anywhere in the band
-        best = [0] * (high - low + 1)
-        for i, c in enumerate(passage):
-            now: list[int] = []
-            for d in range(high - low + 1):
-                j = start + i + low + d  # place in the document that this diagonal pairs with c
-                step = best[d] + (not (0 <= j < len(document) and document[j] == c))
-                if d + 1 < len(best):
-                    step = min(step, best[d + 1] + 1)  # c is missing in the document
-                if d:
-                    step = min(step, now[d - 1] + 1)  # the document has one more
-                now.append(step)
-            best = now
-            if min(best) > budget:
-                break
-        else:
-            return True
-    return False
+            best, alive = best[~ended], alive[~ended]
+        at = first[alive] + n
+        now = best + (padded[np.clip(at[:, None] + low + steps + shift, 0, len(padded) - 1)] != item[at][:, None])
+        now[:, :-1] = np.minimum(now[:, :-1], best[:, 1:] + 1)  # the character is missing in the document
+        now = np.minimum.accumulate(now - steps, axis=1) + steps  # the document has some more
+        near = now.min(axis=1) <= budget
+        best, alive = now[near], alive[near]
+        if not len(alive):
+            return False
+    return bool((best.min(axis=1) <= budget).any())
 
 
 def leaked(batch_texts: list[str], index: ItemIndex) -> list[tuple[int, int]]:
@@ -155,22 +165,14 @@ def leaked(batch_texts: list[str], index: ItemIndex) -> list[tuple[int, int]]:
     for base, text_codes, starts in codes.chunks(plain):
         seen: set[tuple[int, int]] = set()
         for doc, item, diagonal in _hits(index, text_codes, starts):
-            if step == 1:
-                bands = diagonal
-                trio = np.stack([doc, item, bands])
-            else:
-                low = diagonal // step
-                trio = np.concatenate([np.stack([doc, item, low]), np.stack([doc, item, low - 1])], axis=1)
+            low = diagonal // step
+            trio = np.concatenate([np.stack([doc, item, low]), np.stack([doc, item, low - 1])], axis=1)  # every diagonal lies in two bands
             kept, shared = np.unique(trio, axis=1, return_counts=True)
             kept = kept[:, shared >= index.bounds[kept[1]]]
             for d, i, band in kept.T.tolist():
-                if (d, i) in seen:
-                    continue
-                if step == 1:
-                    good = _same_run(plain[base + d], index.texts[i], band, index.min_words)
-                else:
-                    good = _within_budget(plain[base + d], index.texts[i], band * step, (band + 2) * step - 1, index.min_words, index.budget)
-                if good:
+                if (d, i) not in seen and _within_budget(
+                    text_codes[starts[d] : starts[d + 1]], index.codes[i], index.blanks[i], band * step, (band + 2) * step - 1, index.min_words, index.budget
+                ):
                     seen.add((d, i))
                     found.append((base + d, i))
     return found
@@ -202,8 +204,8 @@ def contaminated(
     spark = documents.sparkSession
     key_type, item_type = documents.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     corpus = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where("length(_text) >= 2")
-    parts = []
-    for block in item_blocks(items, item_key, item_text, block_chars):
+    parts, blocks = [], item_blocks(items, item_key, item_text, block_chars)
+    for block in blocks:
         index = ItemIndex([(r["_item"], r["_text"]) for r in block.collect()], min_words, budget)
         shipped = spark.sparkContext.broadcast(index)
 
@@ -218,7 +220,11 @@ def contaminated(
                     at, of = zip(*found)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), ids.take(pa.array(of))], names=["_key", "_item"])
 
-        parts.append(corpus.mapInArrow(run, f"_key {key_type}, _item {item_type}"))
+        part = corpus.mapInArrow(run, f"_key {key_type}, _item {item_type}")
+        if len(blocks) > 1:
+            part = written(part.distinct(), "leaks")
+            shipped.destroy()
+        parts.append(part)
     return reduce(DataFrame.unionByName, parts).distinct().select(F.col("_key").alias(key), F.col("_item").alias(item_key))
 
 

@@ -82,6 +82,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p6_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p6_found, with up to two characters of a passage edited."""
+    return leakage.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), budget=2)
+
+
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leak_report(p6_found(spark, sf_dir), table(spark, sf_dir, "eval_items"))
 
@@ -122,6 +127,7 @@ QUERIES = {
     "p7_selection": p7_selection,
     "p7_shares": p7_shares,
     "p6_found": p6_found,
+    "p6_near": p6_near,
     "p6_report": p6_report,
     "p8_found": p8_found,
     "p8_stretches": p8_stretches,

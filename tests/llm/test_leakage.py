@@ -59,6 +59,41 @@ def test_edit_budget(spark):
     assert run(spark, ["début " + typo + " fin", gap], [words], budget=2) == [(0, 0)]
 
 
+def edits_to_find(passage, text):
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(passage):
+        last, row[0] = row[0], i + 1
+        for j, d in enumerate(text):
+            last, row[j + 1] = row[j + 1], min(last + (c != d), row[j] + 1, row[j + 1] + 1)
+    return min(row)
+
+
+def test_edits_against_brute_force(spark):
+    rng = random.Random(5)
+    items = [" ".join(rng.choice(WORDS) for _ in range(rng.randrange(12, 16))) for _ in range(6)]
+    docs = []
+    for _ in range(40):
+        t = list(rng.choice(items))
+        for _ in range(rng.randrange(5)):
+            k = rng.randrange(len(t))
+            t[k : k + rng.randrange(2)] = rng.choice(["", "x", " ", "été"[:1]])
+        docs.append("début " + "".join(t) + " fin")
+    for budget in (0, 1, 2, 3):
+        want = []
+        for a, d in enumerate(map(lk.plain_words, docs)):
+            for b, words in enumerate(i.split() for i in items):
+                if any(edits_to_find(f" {' '.join(lk.plain_words(' '.join(words[k : k + 12])).split())} ", d) <= budget for k in range(len(words) - 11)):
+                    want.append((a, b))
+        assert run(spark, docs, items, budget=budget) == want and (budget == 0 or want)
+
+
+def test_common_grams_are_expanded_in_parts(monkeypatch):
+    monkeypatch.setattr(lk, "HITS", 50)
+    items = [(i, " ".join(WORDS[:20]) + f" z{i}") for i in range(30)]
+    index = lk.ItemIndex(items, 12, 0)
+    assert sorted(lk.leaked(["x " + " ".join(WORDS[:20])] * 3 + ["y"], index)) == [(d, i) for d in range(3) for i in range(30)]
+
+
 def test_empty_tables_and_repeated_rows(spark):
     words = " ".join(WORDS[:20])
     assert run(spark, [], [words]) == [] and run(spark, [words], []) == []
