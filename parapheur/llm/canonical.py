@@ -3,11 +3,11 @@
 Characters are folded first (invisible ones removed, blanks and line breaks unified, full-width and joined letters spelled
 out, accents composed). Look-alike letters of other scripts are then repaired a token: the dominant script of a
 mixed-script token is determined, and its foreign letters are replaced by their look-alikes where the result stands in the
-corpus vocabulary. Because equal-looking texts must come out equal even when no clean spelling exists anywhere, a mixed token
-without such evidence goes to the one script all its letters can be written in (Latin first if both can). A token
-written wholly in look-alikes of another script is repaired only if the vocabulary has the Latin word.
+corpus vocabulary, the dominant script's spelling first. A token without such evidence stays as it is. A token written wholly in
+look-alikes of another script is repaired only if the vocabulary has the Latin word.
 
-The vocabulary is all tokens of the table but those that could be a disguise themselves; it stays distributed. Only candidate spellings that occur as clean tokens are
+The vocabulary is all tokens of the table but those that could be a disguise themselves, and the spellings in which two or more different
+mixed-script tokens agree: a rare name that stands nowhere but in disguises. It stays distributed. Only candidate spellings that occur as clean tokens are
 joined back, and only to the texts that hold a foreign letter.
 
 Defined results for odd input:
@@ -36,19 +36,22 @@ from parapheur.session import written
 CYRILLIC, CYRILLIC_LATIN = "АВСЕНІЈКМОРЅТХУасԁеһіјӏорԛѕѵԝху", "ABCEHIJKMOPSTXYacdehijlopqsvwxy"
 GREEK, GREEK_LATIN = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳ", "ABEZHIKMNOPTYXovcj"
 
-TO_LATIN = dict(zip(CYRILLIC, CYRILLIC_LATIN)) | dict(zip(GREEK, GREEK_LATIN))
+ARMENIAN, ARMENIAN_LATIN = "ԼՍՏՕհոսցօ", "LUSOhnugo"
+CHEROKEE, CHEROKEE_LATIN = "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ"
+
+TO_LATIN = dict(zip(CYRILLIC, CYRILLIC_LATIN)) | dict(zip(GREEK, GREEK_LATIN)) | dict(zip(ARMENIAN, ARMENIAN_LATIN)) | dict(zip(CHEROKEE, CHEROKEE_LATIN))
 FROM_LATIN = {"Cyrillic": dict(zip(CYRILLIC_LATIN, CYRILLIC)), "Greek": dict(zip(GREEK_LATIN, GREEK))}
 _LATIN_TABLE = str.maketrans(TO_LATIN)
 _FOREIGN_TABLES = {k: str.maketrans(v) for k, v in FROM_LATIN.items()}
 
-_INVISIBLE = regex.compile(r"(?![­]+[ \t]*(?:\n|$))\p{Cf}+")
+_INVISIBLE = regex.compile(r"(?![­]+[ \t]*(?:\n|$))[\p{Cf}\p{Default_Ignorable_Code_Point}]+")
 _BLANK = regex.compile(r"[\p{Zs}]")
 _BREAK = re.compile("\r\n?|[\u0085  ]")
-_JOINED = regex.compile(r"[！-￮ﬀ-ﬆĲĳǄ-ǌⅠ-ⅿ]+")
+_JOINED = regex.compile(r"[！-￮ﬀ-ﬆĲĳǄ-ǌⅠ-ⅿﭐ-ﷹﹰ-ﻼ\U0001d400-\U0001d7ff]+")
 _HYPHEN = re.compile("[­‐‑]+")
 _TOKEN = regex.compile(r"[\p{L}\p{M}]+")
-_FOREIGN_TOKEN = regex.compile(r"[\p{L}\p{M}]*[\p{Script=Greek}\p{Script=Cyrillic}][\p{L}\p{M}]*")
-_SCRIPTS = {s: regex.compile(rf"\p{{Script={s}}}") for s in ("Latin", "Cyrillic", "Greek")}
+_FOREIGN_TOKEN = regex.compile(r"[\p{L}\p{M}]*[\p{Script=Greek}\p{Script=Cyrillic}\p{Script=Armenian}\p{Script=Cherokee}][\p{L}\p{M}]*")
+_SCRIPTS = {s: regex.compile(rf"\p{{Script={s}}}") for s in ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee")}
 # Everything that fold() could change or that could be a foreign letter lies outside these characters.
 ODD = re.compile("[^\\x00-\\x0c\\x0e-\\x84\\x86-\\x9f\\xa1-\\xac\\xae-\\u02ff\\u2013\\u2014\\u2018-\\u201e\\u2026\\u20ac]")
 _PLAIN_TOKEN = re.compile(r"[^\W\d_]+")
@@ -66,32 +69,35 @@ def fold(text: str) -> str:
     return unicodedata.normalize("NFC", text)
 
 
-def spellings(token: str) -> list[tuple[str, bool]]:
-    """(spelling, needs evidence) that a token with foreign letters may stand for, the preferred one first."""
+def spellings(token: str) -> list[str]:
+    """Spellings in one script that a token with foreign letters may stand for, that of the dominant script first."""
     token = unicodedata.normalize("NFD", token)
     count = {s: len(p.findall(token)) for s, p in _SCRIPTS.items()}
     out = []
-    latin = token.translate(_LATIN_TABLE)
-    if not (_SCRIPTS["Cyrillic"].search(latin) or _SCRIPTS["Greek"].search(latin)):
-        out.append((unicodedata.normalize("NFC", latin), count["Latin"] == 0))
-    for script in sorted(FROM_LATIN, key=lambda s: -count[s]):
-        if count[script] and sum(count.values()) > count[script]:
-            other = token.translate(_FOREIGN_TABLES[script])
-            if all(c in (0, None) for c in (len(_SCRIPTS[s].findall(other)) for s in _SCRIPTS if s != script)):
-                out.append((unicodedata.normalize("NFC", other), False))
-    if len(out) > 1 and max(count, key=count.get) != "Latin":
-        out.sort(key=lambda x: bool(_SCRIPTS["Latin"].search(x[0])))  # the dominant script is tried first
+    for script in sorted(_SCRIPTS, key=lambda s: (-count[s], s != "Latin")):
+        table = _LATIN_TABLE if script == "Latin" else _FOREIGN_TABLES.get(script)
+        if table is None or script != "Latin" and not 0 < count[script] < sum(count.values()):
+            continue
+        other = token.translate(table)
+        if not any(p.search(other) for s, p in _SCRIPTS.items() if s != script):
+            out.append(unicodedata.normalize("NFC", other))
     return out
 
 
+def is_mixed(token: str) -> bool:
+    return sum(bool(p.search(token)) for p in _SCRIPTS.values()) > 1
+
+
+#: Stands before a spelling that only other disguises attest.
+AGREED = "\0"
+
+
 def repair(token: str, attested: frozenset[str] | set[str]) -> str:
+    """The first spelling that the vocabulary has; else one that other disguises agree in, Latin first as theirs may have
+    another dominant script; else the token itself."""
     options = spellings(token)
-    for spelling, _ in options:
-        if spelling in attested:
-            return spelling
-    free = [spelling for spelling, needs in options if not needs]
-    latin = [s for s in free if _SCRIPTS["Latin"].search(s)]
-    return (latin or free or [token])[0]
+    agreed = sorted(options, key=lambda s: not _SCRIPTS["Latin"].search(s)) if is_mixed(token) else ()
+    return next((s for s in options if s in attested), next((s for s in agreed if AGREED + s in attested), token))
 
 
 def canonical(text: str, attested: frozenset[str] | set[str] = frozenset()) -> str:
@@ -114,23 +120,26 @@ def _scan(rows: DataFrame, digest: bool) -> DataFrame:
     """One scan of (_id, _text) that gives two kinds of rows.
 
     A text: (_id, own, canonical), or (_id, own, text) where a foreign letter waits for the vocabulary. A token (each once a
-    partition, or more often where a partition has very many): (token, wanted), wanted being spellings that a foreign token
-    may stand for. A token that may be a disguise itself is no evidence and left out.
+    partition, or more often where a partition has very many): (token, wanted, disguise), wanted being spellings that a foreign token
+    may stand for and ``disguise`` a digest of that token if it mixes scripts. A token that may be a disguise itself is left out.
     """
     kind = rows.schema["_id"].dataType.simpleString()
-    names = ["_id", "own", "canonical", "text", "token", "wanted"]
-    types = [None, pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_()]
+    names = ["_id", "own", "canonical", "text", "token", "wanted", "disguise"]
+    types = [None, pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have: set[str] = set()
-        want: set[str] = set()
+        want: set[tuple[str, int | None]] = set()
         tried: set[str] = set()
         id_type = None
 
         def tokens() -> pa.RecordBatch:
             n = len(have) + len(want)
             empty = [pa.nulls(n, id_type), *(pa.nulls(n, t) for t in types[1:4])]
-            return pa.RecordBatch.from_arrays([*empty, pa.array([*have, *want], pa.string()), pa.array([False] * len(have) + [True] * len(want), pa.bool_())], names=names)
+            spelled, disguises = zip(*want) if want else ((), ())
+            return pa.RecordBatch.from_arrays(
+                [*empty, pa.array([*have, *spelled], pa.string()), pa.array([False] * len(have) + [True] * len(want), pa.bool_()), pa.array([*[None] * len(have), *disguises], pa.int64())], names=names
+            )
 
         for batch in batches:
             id_type = batch.column(0).type
@@ -157,12 +166,13 @@ def _scan(rows: DataFrame, digest: bool) -> DataFrame:
                     options = spellings(token)
                     if token not in tried:
                         tried.add(token)
-                        want.update(s for s, _ in options)
-                    if any(_SCRIPTS["Latin"].search(s) for s, _ in options):
+                        disguise = _own(token) if is_mixed(token) else None
+                        want.update((s, disguise) for s in options)
+                    if options:
                         have.discard(token)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(own, pa.int64()), pa.array(form, pa.string()), pa.array(held, pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, pa.bool_())], names=names
+                [batch.column(0), pa.array(own, pa.int64()), pa.array(form, pa.string()), pa.array(held, pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64())], names=names
             )
             if len(have) > 500_000:
                 yield tokens()
@@ -170,7 +180,7 @@ def _scan(rows: DataFrame, digest: bool) -> DataFrame:
         if id_type is not None:
             yield tokens()
 
-    return rows.mapInArrow(run, f"_id {kind}, own BIGINT, canonical STRING, text STRING, token STRING, wanted BOOLEAN")
+    return rows.mapInArrow(run, f"_id {kind}, own BIGINT, canonical STRING, text STRING, token STRING, wanted BOOLEAN, disguise BIGINT")
 
 
 def _wishes(held: DataFrame) -> DataFrame:
@@ -181,7 +191,7 @@ def _wishes(held: DataFrame) -> DataFrame:
         for batch in batches:
             at, tokens = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                mine = {s for t in set(_FOREIGN_TOKEN.findall(fold(text))) for s, _ in spellings(t)}
+                mine = {s for t in set(_FOREIGN_TOKEN.findall(fold(text))) for s in spellings(t)}
                 at += [i] * len(mine)
                 tokens += mine
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(tokens, pa.string())], names=["_id", "token"])
@@ -192,10 +202,13 @@ def _wishes(held: DataFrame) -> DataFrame:
 def _forms(df: DataFrame, key: str, text: str, digest: bool) -> DataFrame:
     """(_id, own, canonical): every row's form, or its digest; ``own`` is a digest of the text as stored."""
     scan = written(_scan(df.select(F.col(key).alias("_id"), F.col(text).alias("_text")), digest), "scan")
-    seen = scan.where("token IS NOT NULL").groupBy("token").agg(F.bool_or("wanted").alias("wanted"), F.bool_and("wanted").alias("only"))
-    attested = seen.where("wanted AND NOT only").select("token")
+    seen = scan.where("token IS NOT NULL").groupBy("token").agg(
+        F.bool_or("wanted").alias("wanted"), F.bool_and("wanted").alias("only"), F.min("disguise").alias("lo"), F.max("disguise").alias("hi")
+    )
+    mark = F.when(F.col("only"), F.concat(F.lit(AGREED), "token")).otherwise(F.col("token"))
+    attested = seen.where("wanted AND (NOT only OR lo <> hi)").select("token", mark.alias("spelling"))
     held = scan.where("text IS NOT NULL").select("_id", "own", "text")
-    known = _wishes(held).join(attested, "token").groupBy("_id").agg(F.collect_set("token").alias("attested"))  # bounded by the text
+    known = _wishes(held).join(attested, "token").groupBy("_id").agg(F.collect_set("spelling").alias("attested"))  # bounded by the text
 
     def repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -106,7 +106,11 @@ def candidate_ranking(approaches: DataFrame, fused_rank: bool = True) -> DataFra
     return reciprocal_rank_fusion(approaches, ["run_id", "field_name"], scores, "row_id", fused_rank=fused_rank)
 
 
-def top_by_every_score(ranking: DataFrame, top: int = 20) -> DataFrame:
-    """Rows of a fused ranking within the first ``top`` of their list by each score taken alone."""
+def top_by_every_score(ranking: DataFrame, top: int = 20, k: float = 60.0) -> DataFrame:
+    """Rows of a fused ranking within the first ``top`` of their list by each score taken alone.
+
+    Such a row's fused score is at least that of a row at place ``top`` in every list; the fused score selects, the places verify.
+    """
     places = [c for c in ranking.columns if c.startswith("rank_")]
-    return ranking.where(reduce(lambda a, b: a & b, (F.col(c) <= top for c in places)))
+    least = len(places) / (k + top) * (1 - 1e-12)
+    return ranking.where(F.col("rrf") >= F.lit(least)).where(reduce(lambda a, b: a & b, (F.col(c) <= top for c in places)))

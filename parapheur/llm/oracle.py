@@ -1,6 +1,10 @@
 """SQL that DuckDB runs beside the queries of this subpackage."""
 
-from parapheur.llm.canonical import TO_LATIN
+# Look-alike letters by their code points, Cyrillic then Greek, and the Latin letters they are drawn like. Written here again,
+# so that a letter missing from the operator's table shows.
+_DRAWN = "".join(map(chr, (0x410, 0x412, 0x421, 0x415, 0x41D, 0x406, 0x408, 0x41A, 0x41C, 0x41E, 0x420, 0x405, 0x422, 0x425, 0x423, 0x430, 0x441, 0x501, 0x435, 0x4BB, 0x456, 0x458, 0x4CF, 0x43E, 0x440, 0x51B, 0x455, 0x475, 0x51D, 0x445, 0x443)))
+_DRAWN_GREEK = "".join(map(chr, (0x391, 0x392, 0x395, 0x396, 0x397, 0x399, 0x39A, 0x39C, 0x39D, 0x39F, 0x3A1, 0x3A4, 0x3A5, 0x3A7, 0x3BF, 0x3BD, 0x3F2, 0x3F3)))
+_LATIN = "ABCEHIJKMOPSTXY" "acdehijlopqsvwxy" "ABEZHIKMNOPTYXovcj"
 
 _P1_RANKS = """
     WITH s AS (
@@ -28,7 +32,7 @@ def _skeleton(text: str) -> str:
     out = rf"translate(regexp_replace({out}, '[\x{{2010}}\x{{2011}}]', '-', 'g'), {quote(wide)}, {quote(plain)})"
     for joined, letters in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
         out = f"replace({out}, '{joined}', '{letters}')"
-    return f"nfc_normalize(translate(nfc_normalize({out}), {quote(''.join(TO_LATIN))}, {quote(''.join(TO_LATIN.values()))}))"
+    return f"nfc_normalize(translate(nfc_normalize({out}), {quote(_DRAWN + _DRAWN_GREEK)}, {quote(_LATIN)}))"
 
 
 def _look_alikes(tab: str, key: str, text: str) -> str:
