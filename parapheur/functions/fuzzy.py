@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Sequence
 from difflib import SequenceMatcher
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -97,31 +99,48 @@ def text_ratio(left: Column, right: Column) -> Column:
     return ratio(left, right)
 
 
-def best_label_line(lines: Column, aliases: Sequence[str], window: int, floor: float = 0.0) -> Column:
-    """STRUCT<idx INT, score DOUBLE> of the line among the first ``window`` that is most like one of the aliases; the first of equals.
+@lru_cache(maxsize=200_000)
+def _best_alias(low: str, names: tuple[str, ...], floor: float) -> float:
+    return 1.0 if any(a in low for a in names) else max(partial_ratio(low, a, floor) for a in names)
 
-    Scores below ``floor`` need not be exact: the caller does not use them.
 
-    A line that contains an alias scores 1, and no later one can be better: such pages never reach the Python worker's search.
-    """
-    names = list(dict.fromkeys(a.strip().lower() for a in aliases))
+class Label(NamedTuple):
+    """What a field's lines are compared with: the first ``window`` lines, scores from ``floor`` on."""
+
+    name: str
+    aliases: tuple[str, ...]
+    window: int
+    floor: float
+
+
+def best_label_lines(lines: Column, labels: Sequence[Label]) -> Column:
+    """STRUCT of one STRUCT<idx INT, score DOUBLE> a label: the line most like one of its aliases, the first of equals.
 
-    @F.pandas_udf("idx int, score double")
+    Scores below a label's floor need not be exact: the caller does not use them. The lines cross to Python once for all labels, and
+    a line that comes again is not measured again. A line that contains an alias scores 1, and no later one can be better.
+    """
+    wanted = [(k, tuple(dict.fromkeys(a.strip().lower() for a in label.aliases)), label.window, label.floor) for k, label in enumerate(labels)]
+    most = max((label.window for label in labels), default=0)
+    schema = ", ".join(f"`{label.name}` struct<idx:int,score:double>" for label in labels)
+
+    def best(page: list[str], names: tuple[str, ...], window: int, floor: float) -> dict:
+        place, top = None, 0.0
+        for i, low in enumerate(page[:window]):
+            mine = _best_alias(low, names, floor) if low else 0.0
+            if mine > top:
+                place, top = i, mine
+                if top == 1.0:
+                    break
+        return {"idx": place, "score": top}
+
+    @F.pandas_udf(schema)
     def score(batch: pd.Series) -> pd.DataFrame:
-        places, scores = [], []
-        for page in batch:
-            place, best = None, 0.0
-            for i, line in enumerate(() if page is None else page[:window]):
-                low = (line or "").strip().lower()
-                if not low:
-                    continue
-                mine = 1.0 if any(a in low for a in names) else max(partial_ratio(low, a, max(floor, best)) for a in names)
-                if mine > best:
-                    place, best = i, mine
-                    if best == 1.0:
-                        break
-            places.append(place)
-            scores.append(best)
-        return pd.DataFrame({"idx": pd.array(places, "Int32"), "score": scores})
-
-    return score(F.slice(lines, 1, window))
+        pages = [[(line or "").strip().lower() for line in page] if page is not None else [] for page in batch]
+        return pd.DataFrame({labels[k].name: [best(page, names, window, floor) for page in pages] for k, names, window, floor in wanted})
+
+    return score(F.slice(lines, 1, most))
+
+
+def best_label_line(lines: Column, aliases: Sequence[str], window: int, floor: float = 0.0) -> Column:
+    """STRUCT<idx INT, score DOUBLE> of one label; see ``best_label_lines``."""
+    return best_label_lines(lines, [Label("best", tuple(aliases), window, floor)])["best"]

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parapheur.functions import text as t
-from parapheur.functions.fuzzy import best_label_line
+from parapheur.functions.fuzzy import Label, best_label_lines
 from parapheur.functions.metrics import normalised_confidence
 from parapheur.session import spread
 
@@ -417,13 +417,12 @@ def candidates(df: DataFrame, text: str, confidence: str, keys: list[str], field
     pages = with_page_columns(spread(df.select(*dict.fromkeys([*keys, text, confidence]))), text, mode).select(*keys, normalised_confidence(F.col(confidence)).alias("_conf"), "_text", "_lines", "_filled")
     found = []
     if fuzzy:
-        for f in chosen:
-            pages = pages.withColumn(f"_best_{f.name}", best_label_line(F.col("_filled"), f.aliases, f.window, f.at_least))
+        pages = pages.withColumn("_best", best_label_lines(F.col("_filled"), [Label(f.name, f.aliases, f.window, f.at_least) for f in chosen]))
     conf, page = F.col("_conf"), page_columns()
     for f in chosen:
         rules = [f.regex(page), f.heuristic(page)]
         if fuzzy:
-            best = F.col(f"_best_{f.name}")
+            best = F.col("_best")[f.name]
             special = {"date": date_fuzzy, "body": body_fuzzy}.get(f.name)
             rules.append(special(page, best) if special else _fuzzy_value(page.filled, best, f.at_least, f.label))
         found += [_candidate(f, rank, rule, conf) for rank, rule in enumerate(rules)]

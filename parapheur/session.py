@@ -71,7 +71,7 @@ def spread(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     cores, split = spark.sparkContext.defaultParallelism, spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores) if int(size.toString()) < cores * split else df
+    return df.repartition(cores) if int(str(size)) < cores * int(split) else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
