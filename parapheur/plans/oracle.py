@@ -280,7 +280,32 @@ ORIGINS = SHREDDED[: SHREDDED.index("    SELECT record_id, 'page'")].rstrip() +
     SELECT s.record_id, s.page_pos, s.field_name, s.selected, c->>'$.strategy' AS origin, pos AS item_pos FROM sel s LEFT JOIN can ON s.d = can.d
 """.replace("{0}", json_array("(o->'$.candidates')"))
 
+_NESTED = SHREDDED[: SHREDDED.index("    SELECT record_id, 'page'")].rstrip()
+
+
+def scalar(path: str) -> str:
+    """A property that is neither an object nor an array."""
+    return f"CASE WHEN json_type(o, '{path}') NOT IN ('OBJECT', 'ARRAY') THEN o->>'{path}' END"
+
+
+def _properties(source: str, keys: str, *names: str, **renamed: str) -> str:
+    columns = {n: n for n in names} | {a: n for n, a in renamed.items()}
+    return f"{_NESTED} SELECT record_id, {keys}, {', '.join(f'{scalar(f'$.{n}')} AS {a}' for a, n in columns.items())} FROM {source}"
+
+
+_BOX = f"(CASE WHEN json_type({json_array("(o->'$.bbox')")}[{{0}}]) NOT IN ('OBJECT', 'ARRAY') THEN {json_array("(o->'$.bbox')")}[{{0}}]->>'$' END)"
+CELLS = f"""{_NESTED},
+    rw AS (SELECT record_id, page_pos, pos AS item_pos, unnest(l) AS r, unnest(generate_series(0, len(l) - 1)) AS row_pos FROM (SELECT *, {json_array("(o->'$.data')")} AS l FROM tb)),
+    ce AS (SELECT record_id, page_pos, item_pos, row_pos, unnest(r::JSON[]) AS c, unnest(generate_series(0, json_array_length(r)::INT - 1)) AS col_pos FROM rw WHERE json_type(r) = 'ARRAY')
+    SELECT record_id, page_pos, item_pos, row_pos, col_pos, c->>'$' AS cell FROM ce WHERE json_type(c) NOT IN ('NULL', 'OBJECT', 'ARRAY')"""
+
 ORACLE: dict[str, str] = {
+    "p3_page_rows": _properties("pg", "pos AS page_pos", "page_number", "ocr_confidence"),
+    "p3_table_rows": _properties("tb", "page_pos, pos AS item_pos, " + ", ".join(f"{_BOX.replace('{0}', str(i + 1))} AS {n}" for i, n in enumerate(("x1", "y1", "x2", "y2"))), "table_index", "method"),
+    "p3_cell_rows": CELLS,
+    "p3_detail_rows": _properties("dt", "page_pos, nullif(field_name, '') AS field_name", "selected"),
+    "p3_candidate_rows": _properties("cd", "page_pos, nullif(field_name, '') AS field_name, pos AS item_pos", "strategy", "strategy_score", "page_confidence", "score", "reason", value="cand_value"),
+    "j4_letters_not_evaluated": "SELECT DISTINCT filename FROM generated_documents WHERE filename NOT IN (SELECT document FROM kie_approaches WHERE document IS NOT NULL)",
     "p3_found": SHREDDED,
     "j8_selected_origins": ORIGINS,
     "op_p14_table_cells": """

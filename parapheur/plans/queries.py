@@ -60,6 +60,15 @@ def _p3_entity(name: str) -> Query:
     return query
 
 
+def _p3_rows(name: str, columns: tuple[str, ...]) -> Query:
+    """An entity table by the places of its rows instead of node numbers."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return shred.kie_entities(written(shred.kie_nodes(table(spark, sf_dir, "kie_documents")), "nodes"))[name].select("record_id", *columns)
+
+    return query
+
+
 def j8_selected_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = ["pages", "field_details", "candidates", "field", "selected", "strategy", "value"]
     return shred.selected_origins(shred.kie_entities(shred.kie_nodes(table(spark, sf_dir, "kie_documents"), labels), labels))
@@ -234,6 +243,11 @@ def j4_letters_without_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.todo(gold, _pages(spark, sf_dir), "doc_id")
 
 
+def j4_letters_not_evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letter files that no evaluation run has seen."""
+    return ev.todo(_letters(spark, sf_dir).select("filename").where("filename IS NOT NULL").distinct(), table(spark, sf_dir, "kie_approaches").select(F.col("document").alias("filename")), "filename")
+
+
 def w9_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.batch_numbers(_letters(spark, sf_dir), "filename", 20)
 
@@ -371,12 +385,17 @@ QUERIES: dict[str, Query] = {
     "p3_found": p3_found,
     "p3_nodes": p3_nodes,
     **{f"p3_{name}": _p3_entity(name) for name in ("documents", "pages", "tables", "cells", "details", "candidates")},
+    "p3_page_rows": _p3_rows("pages", ("page_pos", "page_number", "ocr_confidence")),
+    "p3_table_rows": _p3_rows("tables", ("page_pos", "item_pos", "table_index", "method", "x1", "y1", "x2", "y2")),
+    "p3_cell_rows": _p3_rows("cells", ("page_pos", "item_pos", "row_pos", "col_pos", "cell")),
+    "p3_detail_rows": _p3_rows("details", ("page_pos", "field_name", "selected")),
+    "p3_candidate_rows": _p3_rows("candidates", ("page_pos", "field_name", "item_pos", "strategy", "cand_value", "strategy_score", "page_confidence", "score", "reason")),
     **{
         f.__name__: f
         for f in (
             t1_strip_html, t2_normalised_lines, t4_normal_forms, f1_line_classes, x10_subtype, x9_decoded_head, kie_candidates, kie_selected, kie_fields,
             a1_page_text, a2_document_confidence, a3_document_text, m9_confidence, a6_filled_share, f6_large_tables, j5_stamps_outside_tables, j6_grid_cells,
-            a19_tables_per_document, s3_gold_letters, j2_gold_fields, j1_pages_with_letters, j4_letters_without_pages, w9_batches, e1_processed_documents,
+            a19_tables_per_document, s3_gold_letters, j2_gold_fields, j1_pages_with_letters, j4_letters_without_pages, j4_letters_not_evaluated, w9_batches, e1_processed_documents,
             m8_scored_candidates, m12_fuzzy_scores, m2_subject_errors, m3_word_errors, m4_ocr_metrics, a9_ocr_overall, a8_metric_stats, a9_run_stats, a10_field_means, a14_macro_average, a15_macro_by_strategy,
             j8_selected_origins, a16_running_means, a20_heatmap, w10_ranked_candidates, w10_winners, x4_dates_by_field,
         )
