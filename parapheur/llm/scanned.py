@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parapheur.llm.canonical import ODD, TO_LATIN, fold
+from parapheur.llm.near import near_rows
 from parapheur.llm.scan import MISREAD, SIGNS, tolerant
 from parapheur.session import written
 
@@ -41,6 +42,8 @@ FREQUENT = 20_000
 EDGE = 4
 #: Edits, as a share of a form's length, within which two lines of one document are the same header.
 FUZZY = 0.15
+#: Forms of a document that are compared in one place; more are dealt into blocks, all pairs of which are compared.
+BLOCK = 20_000
 #: A word is a misreading of another that is at least so many times as frequent.
 TIMES = 10
 
@@ -51,8 +54,9 @@ _COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
 _CUT = re.compile(r"(?P<chain>(?:[^\W_]+-)*)(?P<left>[@!+|]?[^\W_]+(?:[@!+|]+[^\W_]+)*[@!+|]*)(?P<sign>[-¬])[ \t]*$")
 _GOES_ON = re.compile(r"[ \t]*(?P<right>[@!+|]?[^\W_]+(?:[@!+|]+[^\W_]+)*)(?P<rest>\S*)")
 _PAGE_WORD = "|".join(map(tolerant, ("page", "Page", "PAGE", "feuillet", "Feuillet")))
+# A page is an INT, so its number has ten digits at most.
 _PAGE = re.compile(
-    rf"^[\s\[(–—-]*(?P<word>(?:{_PAGE_WORD}|[pP]\.?)\s*[:n°.]*\s*)?0*(?P<n>\d{{1,4}})(?:\s*(?:/|{tolerant('sur')}|{tolerant('SUR')}|de|of)\s*\d{{1,4}})?[\s\])–—-]*$"
+    rf"^[\s\[(–—-]*(?P<word>(?:{_PAGE_WORD}|[pP]\.?)\s*[:n°.]*\s*)?0*(?P<n>\d{{1,10}})(?:\s*(?:/|{tolerant('sur')}|{tolerant('SUR')}|de|of)\s*\d{{1,10}})?[\s\])–—-]*$"
 )
 _MARKED = re.compile(r"[\[(/–—-]")
 
@@ -439,8 +443,8 @@ class ScannedPages:
     def _again(self) -> DataFrame:
         """(doc_id, col_name, kind, form) of lines that come back.
 
-        Forms are counted once a document, on the map side. Forms that stand on one page only are looked at beside their neighbours in
-        the order of all forms of the document with the same beginning, or the same end: no two groups of forms are paired.
+        Forms are counted once a document, on the map side. A form that stands on one page only is held against every other form of the
+        document (see ``_near``).
         """
         group = ["doc_id", "col_name", "kind", "form"]
         forms = written(self._edges.groupBy(*group).agg(F.min("page").alias("lo"), F.max("page").alias("hi")), "forms")
@@ -449,18 +453,27 @@ class ScannedPages:
         seen = self._edges.where("kind = 'weak'").join(weak, group).groupBy(*group).agg(F.countDistinct("page").alias("n"))
         pages = self._edges.join(weak.select("doc_id").distinct(), "doc_id").groupBy("doc_id", "col_name").agg(F.countDistinct("page").alias("pages"))
         most = seen.join(pages, ["doc_id", "col_name"]).where("2 * n > pages").select(*group)
-        key = lambda part: F.xxhash64("doc_id", "col_name", part)
-        near = forms.where("kind = 'edge'").select(*group, "lo", "hi", F.explode(F.array(key(F.substring("form", 1, 6)), key(F.substring("form", -6, 6)))).alias("_key"))
-        beside = Window.partitionBy("_key").orderBy("form")
-        alike = F.lit(False)
-        for other in (F.lag, F.lead):
-            form, lo, hi = (other(c).over(beside) for c in ("form", "lo", "hi"))
-            most_edits = (F.greatest(F.length("form"), F.length(form)) * F.lit(FUZZY)).cast("int")
-            differ = F.abs(F.length("form") - F.length(form)) <= most_edits  # measured only where the lengths allow it
-            alike = alike | F.coalesce(differ & ((lo != F.col("lo")) | (hi != F.col("lo"))) & (F.levenshtein("form", form) <= most_edits), F.lit(False))
-        near = near.withColumn("_alike", alike).where("lo = hi AND _alike").select(*group)
+        near = self._near(forms.where("kind = 'edge'")).select("doc_id", "col_name", F.lit("edge").alias("kind"), "form")
         return exact.unionByName(most).unionByName(near).distinct()
 
+    def _near(self, forms: DataFrame) -> DataFrame:
+        """(doc_id, col_name, form) of forms on one page only that are within ``FUZZY`` of a form of another page of the document.
+
+        A document's forms are compared in one place; those of a document with more than ``BLOCK`` are dealt into blocks, and every two
+        blocks are compared in a place of their own.
+        """
+        group = ["doc_id", "col_name"]
+        large = forms.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("_blocks")).where("_blocks > 1")
+        dealt = forms.join(F.broadcast(large), group, "left")  # at most one row for every BLOCK forms
+        own = F.pmod(F.xxhash64("form"), F.col("_blocks"))
+        other = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1), lambda b: b != own)
+        pairs = F.transform(other, lambda b: F.least(own, b) * F.col("_blocks") + F.greatest(own, b))
+        dealt = dealt.withColumn("_pair", F.explode(F.when(F.col("_blocks").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(pairs)))
+        place = [*group, "_pair"]
+        dealt = dealt.select(*place, "form", "lo", "hi").repartition(*place).sortWithinPartitions(*place)
+        schema = dealt.schema
+        return dealt.mapInArrow(lambda batches: near_rows(batches, place, FUZZY), schema).select(*group, "form")
+
     def headers(self) -> DataFrame:
         """Lines at an edge of a page that come back on other pages of the document."""
         return self._repeated.where("kind <> 'number'").select("_id", "col_name", F.lit("header").alias("kind"), "line_no").unionByName(self.deep_headers())

@@ -1,4 +1,8 @@
-from parapheur.llm import scanned as s
+import random
+
+import numpy as np
+
+from parapheur.llm import near, scanned as s
 
 SCHEMA = "page_row_id BIGINT, doc_id STRING, page INT, raw_text STRING, body_text_no_tables STRING, tables ARRAY<STRUCT<table_index INT, data ARRAY<ARRAY<STRING>>>>, col_name STRING"
 PROSE = "la réception de la mainlevée commerciale concerne le service et la notification du bordereau"
@@ -109,3 +113,39 @@ def test_page_number_sequences(spark):
     cases = [(["7", "8"], True), (["iv", "v"], True), (["- deux -", "- trois -"], True), (["Page 12", "Page 13"], True), (["7", "7"], False), (["iv", "ix"], False)]
     got = found(spark, [(f"d{k}", n + 1, f"{PROSE} {line} {'abc'[n] * 9}\n{line}") for k, (lines, _) in enumerate(cases) for n, line in enumerate(lines)])
     assert [((2 * k, "pageno", 1) in got, (2 * k + 1, "pageno", 1) in got) for k in range(len(cases))] == [(good, good) for _, good in cases]
+
+
+def test_near_headers_need_no_common_beginning_or_end_and_no_neighbours(spark, monkeypatch):
+    forms = ["Dxrection régionale des archives centralqs", "Direction régionale des archives centrales"]
+    between = [f"Direction régionale d{c} {w}" for c, w in (("e", "la reliure ancienne"), ("es", "achats"))]
+    texts = [("d", 1, f"{forms[0]}\n{PROSE}"), ("d", 2, f"{forms[1]}\n{PROSE} x"), ("d", 3, f"{between[0]}\n{PROSE} y"), ("d", 4, f"{between[1]}\n{PROSE} z"), ("e", 1, f"{forms[0]}\n{PROSE}")]
+    for block in (s.BLOCK, 3):  # also where a document's forms are dealt into blocks
+        monkeypatch.setattr(s, "BLOCK", block)
+        assert [x[0] for x in found(spark, texts) if x[1] == "header" and x[2] == 0] == [0, 1]
+
+
+def test_near_is_exact(monkeypatch):
+    draw = random.Random(5)
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a):
+            row, up = [i + 1], row
+            for j, d in enumerate(b):
+                row.append(min(up[j + 1] + 1, row[j] + 1, up[j] + (c != d)))
+        return row[-1]
+
+    for many in (near.MANY, 2):
+        monkeypatch.setattr(near, "MANY", many)
+        group = sorted(draw.randrange(3) for _ in range(60))
+        base = ["".join(draw.choice("abcdé #") for _ in range(n)) for n in (9, 20, 33)]
+        forms = ["".join(draw.choice("abxé") if draw.random() < 0.12 else c for c in draw.choice(base))[draw.randrange(3) :] for _ in group]
+        lo = [draw.randrange(3) for _ in group]
+        hi = [a + (draw.random() < 0.2) for a in lo]
+        want = [lo[i] == hi[i] and any(group[i] == group[j] and (lo[j] != lo[i] or hi[j] != lo[i]) and edits(forms[i], forms[j]) <= int(0.15 * max(len(forms[i]), len(forms[j]))) for j in range(60) if j != i) for i in range(60)]
+        assert 0 < sum(want) < 60 and near.near(np.array(group), forms, np.array(lo), np.array(hi), 0.15).tolist() == want
+
+
+def test_page_numbers_of_any_length(spark):
+    texts = [("d", 12345, f"{PROSE}\n- 12345 -"), ("e", 2147483647, f"{PROSE}\nPage 2147483647 sur 2147483647"), ("f", 12345, f"{PROSE}\n12346")]
+    assert [x[0] for x in found(spark, texts) if x[1] == "pageno"] == [0, 1]
