@@ -1,7 +1,8 @@
 """Which strings of a group have another one within a share of edits: exact, though few pairs are measured.
 
 All pairs of a group whose lengths allow it are looked at by their letters: one edit changes the counts of at most two
-letters, so strings whose counts differ by more need no measuring. Counts are compared as bits of machine words.
+letters, so strings whose counts differ by more need no measuring. Counts are compared as bits of machine words. What is left is
+compared by three characters in a row: an edit changes at most three of these, and all others stay near their place.
 """
 
 from __future__ import annotations
@@ -22,12 +23,16 @@ def within(a: str, b: str, most: int) -> bool:
     """Whether at most ``most`` edits make one string the other (bit vectors of all rows at once)."""
     if abs(len(a) - len(b)) > most:
         return False
-    if not a or not b:
-        return True
+    spare = 3 * most
+    for i in range(len(a) - 2):
+        if b.find(a[i : i + 3], i - most if i > most else 0, i + most + 3) < 0:
+            spare -= 1
+            if spare < 0:
+                return False
     places: dict[str, int] = {}
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << i
-    full, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    full, last = (1 << len(a)) - 1, 1 << len(a) >> 1
     up, down, edits, left = full, 0, len(a), len(b)
     for c in b:
         same = places.get(c, 0)

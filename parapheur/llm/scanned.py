@@ -24,11 +24,12 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
-from itertools import combinations
+from itertools import chain, combinations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from parapheur.llm.canonical import ODD, TO_LATIN, fold
 from parapheur.llm.near import near_rows
@@ -72,19 +73,30 @@ _ONE = str.maketrans("l1!|t+cé6f@0592", "iiiiiieeeraosgz")
 _BARE = {i: unicodedata.normalize("NFKD", chr(i))[0] for i in range(0xC0, 0x250) if unicodedata.decomposition(chr(i))}
 _NUMBER = re.compile(r"(?<![^\W_@!+|])\d+(?![^\W_@!+|])")
 _SIGN = re.compile(r"[^\w@!+|# ]+")
+_DIGIT = re.compile(r"\d")
+_SIX = re.compile(r"(?:[^a-z]*[a-z]){6}")
+_USUAL = [(c, _BARE[ord(c)]) for c in "éèàêç"]
 
 
 @lru_cache(maxsize=50_000)
 def loose(line: str) -> str:
     """What repeated headers have in common; empty if too little is left to tell them from chance."""
     bare = any_form(line)
-    return bare if sum(map(str.isalpha, bare)) >= 6 else ""
+    return bare if _SIX.match(bare) or sum(map(str.isalpha, bare)) >= 6 else ""
 
 
 def any_form(line: str, page: int | None = None) -> str:
     """A loose form of any line; with ``page`` given, other numbers than the page's stay."""
     number = "#" if page is None else lambda m: "#" if m[0].lstrip("0") == str(page) else m[0]
-    bare = _SIGN.sub(" ", _NUMBER.sub(number, ordinary(line).casefold().translate(_BARE)))
+    bare = ordinary(line).casefold()
+    if not bare.isascii():
+        for accented, letter in _USUAL:
+            bare = bare.replace(accented, letter)
+        if not bare.isascii():
+            bare = bare.translate(_BARE)
+    if _DIGIT.search(bare):
+        bare = _NUMBER.sub(number, bare)
+    bare = _SIGN.sub(" ", bare)
     for seen, true in _PAIRS:
         bare = bare.replace(seen, true)
     return " ".join(bare.translate(_ONE).split())
@@ -127,6 +139,12 @@ class Page:
             for lines in (self.stored,) if self.lines is self.stored else (self.stored, self.lines):
                 self.tabular.update(i for i, line in enumerate(lines) if " ".join(line.split()) in wanted)
 
+    @cached_property
+    def cuts(self) -> dict[int, tuple[str, str, str, str]]:
+        """``cut`` of the lines that have one."""
+        found = ((i, self.cut(i)) for i, line in enumerate(self.lines) if line and line[-1] in "-¬ \t")
+        return {i: cut for i, cut in found if cut}
+
     def cut(self, i: int):
         """(chain, left, sign, right, whole line's rest) where line i ends inside a word that goes on in the next."""
         line = self.lines[i]
@@ -140,11 +158,26 @@ class Page:
             return None
         return m["chain"], m["left"], m["sign"], n["right"]
 
-    def words(self) -> Iterator[tuple[int, list[str], str | None, int]]:
-        """(line, its whole words, the word cut at its end or None, letters of that which stand in the line), tables left out."""
+    def apart(self) -> tuple[list[int], list[int]]:
+        """(lines whose words are theirs alone, those cut at their end and the ones these go on in), tables left out."""
+        cut = self.cuts.keys() | {i + 1 for i in self.cuts}
+        return [i for i in range(len(self.lines)) if i not in cut and i not in self.tabular], sorted(cut)
+
+    def text_of(self, lines: list[int]) -> str:
+        """Lines without mail addresses, one after the other; no word goes from one into the next."""
+        text = "\n".join([self.lines[i] for i in lines])
+        if "@" in text or "[" in text or "(a" in text:
+            return "\n".join([_MAIL.sub(" ", x) if "@" in x or "[" in x or "(a" in x else x for x in text.split("\n")])
+        return text
+
+    def words(self, lines: list[int] | None = None) -> Iterator[tuple[int, list[str], str | None, int]]:
+        """(line, its whole words, the word cut at its end or None, letters of that which stand in the line), tables left out.
+
+        ``lines``: only of these; they hold the next line of each that is cut."""
         skip = False
         parts: list[str] = []
-        for i, line in enumerate(self.lines):
+        for i in range(len(self.lines)) if lines is None else lines:
+            line = self.lines[i]
             if not line or i in self.tabular:
                 skip, parts = False, []
                 continue
@@ -153,7 +186,7 @@ class Page:
                 del found[0]
             found += parts
             skip, parts = False, []
-            cut = self.cut(i) if line[-1] in "-¬ \t" else None
+            cut = self.cuts.get(i)
             if cut and found and not (cut[3][0].isupper() and not cut[1].isupper()):
                 skip = True
                 del found[-1]
@@ -166,6 +199,11 @@ class Page:
                 yield i, found, None, 0
 
 
+    def all_words(self) -> set[str]:
+        plain, cut = self.apart()
+        return {*_WORD.findall(self.text_of(plain)), *(w for _, found, joined, _ in self.words(cut) for w in (*found, joined) if w)}
+
+
 def is_odd(word: str) -> bool:
     """A sign or digit that touches a letter."""
     return not word.isalpha() and any(c.isalpha() for c in word)
@@ -219,7 +257,9 @@ def _pages(page: int | None, raw: str | None, body: str | None, rows: list[str]
 
 def _count(p: Page, count: Counter[str]) -> None:
     """Adds a page's words; a word put together over a line end is entered without being counted."""
-    for _, found, joined, _ in p.words():
+    plain, cut = p.apart()
+    count.update(_WORD.findall(p.text_of(plain)))
+    for _, found, joined, _ in p.words(cut):
         count.update(found)
         if joined:
             count[joined] += 0
@@ -254,16 +294,13 @@ def _edges(page: int | None, pages: list[tuple[tuple[str, ...], Page]], out: lis
                 elif any(x.isalpha() for x in line):
                     form = any_form(line, page)
                     out += [(c, "weak", i, f"{place} {form}", page) for c in columns for place in places[i]]
-        for i in range(len(p.lines) - 1):
-            cut = p.cut(i)
-            if cut:
-                chain, left, sign, right = cut
-                sure = sign == "¬" or "­" in p.stored[i][-3:]
-                upper = right[0].isupper()
-                if sure:
-                    out += [(c, "hyphen", i, None, None) for c in columns]
-                elif not upper or left.isupper() and right.isupper():
-                    out += [(c, "ask_upper" if upper else "ask", i, f"{chain}\t{left}\t{right}", None) for c in columns]
+        for i, (chain, left, sign, right) in p.cuts.items():
+            sure = sign == "¬" or "­" in p.stored[i][-3:]
+            upper = right[0].isupper()
+            if sure:
+                out += [(c, "hyphen", i, None, None) for c in columns]
+            elif not upper or left.isupper() and right.isupper():
+                out += [(c, "ask_upper" if upper else "ask", i, f"{chain}\t{left}\t{right}", None) for c in columns]
 
 
 _MARK = ["col_name", "kind", "line_no", "form", "page"]
@@ -271,13 +308,13 @@ _MARK_TYPES = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32()]
 
 
 def _scan(rows: DataFrame) -> DataFrame:
-    """One scan of (_id, page, raw_text, body, table rows) that gives marks and, without an id, the vocabulary: (word, n).
+    """One scan of (_id, page, raw_text, body, table rows, doc_id) that gives marks and, without an id, the vocabulary: (word, n).
 
     n is how often a word, or a word written with a hyphen, stands within the lines; 0 for one only put together over a line
     end. Words are counted a partition before anything is shuffled.
     """
-    id_type = rows.schema["_id"].dataType.simpleString()
-    names = ["_id", *_MARK, "word", "n"]
+    id_type, doc_type = (rows.schema[c].dataType.simpleString() for c in ("_id", "doc_id"))
+    names = ["_id", "doc_id", *_MARK, "word", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter[str] = Counter()
@@ -285,11 +322,11 @@ def _scan(rows: DataFrame) -> DataFrame:
 
         def words() -> pa.RecordBatch:
             kept = [(w, n) for w, n in count.items() if len(w) > 1]
-            blank = [pa.nulls(len(kept), kind), *(pa.nulls(len(kept), t) for t in _MARK_TYPES)]
+            blank = [*(pa.nulls(len(kept), t) for t in kind), *(pa.nulls(len(kept), t) for t in _MARK_TYPES)]
             return pa.RecordBatch.from_arrays([*blank, pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=names)
 
         for batch in batches:
-            kind = batch.column(0).type
+            kind = batch.column(0).type, batch.column(5).type
             at: list[int] = []
             out: list[tuple] = []
             for i, row in enumerate(zip(*(batch.column(k).to_pylist() for k in range(1, 5)))):
@@ -299,19 +336,19 @@ def _scan(rows: DataFrame) -> DataFrame:
                 if pages:
                     _count(pages[0][1], count)  # the body's lines are the page's own
                     for _, body in pages[1:]:  # but words it alone has are tried too
-                        for _, found, joined, _ in body.words():
-                            for word in (*found, joined) if joined else found:
-                                count.setdefault(word, 0)
+                        for word in body.all_words():
+                            count.setdefault(word, 0)
             cells = list(zip(*out)) if out else [()] * len(_MARK)
             marks = [pa.array(c, t) for c, t in zip(cells, _MARK_TYPES)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *marks, pa.nulls(len(at), pa.string()), pa.nulls(len(at), pa.int64())], names=names)
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(5).take(take), *marks, pa.nulls(len(at), pa.string()), pa.nulls(len(at), pa.int64())], names=names)
             if len(count) > 500_000:
                 yield words()
                 count = Counter()
         if kind is not None:
             yield words()
 
-    return rows.mapInArrow(run, f"_id {id_type}, col_name STRING, kind STRING, line_no INT, form STRING, page INT, word STRING, n BIGINT")
+    return rows.mapInArrow(run, f"_id {id_type}, doc_id {doc_type}, col_name STRING, kind STRING, line_no INT, form STRING, page INT, word STRING, n BIGINT")
 
 
 def _plain_words(texts: DataFrame) -> DataFrame:
@@ -411,8 +448,7 @@ class ScannedPages:
         self.key = key
         cells = lambda r: F.concat_ws(" ", F.filter(r, lambda c: c.isNotNull() & (F.trim(c) != "")))
         rows = F.flatten(F.transform("tables", lambda x: F.transform(F.coalesce(x["data"], F.array().cast("array<array<string>>")), cells)))
-        self.rows = pages.select(F.col(key).alias("_id"), "page", *COLUMNS, F.filter(rows, lambda r: r != "").alias("_rows"))
-        self.documents = pages.select(F.col(key).alias("_id"), "doc_id")
+        self.rows = pages.select(F.col(key).alias("_id"), "page", *COLUMNS, F.filter(rows, lambda r: r != "").alias("_rows"), "doc_id")
         self.other_texts = other_texts
 
     @cached_property
@@ -421,7 +457,7 @@ class ScannedPages:
 
     @cached_property
     def marks(self) -> DataFrame:
-        return self.scan.where("word IS NULL").select("_id", *_MARK)
+        return self.scan.where("word IS NULL").select("_id", "doc_id", *_MARK)
 
     @cached_property
     def words(self) -> DataFrame:
@@ -437,8 +473,7 @@ class ScannedPages:
     @cached_property
     def _edges(self) -> DataFrame:
         """Marks that repetition decides, with their document."""
-        edges = self.marks.where("kind IN ('edge', 'weak', 'number')").join(self.documents.where("doc_id IS NOT NULL"), "_id")
-        return edges.select("_id", "doc_id", "col_name", "kind", "line_no", "form", "page")
+        return self.marks.where("kind IN ('edge', 'weak', 'number') AND doc_id IS NOT NULL")
 
     def _again(self) -> DataFrame:
         """(doc_id, col_name, kind, form) of lines that come back.
@@ -487,10 +522,10 @@ class ScannedPages:
         known = self._repeated.select("_id", "col_name", "line_no").unionByName(self.marks.where("kind = 'pageno'").select("_id", "col_name", "line_no")).distinct()
         enough = known.groupBy("_id", "col_name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= EDGE).select("_id", "col_name")
         few = written(enough.join(known, ["_id", "col_name"]).groupBy("_id").agg(F.collect_set(F.concat_ws(" ", "col_name", F.col("line_no").cast("string"))).alias("_known")), "edges")  # bounded by the page
-        pages = self.rows.join(few, "_id").select("_id", "page", *COLUMNS, "_rows", "_known")
+        pages = self.rows.where("doc_id IS NOT NULL").join(few, "_id").select("_id", "page", *COLUMNS, "_rows", "_known", "doc_id")
 
         def deeper(row: tuple, out: list[tuple]) -> None:
-            page, raw, body, rows, have = row
+            page, raw, body, rows, have, doc = row
             for name, text in zip(COLUMNS, (raw, body)):
                 if not text or page is None:
                     continue
@@ -502,10 +537,11 @@ class ScannedPages:
                             form = "" if i in p.tabular else loose(p.lines[i])
                             if not form:
                                 break
-                            out.append((name, i, f"{'+' if least == EDGE else '-'}{form}", place, page))
+                            out.append((name, i, f"{'+' if least == EDGE else '-'}{form}", place, page, doc))
 
-        names, types = ["col_name", "line_no", "form", "place", "page"], [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
-        deep = _batches(pages, deeper, "col_name STRING, line_no INT, form STRING, place INT, page INT", names, types).join(self.documents, "_id").where("doc_id IS NOT NULL")
+        of = pages.select("doc_id").schema
+        names, types = ["col_name", "line_no", "form", "place", "page", "doc_id"], [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), to_arrow_schema(of)[0].type]
+        deep = _batches(pages, deeper, f"col_name STRING, line_no INT, form STRING, place INT, page INT, doc_id {of[0].dataType.simpleString()}", names, types)
         group = ["doc_id", "col_name", "form"]
         back = deep.groupBy(*group).agg(F.min("page").alias("lo"), F.max("page").alias("hi")).where("lo <> hi").select(*group)
         marked = deep.join(back, group)
@@ -545,14 +581,17 @@ class ScannedPages:
         def unknown(row: tuple, out: list[tuple]) -> None:
             sure = known.value
             for columns, p in _pages(*row):
-                for i, found, joined, inside in p.words():
+                plain, cut = p.apart()
+                odd = {w for w in set(_WORD.findall(p.text_of(plain))) - sure if len(w) > 1}
+                at = sorted({i for w in odd for i in plain if w in p.lines[i]})
+                for i, found, joined, inside in chain(p.words(at), p.words(cut)):
                     for word in found:
                         if word not in sure and len(word) > 1:
                             out += [(c, i, word, 0) for c in columns]
                     if joined and joined not in sure:
                         out += [(c, i, joined, inside) for c in columns]
 
-        asked = _batches(self.rows, unknown, "col_name STRING, line_no INT, word STRING, inside INT", ["col_name", "line_no", "word", "inside"], [pa.string(), pa.int32(), pa.string(), pa.int32()])
+        asked = _batches(self.rows.drop("doc_id"), unknown, "col_name STRING, line_no INT, word STRING, inside INT", ["col_name", "line_no", "word", "inside"], [pa.string(), pa.int32(), pa.string(), pa.int32()])
         line = F.col("line_no") + F.when((F.col("inside") > 0) & (F.col("place") >= F.col("inside")), 1).otherwise(0)
         return asked.join(self.wrong, "word").select("_id", "col_name", line.alias("line_no"), "word", "fix")
 

@@ -149,3 +149,18 @@ def test_near_is_exact(monkeypatch):
 def test_page_numbers_of_any_length(spark):
     texts = [("d", 12345, f"{PROSE}\n- 12345 -"), ("e", 2147483647, f"{PROSE}\nPage 2147483647 sur 2147483647"), ("f", 12345, f"{PROSE}\n12346")]
     assert [x[0] for x in found(spark, texts) if x[1] == "pageno"] == [0, 1]
+
+
+def test_lines_keep_their_document_without_a_join(spark):
+    rows = [(1, doc, page, f"Agence Fontarane\n{PROSE} {doc}", None, None, "kept out") for page, doc in ((1, "d"), (2, "e"))]  # one key, two documents
+    sp = s.ScannedPages(spark.createDataFrame(rows, SCHEMA))
+    assert sp.found().where("kind = 'header'").isEmpty()
+    assert "Join" not in sp._edges._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bulk_words_are_those_of_the_lines():
+    p = s.Page("la récep-\ntion du ser-\nvice a@b.fr [x] 5ervice\n\nde Zeriba-\nHaute\n12 3¬\nfin", ["5ervice", "12 3¬"])
+    plain, cut = p.apart()
+    alone = sorted(w for _, found, _, _ in p.words() for w in found)
+    assert alone == sorted(s._WORD.findall(p.text_of(plain)) + [w for _, found, _, _ in p.words(cut) for w in found])
+    assert [x for x in p.words() if x[2]] == [x for x in p.words(cut) if x[2]]
