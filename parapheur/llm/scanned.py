@@ -51,6 +51,7 @@ TIMES = 10
 _LATIN = str.maketrans(TO_LATIN)
 _MAIL = re.compile(r"\S*@[\w-]*\.\S+|\S+\s*[\[(]\s*(?:at|arobase)\s*[\])]\s*\S+(?:\s+(?:point|dot)\s+\S+)*", re.IGNORECASE)
 _WORD = re.compile(r"[@!+|]?[^\W_]+(?:[@!+|]+[^\W_]+)*[@!+|]?")
+_SIGNED, _SIMPLE = re.compile(r"[@!+|_]"), re.compile(r"\w+")  # where a line has none of the former, its words are the latter
 _COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
 _CUT = re.compile(r"(?P<chain>(?:[^\W_]+-)*)(?P<left>[@!+|]?[^\W_]+(?:[@!+|]+[^\W_]+)*[@!+|]*)(?P<sign>[-¬])[ \t]*$")
 _GOES_ON = re.compile(r"[ \t]*(?P<right>[@!+|]?[^\W_]+(?:[@!+|]+[^\W_]+)*)(?P<rest>\S*)")
@@ -80,15 +81,15 @@ _USUAL = [(c, _BARE[ord(c)]) for c in "éèàêç"]
 
 @lru_cache(maxsize=50_000)
 def loose(line: str) -> str:
-    """What repeated headers have in common; empty if too little is left to tell them from chance."""
+    """What repeated headers have in common, of an ordinary line; empty if too little is left to tell them from chance."""
     bare = any_form(line)
     return bare if _SIX.match(bare) or sum(map(str.isalpha, bare)) >= 6 else ""
 
 
 def any_form(line: str, page: int | None = None) -> str:
-    """A loose form of any line; with ``page`` given, other numbers than the page's stay."""
+    """A loose form of any ordinary line; with ``page`` given, other numbers than the page's stay."""
     number = "#" if page is None else lambda m: "#" if m[0].lstrip("0") == str(page) else m[0]
-    bare = ordinary(line).casefold()
+    bare = line.casefold()
     if not bare.isascii():
         for accented, letter in _USUAL:
             bare = bare.replace(accented, letter)
@@ -132,7 +133,9 @@ class Page:
 
     def __init__(self, text: str, rows: list[str] | None):
         self.stored = text.split("\n")
-        self.lines = [ordinary(line) for line in self.stored] if ODD.search(text) else self.stored
+        odd = set(ODD.findall(text))
+        strange = {i for c in odd for i, line in enumerate(self.stored) if c in line}
+        self.lines = [ordinary(line) if i in strange else line for i, line in enumerate(self.stored)] if odd else self.stored
         wanted = {" ".join(r.split()) for r in rows} if rows else ()
         self.tabular: set[int] = set()
         if wanted:
@@ -150,7 +153,8 @@ class Page:
         line = self.lines[i]
         if i + 1 >= len(self.lines) or i in self.tabular or i + 1 in self.tabular or not line or line.rstrip()[-1:] not in ("-", "¬"):
             return None
-        m, n = _CUT.search(line), _GOES_ON.match(self.lines[i + 1])
+        head = line.rstrip()
+        m, n = _CUT.search(line, len(head) - len(head.split()[-1])), _GOES_ON.match(self.lines[i + 1])  # no blank lies in a word
         if not m or not n or not n["right"][0].isalpha() and n["right"][0] not in SIGNS or not any(c.isalpha() for c in m["left"]):
             return None
         ahead = self.lines[i + 1][n.start("right") :]
@@ -163,12 +167,18 @@ class Page:
         cut = self.cuts.keys() | {i + 1 for i in self.cuts}
         return [i for i in range(len(self.lines)) if i not in cut and i not in self.tabular], sorted(cut)
 
-    def text_of(self, lines: list[int]) -> str:
-        """Lines without mail addresses, one after the other; no word goes from one into the next."""
-        text = "\n".join([self.lines[i] for i in lines])
-        if "@" in text or "[" in text or "(a" in text:
-            return "\n".join([_MAIL.sub(" ", x) if "@" in x or "[" in x or "(a" in x else x for x in text.split("\n")])
-        return text
+    def words_of(self, lines: list[int]) -> list[str]:
+        """All words of whole lines; none goes from one into the next."""
+        texts = [self.lines[i] for i in lines]
+        text = "\n".join(texts)
+        if "[" in text or "(a" in text or _SIGNED.search(text):
+            signed = [i for i, x in enumerate(texts) if "[" in x or "(a" in x or _SIGNED.search(x)]
+            found = []
+            for i in signed:
+                line, texts[i] = texts[i], ""
+                found += _WORD.findall(_MAIL.sub(" ", line) if "@" in line or "[" in line or "(a" in line else line)
+            return found + _SIMPLE.findall("\n".join(texts))
+        return _SIMPLE.findall(text)
 
     def words(self, lines: list[int] | None = None) -> Iterator[tuple[int, list[str], str | None, int]]:
         """(line, its whole words, the word cut at its end or None, letters of that which stand in the line), tables left out.
@@ -201,7 +211,7 @@ class Page:
 
     def all_words(self) -> set[str]:
         plain, cut = self.apart()
-        return {*_WORD.findall(self.text_of(plain)), *(w for _, found, joined, _ in self.words(cut) for w in (*found, joined) if w)}
+        return {*self.words_of(plain), *(w for _, found, joined, _ in self.words(cut) for w in (*found, joined) if w)}
 
 
 def is_odd(word: str) -> bool:
@@ -258,16 +268,14 @@ def _pages(page: int | None, raw: str | None, body: str | None, rows: list[str]
 def _count(p: Page, count: Counter[str]) -> None:
     """Adds a page's words; a word put together over a line end is entered without being counted."""
     plain, cut = p.apart()
-    count.update(_WORD.findall(p.text_of(plain)))
+    count.update(p.words_of(plain))
     for _, found, joined, _ in p.words(cut):
         count.update(found)
         if joined:
             count[joined] += 0
-    for line in p.lines:
-        if "-" in line:
-            for run in line.split():
-                if "-" in run[1:-1]:
-                    count.update(_COMPOUND.findall(run))
+    runs = [run for line in p.lines if "-" in line for run in line.split() if "-" in run]
+    if runs:
+        count.update(_COMPOUND.findall(" ".join(runs)))
 
 
 def _edges(page: int | None, pages: list[tuple[tuple[str, ...], Page]], out: list[tuple]) -> None:
@@ -285,11 +293,11 @@ def _edges(page: int | None, pages: list[tuple[tuple[str, ...], Page]], out: lis
             if m and (int(m["n"]) == page if page is not None else m["word"] or _MARKED.search(line)):
                 out += [(c, "pageno", i, None, None) for c in columns]
             elif page is not None:
-                value = number_of(line) if line.count(" ") < 8 else None
+                value = None if line.count(" ") >= 8 else int(m["n"]) if m else number_of(line)
                 form = "" if value is not None else loose(line)
                 if value is not None:
                     out += [(c, "number", i, str(value - page), page) for c in columns]
-                elif form and not _SENTENCE_END.search(line):
+                elif form and not _SENTENCE_END.match(line[-2:]):
                     out += [(c, "edge", i, form, page) for c in columns]
                 elif any(x.isalpha() for x in line):
                     form = any_form(line, page)
@@ -575,18 +583,18 @@ class ScannedPages:
     def wrong_words(self) -> DataFrame:
         """(_id, col_name, line_no, word, fix) of every misread word."""
         spark = self.words.sparkSession
-        sound = self.words.join(self.wrong.select("word"), "word", "left_anti").where("n > 1").orderBy(F.col("n").desc(), "word").limit(FREQUENT)
+        sound = self.words.join(self.wrong.select("word"), "word", "left_anti").where((F.col("n") > 1) & F.col("word").rlike(r"\p{L}")).orderBy(F.col("n").desc(), "word").limit(FREQUENT)
         known = spark.sparkContext.broadcast(frozenset(r["word"] for r in sound.select("word").collect()))
 
         def unknown(row: tuple, out: list[tuple]) -> None:
             sure = known.value
             for columns, p in _pages(*row):
                 plain, cut = p.apart()
-                odd = {w for w in set(_WORD.findall(p.text_of(plain))) - sure if len(w) > 1}
+                odd = [w for w in set(p.words_of(plain)) - sure if len(w) > 1 and not w.isdigit()]  # figures are not misread
                 at = sorted({i for w in odd for i in plain if w in p.lines[i]})
                 for i, found, joined, inside in chain(p.words(at), p.words(cut)):
                     for word in found:
-                        if word not in sure and len(word) > 1:
+                        if word not in sure and len(word) > 1 and not word.isdigit():
                             out += [(c, i, word, 0) for c in columns]
                     if joined and joined not in sure:
                         out += [(c, i, joined, inside) for c in columns]

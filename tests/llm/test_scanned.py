@@ -162,5 +162,13 @@ def test_bulk_words_are_those_of_the_lines():
     p = s.Page("la récep-\ntion du ser-\nvice a@b.fr [x] 5ervice\n\nde Zeriba-\nHaute\n12 3¬\nfin", ["5ervice", "12 3¬"])
     plain, cut = p.apart()
     alone = sorted(w for _, found, _, _ in p.words() for w in found)
-    assert alone == sorted(s._WORD.findall(p.text_of(plain)) + [w for _, found, _, _ in p.words(cut) for w in found])
+    assert alone == sorted(p.words_of(plain) + [w for _, found, _, _ in p.words(cut) for w in found])
     assert [x for x in p.words() if x[2]] == [x for x in p.words(cut) if x[2]]
+
+
+def test_figures_are_not_looked_up(spark, monkeypatch):
+    monkeypatch.setattr(s, "FREQUENT", 1)
+    shipped = []
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: shipped.append(x) or type("Shipped", (), {"value": x})())
+    out = pages(spark, [("d", 1, "2021 " * 500 + "\nle 5ervice la réccption")]).found().where("kind = 'char'").collect()
+    assert {r.line_no for r in out} == {1} and not any(w.isdigit() for x in shipped for w in x)
