@@ -483,14 +483,18 @@ class ScannedPages:
         """Marks that repetition decides, with their document."""
         return self.marks.where("kind IN ('edge', 'weak', 'number') AND doc_id IS NOT NULL")
 
+    @cached_property
+    def _forms(self) -> DataFrame:
+        """Forms of these marks with the first and the last page of their document that have them."""
+        return written(self._edges.groupBy("doc_id", "col_name", "kind", "form").agg(F.min("page").alias("lo"), F.max("page").alias("hi")), "forms")
+
     def _again(self) -> DataFrame:
         """(doc_id, col_name, kind, form) of lines that come back.
 
         Forms are counted once a document, on the map side. A form that stands on one page only is held against every other form of the
         document (see ``_near``).
         """
-        group = ["doc_id", "col_name", "kind", "form"]
-        forms = written(self._edges.groupBy(*group).agg(F.min("page").alias("lo"), F.max("page").alias("hi")), "forms")
+        group, forms = ["doc_id", "col_name", "kind", "form"], self._forms
         exact = forms.where("kind <> 'weak' AND lo <> hi").select(*group)
         weak = written(forms.where("kind = 'weak' AND lo <> hi").select(*group), "weak")
         seen = self._edges.where("kind = 'weak'").join(weak, group).groupBy(*group).agg(F.countDistinct("page").alias("n"))
@@ -526,7 +530,10 @@ class ScannedPages:
         return written(self._edges.join(self._again(), ["doc_id", "col_name", "kind", "form"]).select("_id", "doc_id", "col_name", "kind", "line_no", "page").distinct(), "repeated")
 
     def deep_headers(self) -> DataFrame:
-        """Headers beyond the first lines of an edge, on pages where all of these come back: as far as every line does."""
+        """Headers and page numbers beyond the first lines of an edge, on pages where all of these come back: as far as every line does.
+
+        A line comes back if another page has its form, or one near it, there or among the first lines of an edge.
+        """
         known = self._repeated.select("_id", "col_name", "line_no").unionByName(self.marks.where("kind = 'pageno'").select("_id", "col_name", "line_no")).distinct()
         enough = known.groupBy("_id", "col_name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= EDGE).select("_id", "col_name")
         few = written(enough.join(known, ["_id", "col_name"]).groupBy("_id").agg(F.collect_set(F.concat_ws(" ", "col_name", F.col("line_no").cast("string"))).alias("_known")), "edges")  # bounded by the page
@@ -542,19 +549,28 @@ class ScannedPages:
                 for lines, least in ((filled, EDGE), (filled[::-1], EDGE + 1)):
                     if len(lines) > least and all(f"{name} {i}" in have for i in lines[:least]):
                         for place, i in enumerate(lines[least:]):
-                            form = "" if i in p.tabular else loose(p.lines[i])
-                            if not form:
+                            line = " ".join(p.lines[i].split())
+                            m = _PAGE.match(line)
+                            number = m is not None and int(m["n"]) == page
+                            form = None if number else "" if i in p.tabular or number_of(line) is not None else loose(line) or any_form(line, page)
+                            if not number and not any(map(str.isalpha, form)):
                                 break
-                            out.append((name, i, f"{'+' if least == EDGE else '-'}{form}", place, page, doc))
+                            out.append((name, i, "+" if least == EDGE else "-", form, place, page, doc))
 
         of = pages.select("doc_id").schema
-        names, types = ["col_name", "line_no", "form", "place", "page", "doc_id"], [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), to_arrow_schema(of)[0].type]
-        deep = _batches(pages, deeper, f"col_name STRING, line_no INT, form STRING, place INT, page INT, doc_id {of[0].dataType.simpleString()}", names, types)
+        names, types = ["col_name", "line_no", "side", "form", "place", "page", "doc_id"], [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), to_arrow_schema(of)[0].type]
+        schema = f"col_name STRING, line_no INT, side STRING, form STRING, place INT, page INT, doc_id {of[0].dataType.simpleString()}"
+        deep = written(_batches(pages, deeper, schema, names, types), "deep")
         group = ["doc_id", "col_name", "form"]
-        back = deep.groupBy(*group).agg(F.min("page").alias("lo"), F.max("page").alias("hi")).where("lo <> hi").select(*group)
-        marked = deep.join(back, group)
-        side = Window.partitionBy("_id", "col_name", F.substring("form", 1, 1)).orderBy("place")  # bounded by the page
-        return marked.withColumn("_nth", F.row_number().over(side) - 1).where("_nth = place").select("_id", "col_name", F.lit("header").alias("kind"), "line_no")
+        lines = deep.where("form IS NOT NULL")
+        own = lines.select(*group, F.col("page").alias("lo"), F.col("page").alias("hi"))
+        first = self._forms.where("kind = 'edge'").join(lines.select("doc_id").distinct(), "doc_id", "left_semi").select(*group, "lo", "hi")
+        forms = written(own.unionByName(first).groupBy(*group).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "deep-forms")
+        back = forms.where("lo <> hi").select(*group).unionByName(self._near(forms).select(*group)).distinct()
+        marked = lines.join(back, group).select(*deep.columns).unionByName(deep.where("form IS NULL"))
+        side = Window.partitionBy("_id", "col_name", "side").orderBy("place")  # bounded by the page
+        kind = F.when(F.col("form").isNull(), "pageno").otherwise("header").alias("kind")
+        return marked.withColumn("_nth", F.row_number().over(side) - 1).where("_nth = place").select("_id", "col_name", kind, "line_no")
 
     def hyphens(self) -> DataFrame:
         """Lines that end inside a word that is not itself written with a hyphen there."""

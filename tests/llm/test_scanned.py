@@ -172,3 +172,18 @@ def test_figures_are_not_looked_up(spark, monkeypatch):
     monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: shipped.append(x) or type("Shipped", (), {"value": x})())
     out = pages(spark, [("d", 1, "2021 " * 500 + "\nle 5ervice la réccption")]).found().where("kind = 'char'").collect()
     assert {r.line_no for r in out} == {1} and not any(w.isdigit() for x in shipped for w in x)
+
+
+def test_edges_go_on_over_near_lines_short_marks_and_page_numbers(spark):
+    head = [f"Agence Fontarane ligne {w}" for w in "une deux trois quatre".split()]
+    first = [*head, "Direction régionale des archives centrales", "DRH", "1", "Service du courrier", PROSE]
+    second = [*head, "Dxrection régionale des archives centralqs", "DRH", "2", "Service du courrier", "le bordereau de la mainlevée"]
+    out = found(spark, [("d", 1, "\n".join([*first, *[PROSE] * 6])), ("d", 2, "\n".join([*second, *["la notification"] * 6]))])
+    assert [(x[0], x[2]) for x in out if x[1] == "header" and x[2] < 8] == [(k, i) for k in (0, 1) for i in (0, 1, 2, 3, 4, 5, 7)]
+    assert [(x[0], x[2]) for x in out if x[1] == "pageno"] == [(0, 6), (1, 6)]
+
+
+def test_deep_lines_come_back_among_the_first_lines(spark):
+    head = [f"Agence Fontarane ligne {w}" for w in "une deux trois quatre cinq".split()]
+    texts = [("d", 1, "\n".join([*head, *[PROSE] * 6])), ("d", 2, "\n".join([*head[1:], *["la notification"] * 6])), ("d", 3, "\n".join([head[0], *["le service"] * 8]))]
+    assert [x[2] for x in found(spark, texts) if x[1] == "header" and x[0] == 0][:5] == [0, 1, 2, 3, 4]
