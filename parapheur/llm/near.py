@@ -1,8 +1,8 @@
 """Which strings of a group have another one within a share of edits: exact, though few pairs are measured.
 
 All pairs of a group whose lengths allow it are looked at by their letters: one edit changes the counts of at most two
-letters, so strings whose counts differ by more need no measuring. Counts are compared as bits of machine words. What is left is
-compared by three characters in a row: an edit changes at most three of these, and all others stay near their place.
+letters, and takes and adds at most three triples of characters in a row, so strings that differ by more need no measuring. Both are
+compared as bits of machine words. What is left is compared by the places of its triples: those no edit touches stay near theirs.
 """
 
 from __future__ import annotations
@@ -51,13 +51,18 @@ def within(a: str, b: str, most: int) -> bool:
     return edits <= most
 
 
-def _letters(forms: Sequence[str]) -> np.ndarray:
-    """Four words a string: bits for every class of characters that it has more than 0, 1, ... 7 times."""
-    codes = np.frombuffer("".join(forms).encode("utf-32-le", "surrogatepass"), np.uint32)
+def _signs(forms: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Words a string: bits for every class of characters that it has more than 0, 1, ... 7 times, and for every class of triples."""
+    n = len(forms)
+    codes = np.frombuffer("".join(forms).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     kind = np.where(codes < 128, _CLASS[np.minimum(codes, 127)], 28 + codes % 4)
-    row = np.repeat(np.arange(len(forms)), [len(f) for f in forms])
-    counts = np.bincount(row * 32 + kind, minlength=len(forms) * 32).reshape(-1, 1, 32)
-    return np.packbits((counts > _LEVELS[None, :, None]).reshape(len(forms), 256), axis=1).view(np.uint64)
+    row = np.repeat(np.arange(n), [len(f) for f in forms])
+    counts = np.bincount(row * 32 + kind, minlength=n * 32).reshape(-1, 1, 32)
+    triples = np.zeros(n * 512, bool)
+    whole = row[2:] == row[:-2]
+    triples[row[2:][whole] * 512 + ((codes[:-2] * 7919 + codes[1:-1] * 613 + codes[2:] * 37) % 65521 % 512)[whole]] = True
+    bits = (counts > _LEVELS[None, :, None]).reshape(n, 256), triples.reshape(n, 512)
+    return tuple(np.ascontiguousarray(np.packbits(x, axis=1).view(np.uint64).T) for x in bits)
 
 
 def near(group: np.ndarray, forms: Sequence[str], lo: np.ndarray, hi: np.ndarray, share: float) -> np.ndarray:
@@ -68,13 +73,13 @@ def near(group: np.ndarray, forms: Sequence[str], lo: np.ndarray, hi: np.ndarray
     order = np.lexsort((size, group))
     group, size, lo, hi = group[order], size[order], lo[order], hi[order]
     texts = [forms[i] for i in order]
-    words = _letters(texts).T.copy()
+    letters, triples = _signs(texts)
     longest = int(size.max(initial=0))
     least = np.array([m - int(m * share) for m in range(longest + 1)])  # the shortest partner of each length; never falls
     most = np.array([int(m * share) for m in range(longest + 1)])[size]
     width = longest + 1
     end = np.searchsorted(group * width + size, group * width + np.searchsorted(least, size, "right") - 1, "right")
-    room = 2 * most - size  # with the shorter one's length: in how many bits the longer one may differ
+    room, room_triples = 2 * most - size, 6 * most - size  # with the shorter one's length: in how many bits the longer one may differ
     open_ = lo == hi
     found = np.zeros(n, bool)
 
@@ -85,15 +90,16 @@ def near(group: np.ndarray, forms: Sequence[str], lo: np.ndarray, hi: np.ndarray
     def measure(a: np.ndarray, b: np.ndarray) -> None:
         kept = helps(a, b) | helps(b, a)
         a, b = a[kept], b[kept]
-        differ = sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int64) for w in words)
-        kept = differ <= room[b] + size[a]
-        for x, y in zip(a[kept].tolist(), b[kept].tolist()):
+        for words, most_bits in ((letters, room), (triples, room_triples)):
+            kept = sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int64) for w in words) <= most_bits[b] + size[a]
+            a, b = a[kept], b[kept]
+        for x, y in zip(a.tolist(), b.tolist()):
             if ((forward := helps(x, y)) | (back := helps(y, x))) and within(texts[x], texts[y], int(most[y])):
                 for z, settled in ((x, forward), (y, back)):
                     if settled:
                         found[z], open_[z] = True, False
 
-    first = words[0]
+    first = letters[0]
     partners = end - np.arange(n) - 1
     for x in np.flatnonzero(partners >= MANY):
         y = x + 1 + np.flatnonzero(np.bitwise_count(first[x + 1 : end[x]] ^ first[x]) <= room[x + 1 : end[x]] + size[x])
