@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parapheur.functions import fuzzy, metrics as m
+from parapheur.functions import edits, fuzzy, metrics as m
 from parapheur.functions.text import non_empty, strip
 from parapheur.session import spread
 
@@ -66,9 +66,11 @@ def fuzzy_scores(approaches: DataFrame, letters: DataFrame) -> DataFrame:
 
 def ocr_metrics(pages: DataFrame, letters: DataFrame, hypothesis: str, gold: str) -> DataFrame:
     """Character and word error rate, edit distance and accuracy of a page column against a gold column."""
-    joined = pages.join(gold_letters(letters).select("doc_id", F.col(gold).alias("_gold")), "doc_id")
-    cer = m.character_error_rate(F.col(hypothesis), F.col("_gold"))
-    return joined.select("page_row_id", "doc_id", cer.alias("cer"), m.word_error_rate(F.col(hypothesis), F.col("_gold")).alias("wer"), F.levenshtein(hypothesis, "_gold").alias("edit_distance"), m.text_accuracy(cer).alias("accuracy"))
+    texts = gold_letters(letters.select("filename", "row_no", gold)).select("doc_id", F.col(gold).alias("_gold"))
+    h, r, distance = F.col(hypothesis), F.col("_gold"), F.col("edit_distance")
+    measured = pages.join(texts, "doc_id").select("page_row_id", "doc_id", h, r, edits.character_edits(h, r).alias("edit_distance"), m.word_error_rate(h, r).alias("wer"))
+    cer = m.character_error_rate(h, r, distance)
+    return measured.select("page_row_id", "doc_id", cer.alias("cer"), "wer", "edit_distance", m.text_accuracy(cer).alias("accuracy"))
 
 
 def full_text(columns: list[str]) -> Column:
