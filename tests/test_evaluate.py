@@ -103,3 +103,15 @@ def test_fuzzy_scores_are_plain_ratios_unless_a_strategy_gave_its_own(spark, dat
     assert all(plain_ratio(a, b, kept) == (SequenceMatcher(None, a, b).ratio() if a and b else 0) for b in words for a in words)
     scores = QUERIES["m12_fuzzy_scores"](spark, data)
     assert scores.count() == spark.read.parquet(f"{data}/kie_approaches.parquet").count() and scores.where("text_ratio IS NULL OR isnan(fuzzy_score)").isEmpty()
+
+
+def test_ocr_metrics_of_pages_are_exact_in_one_step(spark, data):
+    got = QUERIES["m4_ocr_metrics"](spark, data)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "levenshtein" not in plan and plan.count("ArrowEvalPython [") <= 2  # the adaptive plan is printed twice at most
+    gold = ev.gold_letters(spark.read.parquet(f"{data}/generated_documents.parquet"))
+    pages = spark.read.parquet(f"{data}/ocr_pages.parquet").join(gold.select("doc_id", "content"), "doc_id")
+    want = pages.select("page_row_id", F.levenshtein("body_text_no_tables", "content").alias("edit_distance"))
+    assert sorted(map(tuple, got.select("page_row_id", "edit_distance").collect())) == sorted(map(tuple, want.collect()))
+    one = ev.ocr_metrics(spark.createDataFrame([(1, "doc_1", None), (2, "doc_2", "x"), (3, "doc_3", "")], "page_row_id LONG, doc_id STRING, h STRING"), spark.createDataFrame([(1, "doc_1.pdf", "a b"), (2, "doc_2.pdf", None), (3, "doc_3.pdf", "")], "row_no LONG, filename STRING, content STRING"), "h", "content")
+    assert [tuple(r)[2:] for r in one.orderBy("page_row_id").collect()] == [(1.0, 1.0, None, 0.0), (1.0, 1.0, None, 0.0), (0.0, 0.0, 0, 1.0)]
